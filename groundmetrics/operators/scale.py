@@ -52,8 +52,9 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def bucket_rank(df: DataFrame, keys: Sequence[str], order: str, out: str, width: int = 1_000_000) -> DataFrame:
-    """1-based rank by a unique whole-number column.
+def bucket_rank(df: DataFrame, keys: Sequence[str], order: str, out: str, width: int = 1_000_000,
+                ties: Sequence[str] = ()) -> DataFrame:
+    """1-based rank by a whole-number column (``ties`` settle equal values).
 
     Each task sorts one ``width``-wide slice of the number range, so it holds at most ``width`` rows
     of a key however large the key is; slice counts are summed up separately.
@@ -62,7 +63,7 @@ def bucket_rank(df: DataFrame, keys: Sequence[str], order: str, out: str, width:
     counts = b.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(order)
+    inside = Window.partitionBy(*keys, "_b").orderBy(order, *ties)
     ranked = b.withColumn("_rn", F.row_number().over(inside))
     joined = ranked.join(offsets, [*keys, "_b"])
     return joined.withColumn(out, F.col("_off") + F.col("_rn")).drop("_b", "_n", "_rn", "_off")
@@ -123,22 +124,20 @@ def nearest_sample(
     keys = list(keys)
     cols = [sample_time, *[p for p in payload if p != sample_time]]
     s = samples.groupBy(*keys, F.col(sample_time).alias("_t")).agg(F.min_by(F.struct(*cols), seq).alias("_s"))
-    t = targets.select(*keys, F.col(target_time).alias("_t")).distinct().withColumn("_target", F.lit(1))
-    both = t.unionByName(s.withColumn("_target", F.lit(0)), allowMissingColumns=True)
-    both = both.withColumn("_b", F.floor(F.col("_t") / width))
+    rest = [c for c in targets.columns if c not in keys and c != target_time]
+    t = targets.select(*keys, F.col(target_time).alias("_t"), F.struct(F.lit(1).alias("_one"), *rest).alias("_target"))
+    both = t.unionByName(s, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / width))
 
-    inside = f"OVER (PARTITION BY {', '.join(keys)}, _b ORDER BY _t, _target)"
+    # at equal times the sample row comes first, so that it counts as "not later"
+    inside = f"OVER (PARTITION BY {', '.join(keys)}, _b ORDER BY _t, isnotnull(_target))"
     local = both.select(
         *keys, "_b", "_t", "_target",
         F.expr(f"lag(_s) IGNORE NULLS {inside}").alias("_prev"),
         F.expr(f"lead(_s) IGNORE NULLS {inside}").alias("_next"),
-    ).filter("_target = 1")
+    ).filter("_target IS NOT NULL")
 
-    has = F.col("_s").isNotNull()
-    slices = both.groupBy(*keys, "_b").agg(
-        F.min_by("_s", F.when(has, F.col("_t"))).alias("_first"),
-        F.max_by("_s", F.when(has, F.col("_t"))).alias("_last"),
-    )
+    edge = F.when(F.col("_s").isNotNull(), F.col("_t"))
+    slices = both.groupBy(*keys, "_b").agg(F.min_by("_s", edge).alias("_first"), F.max_by("_s", edge).alias("_last"))
     chain = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY _b)"
     carry = slices.select(
         *keys, "_b",
@@ -150,6 +149,50 @@ def nearest_sample(
     gap_prev = F.col("_t") - prev[sample_time]
     gap_next = nxt[sample_time] - F.col("_t")
     pick = F.when(nxt.isNull() | (gap_prev <= gap_next), prev).otherwise(nxt)
-    found = near.select(*keys, F.col("_t").alias(target_time), pick.alias("_pick"))
-    found = found.select(*keys, target_time, *[F.col("_pick")[c].alias(c) for c in cols])
-    return targets.join(found, [*keys, target_time], "left")
+    found = near.select(*keys, "_t", "_target", pick.alias("_pick"))
+    return found.select(
+        *keys, F.col("_t").alias(target_time), *[F.col("_target")[c].alias(c) for c in rest],
+        *[F.col("_pick")[c].alias(c) for c in cols],
+    )
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], bins: int = 4096) -> DataFrame:
+    """Exact linearly interpolated quantiles for groups of any size.
+
+    The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here equal values
+    are counted first, each group is cut into ``bins`` value ranges whose counts locate the wanted
+    ranks, and only the few ranges that hold one are ordered.
+    """
+    keys = list(keys)
+    rows = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    spans = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+    span = F.col("_hi") - F.col("_lo")
+    bin_of = F.when(span > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / span * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+    binned = (rows.join(spans, keys) if keys else rows.crossJoin(F.broadcast(spans))).withColumn("_bin", bin_of)
+    counts = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+    wanted = []
+    for name, q in quantiles.items():
+        at = (F.col("_n") - 1) * F.lit(float(q))
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            wanted.append(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), rank.cast("bigint").alias("rank"),
+                                   (at - F.floor(at)).alias("w")))
+    ranks = counts.withColumn("_w", F.explode(F.array(*wanted))).filter(
+        (F.col("_w.rank") >= F.col("_before")) & (F.col("_w.rank") < F.col("_before") + F.col("_c"))
+    )
+    needed = ranks.groupBy(*keys, "_bin").agg(F.first("_before").alias("_before"), F.collect_list("_w").alias("_ws"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
+    cells = binned.select(*keys, "_bin", "_v", "_c").join(needed, [*keys, "_bin"])
+    last = F.col("_before") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.withColumn("_last", last).withColumn("_w", F.explode("_ws")).filter(
+        (F.col("_w.rank") < F.col("_last")) & (F.col("_w.rank") >= F.col("_last") - F.col("_c"))
+    )
+    out = []
+    for name in quantiles:
+        def pick(side: str, field: str = "_v", name=name) -> Column:
+            return F.max(F.when((F.col("_w.name") == name) & (F.col("_w.side") == side), F.col(field)))
+
+        lo, hi, w = pick("lo"), pick("hi"), pick("lo", "_w.w")
+        out.append((lo * (1.0 - w) + hi * w).alias(name))
+    return cells.groupBy(*keys).agg(*out)

@@ -9,20 +9,9 @@ from groundmetrics.functions import text as tx
 from groundmetrics.operators import aggregate as ag
 from groundmetrics.operators import sets as st
 from groundmetrics.operators.scale import bucket_rank
-from groundmetrics.plans.views import duck, view
+from groundmetrics.plans.views import registry, view
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = duck(sql)
-        return fn
-
-    return register
+query, QUERIES, ORACLES = registry()
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:

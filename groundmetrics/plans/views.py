@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +60,15 @@ VIEWS: dict[str, str] = {
                (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey AS pred_seq,
                l_quantity / 5 AS x, abs(l_discount) * 250 AS y, abs(l_tax) * 150 AS z
         FROM @lineitem WHERE l_linestatus = 'O'""",
+    # One 3D answer per interaction: the last predicted point, a camera where one was logged.
+    "v_answers": """
+        SELECT k.scene, k.row_index, k.o_orderstatus <> 'P' AS parse_ok, p.x, p.y, p.z,
+               CASE WHEN o_totalprice > 20000 THEN CAST(k.row_index % 7 AS DOUBLE) END AS cam_x,
+               CAST(k.row_index % 5 AS DOUBLE) AS cam_y, CAST(k.row_index % 3 AS DOUBLE) AS cam_z
+        FROM @v_keys k LEFT JOIN (
+            SELECT scene, row_index, max_by(x, pred_seq) AS x, max_by(y, pred_seq) AS y, max_by(z, pred_seq) AS z
+            FROM @v_preds GROUP BY scene, row_index) p
+          ON k.scene = p.scene AND k.row_index = p.row_index""",
     "v_samples": f"""
         SELECT concat('scene', CAST(user_id % 4 AS STRING)) AS scene, user_id AS row_index,
                event_id AS file_seq, @EPOCH_US(ts) AS t_us,
@@ -70,6 +80,20 @@ VIEWS: dict[str, str] = {
                CAST(user_id % 7 AS DOUBLE) + value / 1000 AS cx, value / 500 AS cy, 0.0 * value AS cz,
                event_type, value
         FROM @events""",
+    # Per user: first sample, capture-metadata clock and recording name (each sometimes missing or off).
+    "v_capture": """
+        SELECT scene, row_index, first_us,
+               CASE row_index % 5 WHEN 0 THEN NULL WHEN 1 THEN first_us - 300000 WHEN 2 THEN first_us - 5000000
+                    WHEN 3 THEN first_us + 4000000 ELSE first_us - 900000 END AS meta_us,
+               CASE row_index % 7 WHEN 0 THEN 'clip.mp4'
+                    ELSE concat('ScreenRecord_', @FILE_STAMP(first_us), '.mp4') END AS file_name
+        FROM (SELECT scene, row_index, min(t_us) AS first_us FROM @v_samples GROUP BY scene, row_index) f""",
+    # Sample stamps as logged text: seven and more fractional digits, zones, some broken.
+    "v_stamps": """
+        SELECT event_id, CASE WHEN event_type = 'error' THEN concat('bad ', @ISO(ts))
+                    ELSE concat(@ISO(ts), CAST(event_id % 1000 AS STRING),
+                                CASE event_id % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '+02:00' ELSE '' END) END AS stamp
+        FROM @events""",
     # One event window per user and day.
     "v_events": """
         SELECT scene, row_index, day, min(t_us) AS t_start, max(t_us) AS t_end,
@@ -79,7 +103,14 @@ VIEWS: dict[str, str] = {
 
 _NAME = re.compile(r"@(v_\w+|[a-z]+)\b")
 _ARROW = re.compile(r"\b([a-z]) -> ")
-_EPOCH = re.compile(r"@EPOCH_US\((\w+)\)")
+_MACRO = re.compile(r"@([A-Z_]+)\((\w+)\)")
+
+# Calls that the two engines spell differently: name -> (Spark, DuckDB).
+MACROS = {
+    "EPOCH_US": ("unix_micros(CAST({0} AS TIMESTAMP))", "epoch_us({0})"),
+    "FILE_STAMP": ("date_format(timestamp_micros({0}), 'yyyy-MM-dd-HH_mm_ss')", "strftime(make_timestamp({0}), '%Y-%m-%d-%H_%M_%S')"),
+    "ISO": ("date_format({0}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")", "strftime({0}, '%Y-%m-%dT%H:%M:%S.%f')"),
+}
 
 
 def _expand(sql: str, table) -> str:
@@ -97,12 +128,43 @@ def _expand(sql: str, table) -> str:
 def duck(sql: str) -> str:
     """The text with views inlined, for DuckDB (which spells lambdas ``lambda x: ...``)."""
     sql = _ARROW.sub(r"lambda \1: ", sql)
-    return _EPOCH.sub(r"epoch_us(\1)", _expand(sql, lambda t: t))
+    return _MACRO.sub(lambda m: MACROS[m[1]][1].format(m[2]), _expand(sql, lambda t: t))
+
+
+_schemas: dict = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """Temp view over one driver table; its schema is inferred once per session, its files are listed anew."""
+    path = f"{sf_dir}/{table}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    name = f"gm_{table}_{zlib.crc32(sf_dir.encode()):08x}"
+    spark.read.schema(_schemas[key]).parquet(path).createOrReplaceTempView(name)
+    return name
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A view name or a query over views, as a DataFrame."""
     if sql in VIEWS:
         sql = VIEWS[sql]
-    text = _expand(sql, lambda t: f"parquet.`{sf_dir}/{t}.parquet`")
-    return spark.sql(_EPOCH.sub(r"unix_micros(CAST(\1 AS TIMESTAMP))", text))
+    text = _expand(sql, lambda t: _table(spark, sf_dir, t))
+    return spark.sql(_MACRO.sub(lambda m: MACROS[m[1]][0].format(m[2]), text))
+
+
+def registry():
+    """A ``query(sql)`` decorator with its dictionaries of queries and DuckDB texts."""
+    queries: dict = {}
+    oracles: dict = {}
+
+    def query(sql: str | None = None):
+        def register(fn):
+            queries[fn.__name__] = fn
+            if sql is not None:
+                oracles[fn.__name__] = duck(sql)
+            return fn
+
+        return register
+
+    return query, queries, oracles
