@@ -198,7 +198,7 @@ def point_summary(detail: DataFrame, by: Sequence[str]) -> DataFrame:
     for c in ("margin_errors", "euclidean_errors", "scene_norm_errors"):
         name = c.removesuffix("_errors")
         flat = detail.select(*by, F.explode(c).alias("e"))
-        median = exact_quantiles(flat, by, "e", {f"median_{name}": 0.5})
+        median = exact_quantiles(flat, by, {f"median_{name}": ("e", 0.5)})
         out = out.join(flat.groupBy(*by).agg(F.avg("e").alias(f"mean_{name}")), by, "left").join(median, by, "left")
     return out
 
@@ -243,7 +243,7 @@ def angular_accuracy(rows: DataFrame, by: Sequence[str], thresholds: Sequence[in
         n.alias("total"), valid.alias("valid"), ratio(valid, n, 0.0).alias("valid_rate"),
         F.avg(err).alias("mean_error_deg"), *cols,
     )
-    return rates.join(exact_quantiles(rows, by, "angle_deg", {"median_error_deg": 0.5}), list(by), "left")
+    return rates.join(exact_quantiles(rows, by, {"median_error_deg": ("angle_deg", 0.5)}), list(by), "left")
 
 
 def distinct_gt_points(rows: DataFrame, digits: int = 6) -> DataFrame:

@@ -156,7 +156,29 @@ def nearest_sample(
     )
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], bins: int = 4096) -> DataFrame:
+GROUP_ROWS = 1_000_000
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], quantiles: dict[str, tuple[str, float]], limit: int = GROUP_ROWS) -> DataFrame:
+    """Exact quantiles ``{name: (column, q)}`` per group, by the built-in aggregate while groups are small.
+
+    The built-in keeps every distinct value of a group in one buffer, so the largest group is counted
+    first; above ``limit`` rows ``binned_quantiles`` finds the same numbers without such a buffer.
+    """
+    keys = list(keys)
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), limit)
+    if key not in _size_checks:
+        _size_checks[key] = (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= limit
+    if _size_checks[key]:
+        return df.groupBy(*keys).agg(*[F.percentile(c, q).alias(n) for n, (c, q) in quantiles.items()])
+    out = None
+    for name, (column, q) in quantiles.items():
+        one = binned_quantiles(df, keys, column, {name: q})
+        out = one if out is None else (out.join(one, keys, "full") if keys else out.crossJoin(F.broadcast(one)))
+    return out
+
+
+def binned_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], bins: int = 4096) -> DataFrame:
     """Exact linearly interpolated quantiles for groups of any size.
 
     The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here equal values

@@ -330,11 +330,10 @@ def spatial_prior(rows: DataFrame, keys: Sequence[str], sources: dict[str, Colum
     best = hit.groupBy(*keys).agg(F.min("rank").alias("rank"))
     used = hit.join(best, [*keys, "rank"]).withColumn("u", F.col("uv.u")).withColumn("v", F.col("uv.v"))
     n = used.groupBy(*keys, "source").agg(F.count("*").alias("sample_count"))
-    u = exact_quantiles(used, keys, "u", {"u_norm": 0.5})
-    v = exact_quantiles(used, keys, "v", {"v_norm": 0.5})
+    uv = exact_quantiles(used, keys, {"u_norm": ("u", 0.5), "v_norm": ("v", 0.5)})
     ranked = bucket_rank(used.select(*keys, "t_us", "file_seq", "point"), keys, "t_us", "_rank", slice_us, ["file_seq"])
     middle = ranked.join(n, keys).filter(F.col("_rank") - 1 == F.floor(F.col("sample_count") / 2))
-    return n.join(u, keys).join(v, keys).join(middle.select(*keys, "point"), keys)
+    return n.join(uv, keys).join(middle.select(*keys, "point"), keys)
 
 
 def clock_offset(df: DataFrame, strategy: str = "hybrid", threshold: float = 1.0, bias: float = 0.5, manual: float = 0.0) -> DataFrame:
@@ -409,7 +408,9 @@ def hand_boxes(samples: DataFrame, ids: Sequence[str], width: int, height: int,
             for s in ("leftHand", "rightHand"))
     overlap = area(F.greatest(a[0], b[0]), F.greatest(a[1], b[1]), F.least(a[2], b[2]), F.least(a[3], b[3]))
     both = F.col("leftHand_box").isNotNull() & F.col("rightHand_box").isNotNull()
-    pixels = F.coalesce(area(*a), F.lit(0.0)) + F.coalesce(area(*b), F.lit(0.0)) - F.when(both, overlap).otherwise(0.0)
+    # least/greatest skip NULLs, so a missing box must be ruled out explicitly
+    one = [F.when(F.col(f"{s}_box").isNotNull(), area(*c)).otherwise(0.0) for s, c in (("leftHand", a), ("rightHand", b))]
+    pixels = one[0] + one[1] - F.when(both, overlap).otherwise(0.0)
     status = F.when(pixels > 0, "masked").when(~tracked, "no_tracked_hand").otherwise("tracked_offscreen")
     return out.select(*ids, "leftHand_box", "rightHand_box", (pixels / float(width * height)).alias("mask_fraction"), status.alias("status"))
 
@@ -421,7 +422,7 @@ def mask_stats(boxes: DataFrame, by: Sequence[str]) -> DataFrame:
         F.avg("mask_fraction").alias("mean_fraction"), F.max("mask_fraction").alias("max_fraction"),
         F.count_if(F.col("mask_fraction") > 0.25).alias("over_25"), F.count_if(F.col("mask_fraction") > 0.5).alias("over_50"),
     )
-    return base.join(exact_quantiles(boxes, by, "mask_fraction", {"median_fraction": 0.5}), list(by), "left")
+    return base.join(exact_quantiles(boxes, by, {"median_fraction": ("mask_fraction", 0.5)}), list(by), "left")
 
 
 def first_sample(samples: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:

@@ -288,23 +288,23 @@ def dwell_segments(spark, sf):
     return shown.select(*KEY, "file_seq", "dwell_us")
 
 
-@query(f"""SELECT scene, row_index, file_seq, round({uv_sql('g')[0]}, 10) AS u, round({uv_sql('g')[1]}, 10) AS v
+@query(f"""SELECT scene, row_index, file_seq, round({uv_sql('g')[0]}, 13) AS u, round({uv_sql('g')[1]}, 13) AS v
     FROM @v_samples WHERE {on_image('g')}""")
 def project_point(spark, sf):
     uv = geo.project_point("cameraPosition", "cameraRotation", "cameraFOV", F.col("eyeGaze.gazePoint"), W, H)
     out = samples(spark, sf).select(*KEY, "file_seq", uv.alias("uv")).filter("uv IS NOT NULL")
-    return out.select(*KEY, "file_seq", F.round("uv.u", 10).alias("u"), F.round("uv.v", 10).alias("v"))
+    return out.select(*KEY, "file_seq", F.round("uv.u", 13).alias("u"), F.round("uv.v", 13).alias("v"))
 
 
 @query("""WITH h AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY scene, row_index, day) AS n FROM @v_samples
         WINDOW w AS (PARTITION BY scene, row_index, day ORDER BY t_us, file_seq))
     SELECT scene, row_index, day, count(*) AS n_samples, count(*) FILTER (eye_open) AS eye_open_count, count(*) FILTER (hand_tracked) AS right_tracked,
-        round(avg(cx), 6) AS mean_camera_x, round(avg(cy), 6) AS mean_camera_y, 2.0::DOUBLE AS mean_right_joints,
-        round(max(hx) FILTER (r - 1 = n // 2), 6) AS middle_x FROM h GROUP BY 1, 2, 3""")
+        round(avg(cx), 9) AS mean_camera_x, round(avg(cy), 9) AS mean_camera_y, 2.0::DOUBLE AS mean_right_joints,
+        round(max(hx) FILTER (r - 1 = n // 2), 9) AS middle_x FROM h GROUP BY 1, 2, 3""")
 def window_summary(spark, sf):
     out = tl.window_summary(samples(spark, sf), EVENT, HOUR_US)
     out = out.withColumn("middle_x", F.col("middle_hit.x"))
-    return rounded(out, "mean_camera_x", "mean_camera_y", "middle_x").select(
+    return rounded(out, "mean_camera_x", "mean_camera_y", "middle_x", digits=9).select(
         *EVENT, "n_samples", "eye_open_count", "right_tracked", "mean_camera_x", "mean_camera_y", "mean_right_joints", "middle_x"
     )
 
@@ -325,8 +325,8 @@ def representative(spark, sf):
     best AS (SELECT *, min(rank) OVER (PARTITION BY scene, row_index, day) AS top FROM src),
     used AS (SELECT *, row_number() OVER (PARTITION BY scene, row_index, day ORDER BY t_us, file_seq) - 1 AS r,
         count(*) OVER (PARTITION BY scene, row_index, day) AS n FROM best WHERE rank = top)
-    SELECT scene, row_index, day, any_value(source) AS source, count(*) AS sample_count, round(quantile_cont(u, 0.5), 10) AS u_norm,
-        round(quantile_cont(v, 0.5), 10) AS v_norm, round(max(px) FILTER (r = n // 2), 10) AS point_x FROM used GROUP BY 1, 2, 3""")
+    SELECT scene, row_index, day, any_value(source) AS source, count(*) AS sample_count, round(quantile_cont(u, 0.5), 12) AS u_norm,
+        round(quantile_cont(v, 0.5), 12) AS v_norm, round(max(px) FILTER (r = n // 2), 12) AS point_x FROM used GROUP BY 1, 2, 3""")
 def spatial_prior(spark, sf):
     sources = {
         "gazePoint": F.col("eyeGaze.gazePoint"), "cameraHitPoint": F.col("eyeGaze.cameraHitPoint"),
@@ -334,7 +334,7 @@ def spatial_prior(spark, sf):
     }
     out = tl.spatial_prior(samples(spark, sf), EVENT, sources, W, H, HOUR_US)
     out = out.withColumn("point_x", F.col("point.x"))
-    return rounded(out, "u_norm", "v_norm", "point_x", digits=10).select(*EVENT, "source", "sample_count", "u_norm", "v_norm", "point_x")
+    return rounded(out, "u_norm", "v_norm", "point_x", digits=12).select(*EVENT, "source", "sample_count", "u_norm", "v_norm", "point_x")
 
 
 @query("""WITH c AS (SELECT *, CASE WHEN row_index % 7 <> 0 THEN first_us // 1000000 * 1000000 END AS video_us FROM @v_capture),
@@ -358,7 +358,7 @@ agg AS (SELECT file_seq, min(px) AS l, max(px) AS r, min(py) AS t, max(py) AS b,
 edges AS (SELECT file_seq, greatest(0.0, l - m) AS x1, greatest(0.0, t - m) AS y1, least(1280.0, r + m) AS x2, least(720.0, b + m) AS y2 FROM agg),
 px AS (SELECT file_seq, round(x1, 2) AS x1, round(y1, 2) AS y1, round(x2, 2) AS x2, round(y2, 2) AS y2 FROM edges WHERE x2 > x1 AND y2 > y1),
 boxes AS (SELECT s.scene, s.row_index, s.file_seq, x1, y1, x2, y2,
-    coalesce(greatest(0, least(round_even(x2, 0), 1279) - least(round_even(x1, 0), 1279) + 1) * greatest(0, least(round_even(y2, 0), 719) - least(round_even(y1, 0), 719) + 1), 0)
+    coalesce(CASE WHEN x1 IS NOT NULL THEN greatest(0, least(round_even(x2, 0), 1279) - least(round_even(x1, 0), 1279) + 1) * greatest(0, least(round_even(y2, 0), 719) - least(round_even(y1, 0), 719) + 1) END, 0)
         / (1280.0 * 720.0)::DOUBLE AS mask_fraction, hand_tracked FROM @v_samples s LEFT JOIN px ON s.file_seq = px.file_seq),
 status AS (SELECT *, CASE WHEN mask_fraction > 0 THEN 'masked' WHEN NOT hand_tracked THEN 'no_tracked_hand' ELSE 'tracked_offscreen' END AS status FROM boxes)"""
 

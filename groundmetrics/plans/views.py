@@ -60,6 +60,31 @@ VIEWS: dict[str, str] = {
                (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey AS pred_seq,
                l_quantity / 5 AS x, abs(l_discount) * 250 AS y, abs(l_tax) * 150 AS z
         FROM @lineitem WHERE l_linestatus = 'O'""",
+    # 2D answers and the panel manifest they are scored against (three panels per interaction).
+    "v_refs2d": """
+        SELECT concat('scene', CAST(l_orderkey % 4 AS STRING)) AS scene, l_orderkey AS row_index,
+               (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey AS pred_seq,
+               CASE WHEN l_partkey % 2 = 0 THEN lower(n_name) ELSE 'thing' END AS mention,
+               concat('P', CAST(l_linenumber % 3 + 1 AS STRING)) AS pred_panel,
+               l_quantity / 50 AS x_norm, abs(l_discount) * 10 AS y_norm,
+               CASE WHEN l_tax > 0.06 THEN l_quantity / 60 END AS sheet_x_norm, CASE WHEN l_tax > 0.06 THEN abs(l_tax) * 5 END AS sheet_y_norm,
+               CASE l_partkey % 4 WHEN 0 THEN 'Gaze Crop' WHEN 1 THEN 'full-panel' ELSE '' END AS coordinate_space,
+               l_extendedprice AS price
+        FROM @lineitem JOIN @nation ON l_suppkey % 25 = n_nationkey
+        WHERE l_linestatus = 'O'""",
+    "v_manifest": """
+        SELECT scene, row_index, referent, gt_seq * 3 + panel_index AS manifest_seq, panel_index,
+               concat('P', CAST(panel_index AS STRING)) AS panel_id,
+               ((price + 137 * panel_index) % 100) / 100 AS gt_u, ((price + 59 * panel_index) % 80) / 80 AS gt_v,
+               (price + panel_index) % 7 >= 1 AS projection_valid, ((price + 31 * panel_index) % 100) / 100 AS gaze_u,
+               ((price + 17 * panel_index) % 60) / 60 AS gaze_v, (price + panel_index) % 5 >= 1 AS gaze_projection_valid,
+               1280 AS image_width, 720 AS image_height, price % 11 >= 1 AS frame_extracted,
+               (price % 13) / 13 AS panel_score, panel_index * 1.5 AS video_time
+        FROM (SELECT g.*, p.panel_index FROM (
+                SELECT concat('scene', CAST(l_orderkey % 4 AS STRING)) AS scene, l_orderkey AS row_index, n_name AS referent,
+                       (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey AS gt_seq, l_extendedprice AS price
+                FROM @lineitem JOIN @nation ON l_suppkey % 25 = n_nationkey WHERE l_returnflag <> 'N') g,
+              (SELECT 1 AS panel_index UNION ALL SELECT 2 UNION ALL SELECT 3) p) m""",
     # One 3D answer per interaction: the last predicted point, a camera where one was logged.
     "v_answers": """
         SELECT k.scene, k.row_index, k.o_orderstatus <> 'P' AS parse_ok, p.x, p.y, p.z,
