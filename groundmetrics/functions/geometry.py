@@ -103,6 +103,7 @@ def project_point(cam_pos, cam_rot, fov, p, width, height, mode: str = "bounded"
     beyond each edge. ``square_unbounded``: one half-angle for both axes, no gate.
     """
     x, y, z = to_camera(cam_pos, cam_rot, p)
+    z = F.when(z > 1e-6, z)  # NULL behind the camera, which also keeps the divisions safe
     fov = F.col(fov) if isinstance(fov, str) else fov
     width = width if isinstance(width, Column) else F.lit(float(width))
     height = height if isinstance(height, Column) else F.lit(float(height))
@@ -110,7 +111,7 @@ def project_point(cam_pos, cam_rot, fov, p, width, height, mode: str = "bounded"
     across = half if mode == "square_unbounded" else half * (width / height)
     u = (x / (z * across) + 1.0) * 0.5
     v = (1.0 - y / (z * half)) * 0.5
-    ok = (z > 1e-6) & (fov > 0.0) & (fov < 180.0) & (half > 0.0)
+    ok = z.isNotNull() & (fov > 0.0) & (fov < 180.0) & (half > 0.0)
     if mode == "bounded":
         ok = ok & u.between(0.0, 1.0) & v.between(0.0, 1.0)
     elif mode == "tolerant":

@@ -174,12 +174,12 @@ DET = """SELECT scene, row_index, pred_seq, d AS det_seq, ((price + 41 * d) % 10
     best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY scene, row_index, pred_seq ORDER BY val DESC NULLS LAST, det_seq) = 1),
     s AS (SELECT *, CASE WHEN w IS NULL THEN 'missing_panel_frame' WHEN det_seq IS NULL THEN 'no_box' ELSE 'detected' END AS box_status FROM best)
     SELECT scene, row_index, pred_seq, pred_panel, n_boxes, box_status,
-        round(CASE WHEN box_status = 'detected' THEN least(1, greatest(0, greatest(x1, least(x2, x_norm * w)) / w)) ELSE x_norm END, 6) AS x_norm,
-        round(CASE WHEN box_status = 'detected' THEN least(1, greatest(0, greatest(y1, least(y2, y_norm * h)) / h)) ELSE y_norm END, 6) AS y_norm,
-        round(CASE WHEN box_status = 'detected' THEN det_score END, 6) AS det_score FROM s""")
+        round(CASE WHEN box_status = 'detected' THEN least(1, greatest(0, greatest(x1, least(x2, x_norm * w)) / w)) ELSE x_norm END, 11) AS x_norm,
+        round(CASE WHEN box_status = 'detected' THEN least(1, greatest(0, greatest(y1, least(y2, y_norm * h)) / h)) ELSE y_norm END, 11) AS y_norm,
+        round(CASE WHEN box_status = 'detected' THEN det_score END, 11) AS det_score FROM s""")
 def refine_boxes(spark, sf):
     out = pn.refine_with_boxes(view(spark, sf, "v_refs2d"), view(spark, sf, "v_manifest"), view(spark, sf, DET))
-    return rounded(out, "x_norm", "y_norm", "det_score")
+    return rounded(out, "x_norm", "y_norm", "det_score", digits=11)
 
 
 UNIFORM_SQL = """panels AS (SELECT e.*, i + 1 AS panel_index, t_start + CAST(round((t_end - t_start) / 1000000 * i / 2.0::DOUBLE * 1000000) AS BIGINT) AS target_us

@@ -325,8 +325,8 @@ def representative(spark, sf):
     best AS (SELECT *, min(rank) OVER (PARTITION BY scene, row_index, day) AS top FROM src),
     used AS (SELECT *, row_number() OVER (PARTITION BY scene, row_index, day ORDER BY t_us, file_seq) - 1 AS r,
         count(*) OVER (PARTITION BY scene, row_index, day) AS n FROM best WHERE rank = top)
-    SELECT scene, row_index, day, any_value(source) AS source, count(*) AS sample_count, round(quantile_cont(u, 0.5), 12) AS u_norm,
-        round(quantile_cont(v, 0.5), 12) AS v_norm, round(max(px) FILTER (r = n // 2), 12) AS point_x FROM used GROUP BY 1, 2, 3""")
+    SELECT scene, row_index, day, any_value(source) AS source, count(*) AS sample_count, quantile_cont(u, 0.5)::FLOAT::DOUBLE AS u_norm,
+        quantile_cont(v, 0.5)::FLOAT::DOUBLE AS v_norm, round(max(px) FILTER (r = n // 2), 12) AS point_x FROM used GROUP BY 1, 2, 3""")
 def spatial_prior(spark, sf):
     sources = {
         "gazePoint": F.col("eyeGaze.gazePoint"), "cameraHitPoint": F.col("eyeGaze.cameraHitPoint"),
@@ -334,7 +334,9 @@ def spatial_prior(spark, sf):
     }
     out = tl.spatial_prior(samples(spark, sf), EVENT, sources, W, H, HOUR_US)
     out = out.withColumn("point_x", F.col("point.x"))
-    return rounded(out, "u_norm", "v_norm", "point_x", digits=12).select(*EVENT, "source", "sample_count", "u_norm", "v_norm", "point_x")
+    # single precision hides last-bit differences without decimal rounding ties
+    out = out.withColumns({c: F.col(c).cast("float").cast("double") for c in ("u_norm", "v_norm")})
+    return rounded(out, "point_x", digits=12).select(*EVENT, "source", "sample_count", "u_norm", "v_norm", "point_x")
 
 
 @query("""WITH c AS (SELECT *, CASE WHEN row_index % 7 <> 0 THEN first_us // 1000000 * 1000000 END AS video_us FROM @v_capture),

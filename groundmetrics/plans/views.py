@@ -85,6 +85,56 @@ VIEWS: dict[str, str] = {
                        (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey AS gt_seq, l_extendedprice AS price
                 FROM @lineitem JOIN @nation ON l_suppkey % 25 = n_nationkey WHERE l_returnflag <> 'N') g,
               (SELECT 1 AS panel_index UNION ALL SELECT 2 UNION ALL SELECT 3) p) m""",
+    # Raw model answers, one per line item, damaged in twelve ways by part number.
+    "v_raw_base": """
+        SELECT concat('scene', CAST(l_orderkey % 4 AS STRING)) AS scene, l_orderkey AS row_index,
+               (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey AS pred_seq, l_partkey % 12 AS code, n_name AS name,
+               l_quantity / 5 AS x, abs(l_discount) * 250 AS y, abs(l_tax) * 150 AS z,
+               concat(CAST(l_quantity / 5 AS STRING), ', ', CAST(abs(l_discount) * 250 AS STRING), ', ', CAST(abs(l_tax) * 150 AS STRING)) AS xyz,
+               l_quantity, l_tax, l_linenumber, l_suppkey
+        FROM @lineitem JOIN @nation ON l_suppkey % 25 = n_nationkey""",
+    "v_raw": """
+        SELECT scene, row_index, pred_seq, code, x, y, z, CASE code
+            WHEN 0 THEN '  ' WHEN 1 THEN concat('{"points_3d": [{"point": [', xyz)
+            WHEN 2 THEN concat('Answer: ```json', chr(10), body, chr(10), '``` done {')
+            WHEN 3 THEN '{"points_3d": [{"point": [1.0, 2.0]}]}' WHEN 4 THEN 'no object here [1, 2]'
+            WHEN 5 THEN '{"points": []}' WHEN 6 THEN '{"points_3d": [{"point": 5}]}'
+            WHEN 7 THEN concat('{"points_3d": [{"point": [', xyz, ']}, 7]}')
+            WHEN 8 THEN concat('{"points_3d": [{"point": [', xyz, '], "confidence": "high"}]}')
+            WHEN 9 THEN '{"points_3d": [{"point": [1.5, true, 2]}]}' WHEN 10 THEN '{"points_3d": []}' ELSE body END AS raw
+        FROM (SELECT *, concat('{"points_3d": [{"referent": "', name, ' {a}", "point": [', xyz, '], "confidence": ', CAST(y AS STRING), '}]}') AS body
+              FROM @v_raw_base) b""",
+    "v_raw_point": """
+        SELECT scene, row_index, pred_seq, code % 6 AS code, x, y, z, CASE code % 6 WHEN 0 THEN concat('none at all ', xyz)
+            WHEN 1 THEN concat('{"point_3d": {"x": ', CAST(x AS STRING), ', "y": ', CAST(y AS STRING), ', "z": ', CAST(z AS STRING), '}}')
+            WHEN 2 THEN concat('Sure. ```json', chr(10), '{"point_3d": [', xyz, ',], }', chr(10), '```')
+            WHEN 3 THEN concat('{"point_3d": [', xyz, ', 1]}') WHEN 4 THEN concat('{"point": [', xyz, ']}')
+            ELSE '{"point_3d": {"x": 1, "y": null, "z": 2}}' END AS raw
+        FROM @v_raw_base""",
+    "v_raw_refs": """
+        SELECT scene, row_index, pred_seq, code, name, l_quantity / 40 AS xn, abs(l_tax) * 10 AS yn, l_linenumber AS panel, CASE code % 4
+            WHEN 0 THEN 'I cannot tell' WHEN 1 THEN concat('```json', chr(10), item, ' // note "x"', chr(10), '], }', chr(10), '```')
+            WHEN 2 THEN concat('Result: ', item, '],}') ELSE concat(item, ', 5 ]}') END AS raw
+        FROM (SELECT *, concat('{"referents": [{"mention": " ', name, ' // x", "panel_id": "', CASE WHEN l_linenumber % 2 = 0 THEN 'p' ELSE '' END,
+                CAST(l_linenumber AS STRING), '", "x_norm": ', CAST(l_quantity / 40 AS STRING), ', "y_norm": "', CAST(abs(l_tax) * 10 AS STRING),
+                '", "source": "Zoom-Crop", "confidence": ', CAST(l_quantity / 25 AS STRING), '}') AS item FROM @v_raw_base) b""",
+    # Keyframe and peak answers, one per event row.
+    "v_responses": """
+        SELECT event_id, event_type, value, value / 100 AS u, event_id % 9 AS code, CASE event_id % 9
+            WHEN 0 THEN 'unclear' WHEN 1 THEN '{"referent_type": "none", "primary_source": "none", "prior_usage": "no_prior", "confidence": 0.4}'
+            WHEN 2 THEN '{"referent_type": "none", "primary_source": "fused", "prior_usage": "no_prior", "confidence": 0.4}'
+            WHEN 3 THEN '{"referent_type": "thing", "primary_source": "fused", "prior_usage": "no_prior", "u_norm": 0.2, "v_norm": 0.3, "confidence": 0.4}'
+            WHEN 4 THEN '{"referent_type": "entity", "primary_source": "fused", "prior_usage": "no_prior", "u_norm": null, "v_norm": 0.3, "confidence": 0.4}'
+            ELSE concat('ok ```json {"referent_type": " Entity", "primary_source": "gazePoint", "prior_usage": "near_prior", "u_norm": ', CAST(value / 100 AS STRING),
+                ', "v_norm": "0.25", "confidence": ', CAST(value / 50 AS STRING), ',} ```') END AS raw
+        FROM @events""",
+    "v_peaks": """
+        SELECT event_id, event_id % 4 AS code, value, CAST(event_id % 20 AS DOUBLE) AS t_start, CAST(event_id % 20 AS DOUBLE) + 30 AS t_end, CASE event_id % 4
+            WHEN 0 THEN concat('{"peak_time_seconds": ', CAST(value AS STRING), ', "confidence": ', CAST(value / 40 AS STRING), '}')
+            WHEN 1 THEN concat('The panel timestamp seconds: ', CAST(value AS STRING), ' with Confidence = 0.7')
+            WHEN 2 THEN concat('{"primary_panel_timestamp_seconds": "', CAST(value AS STRING), '", "confidence": 0.25, }')
+            ELSE 'nothing usable' END AS raw
+        FROM @events""",
     # One 3D answer per interaction: the last predicted point, a camera where one was logged.
     "v_answers": """
         SELECT k.scene, k.row_index, k.o_orderstatus <> 'P' AS parse_ok, p.x, p.y, p.z,
