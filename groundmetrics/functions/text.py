@@ -134,7 +134,7 @@ def clean_phrase(mention: Column | str, instruction: Column | str, strip_deictic
     first = F.coalesce(F.nullif(norm_text(mention), F.lit("")), norm_text(instruction))
     phrase = _strip_edges(F.translate(first, "_-", "  "))
     if strip_deictic:
-        words = r"(?i)\b(" + "|".join(DEICTIC_WORDS) + r")\b"
+        words = r"(?iU)\b(" + "|".join(DEICTIC_WORDS) + r")\b"
         bare = _strip_edges(F.regexp_replace(phrase, words, " "))
         phrase = F.when(bare != "", bare).otherwise(phrase)
     raw = F.coalesce(F.nullif(norm_text(mention), F.lit("")), F.nullif(norm_text(instruction), F.lit("")), F.lit("object"))
