@@ -370,10 +370,6 @@ def render_context(spark, sf):
                     F.get(F.split(t, "\n"), 1).alias("first_line"), F.contains(F.col(t), F.lit("utterance_text: this one")).alias("has_utterance"))
 
 
-def variants_of(spark):
-    return spark.createDataFrame([(v,) for v in bt.VARIANTS], "variant string")
-
-
 NO_G, NO_H = "variant IN ('no_gaze', 'no_gaze_hand')", "variant IN ('no_hand', 'no_hand_strict', 'no_gaze_hand')"
 VARIANT_SQL = "(SELECT unnest([" + ", ".join(f"'{v}'" for v in bt.VARIANTS) + "]) AS variant)"
 
@@ -382,7 +378,7 @@ VARIANT_SQL = "(SELECT unnest([" + ", ".join(f"'{v}'" for v in bt.VARIANTS) + "]
     CASE WHEN {NO_H} THEN 0 ELSE n_hand END AS n_hand, CASE WHEN {NO_G} OR {NO_H} THEN 0 ELSE n_frames END AS n_scores,
     CASE WHEN variant = 'no_visual' THEN 0 ELSE n_frames END AS n_images FROM per, {VARIANT_SQL}""")
 def mask_context(spark, sf):
-    m = bt.mask_context(contexts(spark, sf), variants_of(spark))
+    m = bt.mask_context(contexts(spark, sf))
     t = "context_text"
     return m.select(*tq.EVENT, "variant", counted(t, r"_GAZE: \[").alias("n_gaze"), counted(t, r"_HAND: \[").alias("n_hand"),
                     counted(t, "selection_score:").alias("n_scores"), counted(t, r"image: frames/").alias("n_images"))
@@ -391,7 +387,7 @@ def mask_context(spark, sf):
 @query(f"""WITH {tq.SELECT_SQL}, {PER_EVENT} SELECT variant, count(*) AS n_records,
     count(*) FILTER (variant NOT IN ('no_gaze', 'no_gaze_hand') AND n_gaze = 0) AS n_failed FROM per, {VARIANT_SQL} GROUP BY 1""")
 def leakage_audit(spark, sf):
-    masked = bt.mask_context(contexts(spark, sf), variants_of(spark))
+    masked = bt.mask_context(contexts(spark, sf))
     expected = spark.createDataFrame(
         [(v, v != "no_visual", v not in ("no_gaze", "no_gaze_hand"), v != "no_instruction") for v in bt.VARIANTS],
         "variant string, expect_has_visual_path boolean, expect_has_gaze_payload boolean, expect_has_instruction_value boolean",
