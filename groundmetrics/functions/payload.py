@@ -43,7 +43,7 @@ def extract_json(c: Column | str) -> Column:
 def relaxed_json(c: Column) -> Column:
     """Drop fences, line comments outside strings and trailing commas."""
     bare = F.regexp_replace(F.regexp_replace(tx.strip(c), r"^```(?:json)?", ""), r"```$", "")
-    plain = F.regexp_replace(bare, r'("(?:[^"\\]|\\.)*")|//[^\r\n]*', "$1")
+    plain = F.regexp_replace(bare, r'("(?:[^"\\]++|\\.)*+")|//[^\r\n]*', "$1")
     return tx.strip(F.regexp_replace(plain, r",\s*([}\]])", "$1"))
 
 
@@ -67,7 +67,7 @@ def field(c: Column, name: str) -> Column:
 
 def json_items(c: Column) -> Column:
     """Elements of a JSON array text, each as text; NULL when it is not an array."""
-    return F.when(F.startswith(F.ltrim(c), F.lit("[")), F.from_json(c, "array<string>"))
+    return tx.let(c, lambda t: F.when(F.startswith(F.ltrim(t), F.lit("[")), F.from_json(t, "array<string>")))
 
 
 def json_number(c: Column) -> Column:

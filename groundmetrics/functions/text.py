@@ -26,6 +26,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value inside an expression, so that it is computed once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column | str) -> Column:
     return F.btrim(_c(c).cast("string"), F.lit(_BLANKS))
 
@@ -41,7 +46,7 @@ def is_missing(c: Column | str) -> Column:
 def finite_double(c: Column | str) -> Column:
     """Number or NULL; NaN and infinities count as missing."""
     value = strip(c).try_cast("double")
-    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
+    return F.when(F.abs(value) < float("inf"), value)  # NaN sorts above infinity
 
 
 def finite_int(c: Column | str, lenient: bool = False) -> Column:
@@ -71,9 +76,7 @@ def unique_by_key(arr: Column | str, mode: str = "match") -> Column:
     """Keep the first spelling of each label key of a short cell, in order; blanks are dropped."""
     names = F.filter(F.transform(_c(arr), norm_text), lambda n: n != "")
     pairs = F.transform(names, lambda n: F.struct(n.alias("name"), label_key(n, mode).alias("key")))
-    # one-element transform binds the (name, key) list once instead of once per element
-    kept = F.transform(F.array(pairs), lambda ps: F.filter(ps, lambda p, i: F.array_position(ps["key"], p["key"]) == i + 1))
-    return F.get(kept, 0)["name"]
+    return let(pairs, lambda ps: F.filter(ps, lambda p, i: F.array_position(ps["key"], p["key"]) == i + 1))["name"]
 
 
 def fallback_label_key(key: Column) -> Column:

@@ -92,16 +92,14 @@ def delta_vs_baseline(summary: DataFrame, variant: str, baseline: str, on: Seque
     )
 
 
-def _poisson_draws(seed: int):
-    @F.pandas_udf("long")
-    def draw(n: pd.Series, rep: pd.Series, code: pd.Series) -> pd.Series:
-        """Poisson(n) weight, reproducible per (tuple, repetition) whatever the partitioning."""
-        out = np.empty(len(n), dtype=np.int64)
-        for i, (lam, r, c) in enumerate(zip(n.to_numpy(), rep.to_numpy(), code.to_numpy())):
-            out[i] = np.random.Generator(np.random.PCG64([seed, int(r), int(c) & 0xFFFFFFFFFFFFFFFF])).poisson(lam)
-        return pd.Series(out)
+def _poisson_draws(reps: int, seed: int):
+    def draw(n: pd.Series, code: pd.Series) -> pd.Series:
+        """Poisson(n) weights of all repetitions, reproducible per tuple whatever the partitioning."""
+        return pd.Series([
+            np.random.Generator(np.random.PCG64([seed, int(c) & 0xFFFFFFFFFFFFFFFF])).poisson(lam, reps) for lam, c in zip(n, code)
+        ])
 
-    return draw
+    return F.pandas_udf(draw, "array<bigint>")
 
 
 def paired_bootstrap(pairs: DataFrame, by: Sequence[str], reps: int, seed: int) -> DataFrame:
@@ -113,9 +111,8 @@ def paired_bootstrap(pairs: DataFrame, by: Sequence[str], reps: int, seed: int)
     by = list(by)
     tuples = pairs.groupBy(*by, "full_value", "ablation_value", "mask").agg(F.count("*").alias("n"))
     code = F.xxhash64(*by, "full_value", "ablation_value", "mask")
-    drawn = tuples.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn(
-        "w", _poisson_draws(seed)(F.col("n"), F.col("rep"), code) * F.col("mask")
-    )
+    drawn = tuples.withColumn("_w", _poisson_draws(reps, seed)(F.col("n"), code))
+    drawn = drawn.select("*", F.posexplode("_w").alias("rep", "_d")).withColumn("w", F.col("_d") * F.col("mask"))
     stat = drawn.groupBy(*by, "rep").agg(
         (F.sum(F.col("w") * (F.col("ablation_value") - F.col("full_value")))
          / F.greatest(F.sum("w"), F.lit(1))).alias("diff")

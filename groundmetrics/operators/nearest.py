@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundmetrics.functions import geometry as geo
+from groundmetrics.functions.text import let
 from groundmetrics.operators.scale import BROADCAST_ROWS, _size_checks, top_k
 
 SCENE_ANCHORS = 512
@@ -40,12 +41,10 @@ def with_inventory(df: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def closest(anchors: Column, point) -> Column:
-    """``STRUCT<dist, anchor_seq, anchor_id>`` of the closest anchor; first in inventory order on a tie."""
+    """``STRUCT<dist, anchor_id>`` of the closest anchor; the first in inventory order on a tie."""
     p = geo.vec(point)
-    scored = F.transform(
-        anchors, lambda a: F.struct(geo.distance(a, p).alias("dist"), a["anchor_seq"].alias("anchor_seq"), a["anchor_id"].alias("anchor_id"))
-    )
-    return F.array_min(scored)
+    return let(F.transform(anchors, lambda a: geo.distance(a, p)), lambda ds: let(F.array_min(ds), lambda d: F.struct(
+        d.alias("dist"), F.get(anchors, (F.array_position(ds, d) - 1).cast("int"))["anchor_id"].alias("anchor_id"))))
 
 
 def nearest_anchor(points: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -123,40 +124,47 @@ def prediction_sheet_points(preds: DataFrame, layout: DataFrame, panel_w: int =
     return j.withColumn("pred_sheet_x", sx).withColumn("pred_sheet_y", sy).drop("x0", "y0", "sheet_w", "sheet_h")
 
 
-def _greedy(preds, gts, threshold: float, acceptable_only: bool) -> tuple[int, int, int, float]:
-    """One pass over ordered predictions; each referent is matched at most once."""
-    pool = [g for g in gts if g["ok"] or not acceptable_only]
-    open_refs = {g["referent"] for g in pool}
-    total, tp, dist = len(open_refs), 0, 0.0
-    for p in preds:
-        live = [g for g in pool if g["referent"] in open_refs]
-        named = [g for g in live if p["label"] and g["label"] == p["label"]]
-        best = None
-        for g in named or live:
-            if p["x"] is None or p["y"] is None or g["panel"] != p["panel"]:
-                continue
-            d = ((p["x"] - g["u"]) ** 2 * g["w"] ** 2 + (p["y"] - g["v"]) ** 2 * g["h"] ** 2) ** 0.5
-            if best is None or d < best[0]:
-                best = (d, g["referent"])
-        if best is not None and best[0] <= threshold:
-            tp += 1
-            dist += best[0]
-            open_refs.discard(best[1])
-    return tp, len(preds) - tp, max(0, total - tp), dist
+def _distances(preds, gts) -> list[list[float | None]]:
+    """Pixel distances of same-panel pairs, computed once for all thresholds."""
+    return [[
+        None if g["panel"] != p["panel"] or p["x"] is None or p["y"] is None
+        else math.hypot((p["x"] - g["u"]) * g["w"], (p["y"] - g["v"]) * g["h"]) for g in gts
+    ] for p in preds]
 
 
-def _greedy_time(preds, gts) -> tuple[int, int, int]:
-    pool = [g for g in gts if g["ok"]]
-    open_refs = {g["referent"] for g in pool}
+def _candidates(p, gts, pool, open_refs) -> list[int]:
+    live = [i for i in pool if gts[i]["referent"] in open_refs]
+    return [i for i in live if p["label"] and gts[i]["label"] == p["label"]] or live
+
+
+def _greedy(preds, gts, dist, threshold: float, acceptable_only: bool) -> tuple[int, int, int, float]:
+    """One pass over ordered predictions; each referent is matched at most once."""
+    pool = [i for i, g in enumerate(gts) if g["ok"] or not acceptable_only]
+    open_refs = {gts[i]["referent"] for i in pool}
+    total, tp, moved = len(open_refs), 0, 0.0
+    for p, row in zip(preds, dist):
+        if not open_refs:
+            break
+        scored = [(row[i], i) for i in _candidates(p, gts, pool, open_refs) if row[i] is not None]
+        if scored and min(scored)[0] <= threshold:
+            d, i = min(scored)
+            tp, moved = tp + 1, moved + d
+            open_refs.discard(gts[i]["referent"])
+    return tp, len(preds) - tp, max(0, total - tp), moved
+
+
+def _greedy_time(preds, gts) -> tuple[int, int, int, float]:
+    pool = [i for i, g in enumerate(gts) if g["ok"]]
+    open_refs = {gts[i]["referent"] for i in pool}
     total, tp = len(open_refs), 0
     for p in preds:
-        live = [g for g in pool if g["referent"] in open_refs]
-        named = [g for g in live if p["label"] and g["label"] == p["label"]]
-        hit = next((g for g in (named or live) if p["panel"] and g["panel"] == p["panel"]), None)
+        if not open_refs:
+            break
+        hit = next((i for i in _candidates(p, gts, pool, open_refs) if p["panel"] and gts[i]["panel"] == p["panel"]), None)
         if hit is not None:
             tp += 1
-            open_refs.discard(hit["referent"])
-    return tp, len(preds) - tp, max(0, total - tp)
+            open_refs.discard(gts[hit]["referent"])
+    return tp, len(preds) - tp, max(0, total - tp), 0.0
 
 
 _COUNTS = "struct<tp:bigint,fp:bigint,fn:bigint,dist:double>"
@@ -174,8 +182,9 @@ def _matcher(thresholds: Sequence[float]):
             out = []
             for ps, gs in zip(preds, gts):
                 ps, gs = list(ps if ps is not None else []), list(gs if gs is not None else [])
-                row = [(*_greedy_time(ps, gs), 0.0)]
-                row += [_greedy(ps, gs, t, joint) for joint in (False, True) for t in thresholds]
+                dist = _distances(ps, gs)
+                row = [_greedy_time(ps, gs)]
+                row += [_greedy(ps, gs, dist, t, joint) for joint in (False, True) for t in thresholds]
                 out.append([dict(zip(("tp", "fp", "fn", "dist"), r)) for r in row])
             yield pd.DataFrame(out, columns=names)
 

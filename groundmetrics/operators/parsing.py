@@ -29,37 +29,36 @@ NO_ABLATION = ("", "none", "full", "baseline")
 
 def parse_points(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Strict ``points_3d`` validation: one bad entry rejects the answer, with the reason of the first one."""
+    empty = F.array().cast("array<struct<referent:string,point:struct<x:double,y:double,z:double>,confidence:double>>")
     d = df.withColumn("_j", pl.extract_json(raw)).withColumn("_items", pl.json_items(pl.field(F.col("_j"), "points_3d")))
 
-    def numbers(item: Column) -> Column:
-        return pl.json_items(pl.field(item, "point"))
-
-    def problem(item: Column, i: Column) -> Column:
-        parts, conf = numbers(item), pl.field(item, "confidence")
-        why = (F.when(~F.startswith(F.coalesce(F.ltrim(item), F.lit("")), F.lit("{")), "not_object")
-               .when(parts.isNull(), "missing_point").when(F.size(parts) != 3, "wrong_dimension")
-               .when(F.exists(parts, lambda v: F.coalesce(pl.json_number(v).isNull(), F.lit(True))), "nonfinite_or_not_number")
-               .when(conf.isNotNull() & pl.json_number(conf).isNull(), "invalid_confidence"))
-        return F.when(why.isNotNull(), F.concat(F.lit("point_entry_"), i.cast("string"), F.lit("_"), why))
-
-    bad = F.get(F.filter(F.transform("_items", problem), lambda r: r.isNotNull()), 0)
+    def entry(item: Column) -> Column:
+        """Fields of one entry, each JSON text read once."""
+        return tx.let(F.from_json(item, "referent string, point string, confidence string"), lambda e: F.struct(
+            F.startswith(F.ltrim(item), F.lit("{")).alias("is_object"), e["referent"].alias("referent"), e["confidence"].alias("given"),
+            pl.json_number(e["confidence"]).alias("confidence"), F.transform(pl.json_items(e["point"]), pl.json_number).alias("xyz"),
+        ))
+
+    def problem(e: Column, i: Column) -> Column:
+        why = (F.when(~e["is_object"], "not_object").when(e["xyz"].isNull(), "missing_point").when(F.size(e["xyz"]) != 3, "wrong_dimension")
+               .when(F.exists(e["xyz"], lambda v: v.isNull()), "nonfinite_or_not_number")
+               .when(e["given"].isNotNull() & e["confidence"].isNull(), "invalid_confidence"))
+        return tx.let(why, lambda w: F.when(w.isNotNull(), F.concat(F.lit("point_entry_"), i.cast("string"), F.lit("_"), w)))
+
+    def keep(e: Column) -> Column:
+        point = F.struct(*[F.get(e["xyz"], i).alias(a) for i, a in enumerate("xyz")])
+        return F.struct(F.left(F.coalesce(e["referent"], F.lit("")), F.lit(120)).alias("referent"), point.alias("point"),
+                        tx.clamp(e["confidence"], 0.0, 1.0).alias("confidence"))
+
+    d = d.withColumn("_e", F.transform("_items", entry))
+    bad = F.get(F.filter(F.transform("_e", problem), lambda r: r.isNotNull()), 0)
     reason = (F.when(tx.norm_text(raw) == "", "empty_output")
               .when(F.col("_j").isNull() | F.try_parse_json("_j").isNull(), "invalid_json")
               .when(F.col("_items").isNull(), "missing_or_nonarray_points_3d")
               .otherwise(F.coalesce(bad, F.lit(""))))
     d = d.withColumn("invalid_reason", reason).withColumn("parse_ok", F.col("invalid_reason") == "")
-
-    def entry(item: Column) -> Column:
-        xyz = F.transform(numbers(item), pl.json_number)
-        point = F.struct(*[F.get(xyz, i).alias(a) for i, a in enumerate("xyz")])
-        return F.struct(
-            F.left(F.coalesce(pl.field(item, "referent"), F.lit("")), F.lit(120)).alias("referent"), point.alias("point"),
-            tx.clamp(pl.json_number(pl.field(item, "confidence")), 0.0, 1.0).alias("confidence"),
-        )
-
-    points = F.when(F.col("parse_ok"), F.transform("_items", entry))
-    empty = F.array().cast("array<struct<referent:string,point:struct<x:double,y:double,z:double>,confidence:double>>")
-    return d.withColumn("points", F.coalesce(points, empty)).drop("_j", "_items")
+    points = F.when(F.col("parse_ok"), F.transform("_e", keep))
+    return d.withColumn("points", F.coalesce(points, empty)).drop("_j", "_items", "_e")
 
 
 def reread_points(c: Column | str) -> Column:
@@ -87,18 +86,19 @@ def parse_point(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 def parse_referents(df: DataFrame, raw: str = "raw") -> DataFrame:
     """``referents[]`` with normalised panel ids, unit gates, coordinate space and clamped confidence."""
+    fields = ("mention", "panel_id", "coordinate_space", "point_source", "source", "space", "sheet_x_norm", "sheet_y_norm", "x_norm", "y_norm", "confidence")
     d = df.withColumn("_j", pl.object_candidates(raw))
-    items = F.coalesce(pl.json_items(pl.field(F.col("_j"), "referents")), F.array().cast("array<string>"))
-    objects = F.filter(items, lambda i: F.startswith(F.ltrim(i), F.lit("{")))
-
-    def entry(i: Column) -> Column:
-        panel = F.upper(tx.norm_text(pl.field(i, "panel_id")))
-        panel = F.when((panel != "") & ~panel.startswith("P"), F.concat(F.lit("P"), panel)).otherwise(panel)
-        space = F.coalesce(*[F.nullif(pl.field(i, n), F.lit("")) for n in ("coordinate_space", "point_source", "source", "space")])
-        unit = {n: tx.unit_gate(tx.finite_double(pl.field(i, n))).alias(n) for n in ("sheet_x_norm", "sheet_y_norm", "x_norm", "y_norm")}
+    items = F.coalesce(F.from_json("_j", "referents array<string>")["referents"], F.array().cast("array<string>"))
+    objects = F.transform(F.filter(items, lambda i: F.startswith(F.ltrim(i), F.lit("{"))),
+                          lambda i: F.from_json(i, ", ".join(f"{f} string" for f in fields)))
+
+    def entry(e: Column) -> Column:
+        panel = tx.let(F.upper(tx.norm_text(e["panel_id"])), lambda p: F.when((p != "") & ~p.startswith("P"), F.concat(F.lit("P"), p)).otherwise(p))
+        space = F.coalesce(*[F.nullif(e[n], F.lit("")) for n in ("coordinate_space", "point_source", "source", "space")])
+        unit = [tx.let(tx.finite_double(e[n]), tx.unit_gate).alias(n) for n in ("sheet_x_norm", "sheet_y_norm", "x_norm", "y_norm")]
         return F.struct(
-            tx.norm_text(pl.field(i, "mention")).alias("mention"), panel.alias("panel_id"), tx.coordinate_space(space).alias("coordinate_space"),
-            *unit.values(), tx.clamp(tx.finite_double(pl.field(i, "confidence")), 0.0, 1.0).alias("confidence"),
+            tx.norm_text(e["mention"]).alias("mention"), panel.alias("panel_id"), tx.let(space, tx.coordinate_space).alias("coordinate_space"),
+            *unit, tx.let(tx.finite_double(e["confidence"]), lambda c: tx.clamp(c, 0.0, 1.0)).alias("confidence"),
         )
 
     return d.withColumn("parse_ok", F.col("_j").isNotNull()).withColumn("referents", F.transform(objects, entry)).drop("_j")
@@ -106,24 +106,30 @@ def parse_referents(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 def _names(c: Column) -> Column:
     """Names of a JSON list (texts or objects) or of a separated text."""
-    named = F.transform(pl.json_items(c), lambda i: F.when(
-        F.startswith(F.ltrim(i), F.lit("{")), F.coalesce(F.nullif(pl.field(i, "object_name"), F.lit("")), pl.field(i, "selected_object_name"))
-    ).otherwise(i))
-    return F.coalesce(named, tx.split_names(c), F.array().cast("array<string>"))
+    def name(i: Column) -> Column:
+        named = F.from_json(i, "object_name string, selected_object_name string")
+        return F.when(F.startswith(F.ltrim(i), F.lit("{")), tx.let(named, lambda o: F.coalesce(F.nullif(o["object_name"], F.lit("")), o["selected_object_name"]))).otherwise(i)
+
+    none = F.array().cast("array<string>")
+    return tx.let(c, lambda t: F.when(t.isNull(), none).otherwise(F.coalesce(F.transform(pl.json_items(t), name), tx.split_names(t))))
+
+
+_BOX = "struct<selected_object_names:string,selected_objects:string,selected_object_name:string>"
+_ROW = "struct<object_name:string>"
+_GENERATIONS = f"adjusted_response {_BOX}, parsed_response {_BOX}, resolved_object_rows array<{_ROW}>, resolved_object_row {_ROW}"
 
 
 def collect_labels(c: Column | str) -> Column:
-    """Ordered unique labels over the generations of the answer schema."""
+    """Ordered unique labels over the generations of the answer schema; the payload is read once."""
+    def gather(p: Column) -> Column:
+        parts = []
+        for box in ("adjusted_response", "parsed_response"):
+            parts += [_names(p[box]["selected_object_names"]), _names(p[box]["selected_objects"]), F.array(p[box]["selected_object_name"])]
+        rows = F.coalesce(p["resolved_object_rows"]["object_name"], F.array().cast("array<string>"))
+        return F.concat(*parts, rows, F.array(p["resolved_object_row"]["object_name"]))
+
     text = F.col(c) if isinstance(c, str) else c
-    parts = []
-    for box in ("adjusted_response", "parsed_response"):
-        for name in ("selected_object_names", "selected_objects"):
-            parts.append(_names(F.get_json_object(text, f"$.{box}.{name}")))
-        parts.append(F.array(F.get_json_object(text, f"$.{box}.selected_object_name")))
-    rows = pl.json_items(pl.field(text, "resolved_object_rows"))
-    parts.append(F.coalesce(F.transform(rows, lambda r: pl.field(r, "object_name")), F.array().cast("array<string>")))
-    parts.append(F.array(F.get_json_object(text, "$.resolved_object_row.object_name")))
-    return tx.unique_by_key(F.concat(*parts))
+    return tx.unique_by_key(tx.let(F.from_json(text, _GENERATIONS), gather))
 
 
 def validate_selection(df: DataFrame, aliases: DataFrame, keys: Sequence[str], names: str = "names") -> DataFrame:

@@ -126,10 +126,11 @@ def anchor_set_metrics(keys: DataFrame, preds: DataFrame, gt_points: DataFrame,
 
 
 def gt_margins(gt: DataFrame, anchors: DataFrame) -> DataFrame:
-    """GT items with ``margin`` = half the distance to the closest other anchor (NULL when undefined)."""
-    rows = nearest_negative(gt, anchors).select(*KEY, F.inline("gt"))
-    margin = 0.5 * F.col("negative")
-    return rows.withColumn("margin", F.when(margin > 1e-12, margin))
+    """``gt_count`` and the GT items with a defined ``margin`` (half the distance to the closest other anchor)."""
+    rows = nearest_negative(gt, anchors)
+    items = F.transform("gt", lambda g: F.struct(g["gt_seq"].alias("gt_seq"), g["point"].alias("point"), (0.5 * g["negative"]).alias("margin")))
+    defined = F.filter(items, lambda g: g["margin"] > 1e-12)
+    return rows.select(*KEY, F.size("gt").cast("bigint").alias("gt_count"), defined.alias("defined"))
 
 
 def _pair_costs(preds: DataFrame, gt_rows: DataFrame, cost) -> DataFrame:
@@ -143,15 +144,14 @@ def margin_metrics(keys: DataFrame, preds: DataFrame, gt: DataFrame, anchors: Da
                    thresholds: Sequence[float] = (0.5, 1.0, 2.0)) -> DataFrame:
     """Margin-normalised matching per interaction: counts and F1 at each threshold, plus the error lists."""
     items = gt_margins(gt, anchors)
-    defined = items.filter("margin IS NOT NULL")
-    n_gt = items.groupBy(*KEY).agg(F.count("*").alias("gt_count"), F.count("margin").alias("defined_gt"))
     n_pred = preds.groupBy(*KEY).agg(F.count("*").alias("pred_count"))
-    costs = _pair_costs(preds, defined, lambda d: d / (F.col("margin") + 1e-12))
+    costs = _pair_costs(preds, items.select(*KEY, F.inline("defined")), lambda d: d / (F.col("margin") + 1e-12))
     solved = assign_min_cost(costs, max_gt).select(*KEY, "pairs")
-    margins = defined.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("gt_seq", "margin"))).alias("_m"))
-    rows = (keys.select(*KEY).join(n_gt, KEY, "left").join(n_pred, KEY, "left").join(solved, KEY, "left")
-            .join(margins, KEY, "left").fillna(0, ["gt_count", "defined_gt", "pred_count"]))
+    rows = keys.select(*KEY).join(items, KEY, "left").join(n_pred, KEY, "left").join(solved, KEY, "left")
+    rows = rows.withColumn("defined_gt", F.greatest(F.size("defined"), F.lit(0)).cast("bigint")).fillna(0, ["gt_count", "defined_gt", "pred_count"])
     empty = F.array().cast("array<double>")
+    margins = F.map_from_entries(F.transform("defined", lambda g: F.struct(g["gt_seq"], g["margin"])))
+    rows = rows.withColumn("_m", margins)
     errors = F.coalesce(F.col("pairs")["cost"], empty)
     euclid = F.coalesce(F.transform("pairs", lambda p: p["cost"] * (F.element_at("_m", p["gt_seq"]) + 1e-12)), empty)
     rows = rows.withColumn("margin_errors", errors).withColumn("euclidean_errors", euclid)
@@ -159,7 +159,7 @@ def margin_metrics(keys: DataFrame, preds: DataFrame, gt: DataFrame, anchors: Da
     names = []
     for t in thresholds:
         tag = str(t).replace(".", "_")
-        tp = F.size(F.filter("margin_errors", lambda e: e <= t)).cast("bigint")
+        tp = F.size(_up_to("margin_errors", t)).cast("bigint")
         out = out.withColumn(f"tp_{tag}", tp)
         # no prediction: no FP; predictions without any defined GT: all of them are FP
         out = out.withColumn(f"fp_{tag}", F.col("pred_count") - F.col(f"tp_{tag}"))
@@ -169,6 +169,10 @@ def margin_metrics(keys: DataFrame, preds: DataFrame, gt: DataFrame, anchors: Da
     return out.select(*KEY, "gt_count", "pred_count", "undefined_gt", *names, "margin_errors", "euclidean_errors")
 
 
+def _up_to(errors: str, threshold: float) -> Column:
+    return F.filter(errors, lambda e: e <= threshold)
+
+
 def scene_norm_errors(preds: DataFrame, gt: DataFrame, anchors: DataFrame, max_gt: int) -> DataFrame:
     """Euclidean assignment errors divided by the scene's robust diagonal."""
     items = gt.select(*KEY, F.inline("gt"))

@@ -37,6 +37,12 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if within_rows(df, limit) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a scan that has fewer splits than cores before costly per-row work; large scans pass through."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool = False) -> DataFrame:
     """One row per key: the one with the lowest (or highest) ``order``; partial aggregation before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

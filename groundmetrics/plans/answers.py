@@ -9,6 +9,7 @@ from groundmetrics.operators import batch as bt
 from groundmetrics.operators import parsing as ps
 from groundmetrics.operators import sets as st
 from groundmetrics.plans.closed_set import rounded
+from groundmetrics.operators.scale import spread
 from groundmetrics.plans.views import registry, view
 
 query, QUERIES, ORACLES = registry()
@@ -21,7 +22,7 @@ query, QUERIES, ORACLES = registry()
         CASE WHEN code IN (2, 11) THEN round(x + y + z, 9) ELSE 0 END AS coord_sum, CASE WHEN code IN (2, 11) THEN least(y, 1.0) END AS confidence
     FROM @v_raw""")
 def parse_points(spark, sf):
-    out = ps.parse_points(view(spark, sf, "v_raw"))
+    out = ps.parse_points(spread(view(spark, sf, "v_raw")))
     total = F.aggregate("points", F.lit(0.0), lambda s, p: s + p["point"]["x"] + p["point"]["y"] + p["point"]["z"])
     return out.select(*st.KEY, "pred_seq", "invalid_reason", "parse_ok", F.size("points").cast("bigint").alias("n_points"),
                       F.round(total, 9).alias("coord_sum"), F.get(F.col("points")["confidence"], 0).alias("confidence"))
@@ -29,7 +30,7 @@ def parse_points(spark, sf):
 
 @query("""SELECT scene, row_index, pred_seq, CASE WHEN code IN (2, 7, 8, 11) THEN 1 ELSE 0 END::BIGINT AS n_points FROM @v_raw""")
 def reread_points(spark, sf):
-    raw = view(spark, sf, "v_raw")
+    raw = spread(view(spark, sf, "v_raw"))
     inner = F.when(F.col("code") == 2, F.regexp_extract("raw", r"(?s)json\s*(\{.*\})\s*```", 1)).otherwise(F.col("raw"))
     return raw.select(*st.KEY, "pred_seq", F.size(ps.reread_points(inner)).cast("bigint").alias("n_points"))
 
@@ -38,7 +39,7 @@ def reread_points(spark, sf):
         WHEN 5 THEN 'point_3d_nonfinite_or_not_number' ELSE '' END AS invalid_reason, code IN (1, 2) AS parse_ok,
         CASE WHEN code IN (1, 2) THEN x END AS x, CASE WHEN code IN (1, 2) THEN z END AS z FROM @v_raw_point""")
 def parse_point(spark, sf):
-    out = ps.parse_point(view(spark, sf, "v_raw_point").drop("x", "y", "z"))
+    out = ps.parse_point(spread(view(spark, sf, "v_raw_point").drop("x", "y", "z")))
     return out.select(*st.KEY, "pred_seq", "invalid_reason", "parse_ok", "point.x", "point.z")
 
 
@@ -47,7 +48,7 @@ def parse_point(spark, sf):
         CASE WHEN code % 4 > 0 AND xn <= 1 THEN xn END AS x_norm, CASE WHEN code % 4 > 0 AND yn <= 1 THEN yn END AS y_norm,
         CASE WHEN code % 4 > 0 THEN 'gaze_crop' END AS coordinate_space FROM @v_raw_refs""")
 def parse_referents(spark, sf):
-    out = ps.parse_referents(view(spark, sf, "v_raw_refs"))
+    out = ps.parse_referents(spread(view(spark, sf, "v_raw_refs")))
     first = F.get("referents", 0)
     return out.select(*st.KEY, "pred_seq", "parse_ok", F.size("referents").cast("bigint").alias("n_referents"),
                       *[first[c].alias(c) for c in ("mention", "panel_id", "x_norm", "y_norm", "coordinate_space")])
@@ -63,7 +64,7 @@ LABEL_JSON = """SELECT scene, row_index, pred_seq, code, name, CASE code % 4
 @query("""SELECT scene, row_index, pred_seq, CASE code % 4 WHEN 0 THEN name || ',extra one' WHEN 1 THEN name || ',other' WHEN 2 THEN name || ',b,c,d' ELSE '' END AS labels
     FROM @v_raw_base""")
 def collect_labels(spark, sf):
-    out = view(spark, sf, LABEL_JSON)
+    out = spread(view(spark, sf, LABEL_JSON))
     return out.select(*st.KEY, "pred_seq", F.concat_ws(",", ps.collect_labels("payload")).alias("labels"))
 
 

@@ -10,7 +10,7 @@ from groundmetrics.operators import audit as au
 from groundmetrics.operators import nearest as nn
 from groundmetrics.operators import points as pt
 from groundmetrics.operators import sets as st
-from groundmetrics.operators.scale import global_rank
+from groundmetrics.operators.scale import global_rank, spread
 from groundmetrics.plans.closed_set import rounded
 from groundmetrics.plans.views import registry, view
 
@@ -60,7 +60,7 @@ NEAR_SQL = f"""near AS (
 
 @query(f"WITH {NEAR_SQL} SELECT scene, row_index, pred_seq, nearest_id, round(nearest_dist, 6) AS nearest_dist FROM near")
 def nearest_anchor(spark, sf):
-    out = nn.nearest_anchor(view(spark, sf, "v_preds"), anchors_of(spark, sf))
+    out = nn.nearest_anchor(spread(view(spark, sf, "v_preds")), anchors_of(spark, sf))
     return rounded(out.select(*st.KEY, "pred_seq", "nearest_id", "nearest_dist"), "nearest_dist")
 
 
