@@ -13,6 +13,7 @@ from groundmetrics.functions import geometry as geo
 from groundmetrics.functions import text as tx
 from groundmetrics.operators.scale import first_by, small_side
 from groundmetrics.operators.sets import KEY, prf
+from groundmetrics.session import checkpointed
 
 THRESHOLDS = (50.0, 100.0, 150.0, 200.0)
 
@@ -191,21 +192,81 @@ def _matcher(thresholds: Sequence[float]):
     return F.pandas_udf(run, "struct<" + ",".join(f"{n}:{_COUNTS}" for n in names) + ">")
 
 
-def greedy_match(keys: DataFrame, preds: DataFrame, gt: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
-    """Sequential matching of one answer's points to the manifest, all thresholds in one pass over the pairs.
+ANSWER_POINTS = 5_000
 
-    One interaction has one answer, whose points arrive as an ordered list; the GT list holds at most
-    referents x panels. Output: a struct of ``tp, fp, fn, dist`` per metric family.
+
+def greedy_match(keys: DataFrame, preds: DataFrame, gt: DataFrame, thresholds: Sequence[float] = THRESHOLDS,
+                 limit: int = ANSWER_POINTS) -> DataFrame:
+    """Sequential matching of one answer's points to the manifest; a struct of ``tp, fp, fn, dist`` per metric family.
+
+    Answers of up to ``limit`` points are matched as ordered lists, all thresholds in one pass over the
+    pairs. Longer ones go through ``greedy_rounds``. The GT list holds at most referents x panels.
     """
     p = F.struct("pred_seq", tx.label_key("mention", "alnum").alias("label"), F.col("pred_panel").alias("panel"),
                  F.col("x_norm").alias("x"), F.col("y_norm").alias("y"))
     g = F.struct("manifest_seq", "referent", tx.label_key("referent", "alnum").alias("label"), F.col("panel_id").alias("panel"),
                  F.col("gt_u").alias("u"), F.col("gt_v").alias("v"), F.col("image_width").cast("double").alias("w"),
                  F.col("image_height").cast("double").alias("h"), F.col("evidence_acceptable").alias("ok"))
-    pl = preds.groupBy(*KEY).agg(F.array_sort(F.collect_list(p)).alias("_p"))
     gl = gt.groupBy(*KEY).agg(F.array_sort(F.collect_list(g)).alias("_g"))
-    rows = keys.select(*KEY).join(pl, KEY, "left").join(gl, KEY, "left")
-    return rows.withColumn("_m", _matcher(thresholds)("_p", "_g")).select(*KEY, "_m.*")
+    long = preds.groupBy(*KEY).agg(F.count("*").alias("n_pred")).filter(F.col("n_pred") > limit)
+    any_long = bool(long.limit(1).count())
+    short = preds.join(small_side(long.select(*KEY)), KEY, "left_anti") if any_long else preds
+    todo = keys.select(*KEY).join(small_side(long.select(*KEY)), KEY, "left_anti") if any_long else keys.select(*KEY)
+    pl = short.groupBy(*KEY).agg(F.array_sort(F.collect_list(p)).alias("_p"))
+    rows = todo.join(pl, KEY, "left").join(gl, KEY, "left")
+    out = rows.withColumn("_m", _matcher(thresholds)("_p", "_g")).select(*KEY, "_m.*")
+    if not any_long:
+        return out
+    points = preds.join(small_side(long.select(*KEY)), KEY, "left_semi").select(*KEY, p.alias("_p"))
+    wanted = long.join(keys.select(*KEY), KEY, "left_semi").join(gl, KEY, "left")
+    return out.unionByName(greedy_rounds(points, wanted, thresholds).select(*out.columns))
+
+
+def greedy_rounds(points: DataFrame, answers: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """The same greedy rule for answers of any length, without ever gathering an answer.
+
+    The outcome of a point depends only on which referents are taken. So each round looks, in parallel
+    over all points behind the last match, for the first point that matches given the taken set. Every
+    round takes one referent per answer and metric family, hence there are at most as many rounds as
+    referents; the state between rounds is one small row per answer and family.
+    """
+    families = [("time", float("inf"), True, True)]
+    families += [(f"{k}_{int(t)}", t, k == "joint", False) for k in ("point", "joint") for t in thresholds]
+    table = F.array(*[F.struct(F.lit(n).alias("family"), F.lit(t).alias("limit"), F.lit(j).alias("joint"), F.lit(o).alias("by_order"))
+                      for n, t, j, o in families])
+    state = answers.select(*KEY, "n_pred", F.coalesce("_g", F.array().cast(answers.schema["_g"].dataType)).alias("_g"), F.inline(table))
+    pool = F.filter("_g", lambda g: g["ok"] | ~F.col("joint"))
+    state = state.withColumn("_g", pool).withColumn("taken", F.array().cast("array<string>"))
+    state = state.withColumn("total", F.size(F.array_distinct(F.col("_g")["referent"])))
+    state = state.withColumns({"at": F.lit(None).cast("bigint"), "dist": F.lit(0.0), "live": F.col("total") > 0})
+    state = checkpointed(state)
+    p = F.col("_p")
+
+    def best(open_gt: Column) -> Column:
+        named = F.filter(open_gt, lambda g: (p["label"] != "") & (g["label"] == p["label"]))
+        used = F.when(F.size(named) > 0, named).otherwise(open_gt)
+        placed = F.filter(used, lambda g: (g["panel"] == p["panel"]) & (F.col("by_order") | (p["x"].isNotNull() & p["y"].isNotNull())))
+        return F.array_min(F.transform(placed, lambda g: F.struct(
+            F.when(F.col("by_order"), 0.0).otherwise(F.hypot((p["x"] - g["u"]) * g["w"], (p["y"] - g["v"]) * g["h"])).alias("d"),
+            g["manifest_seq"].alias("seq"), g["referent"].alias("referent"))))
+
+    while state.filter("live").limit(1).count():
+        now = small_side(state.filter("live"))
+        seen = points.join(now, KEY).filter(F.col("at").isNull() | (p["pred_seq"] > F.col("at")))
+        pick = seen.withColumn("_b", best(F.filter("_g", lambda g: ~F.array_contains("taken", g["referent"]))))
+        pick = pick.filter(F.col("_b").isNotNull() & (F.col("_b.d") <= F.col("limit")))
+        first = pick.groupBy(*KEY, "family").agg(F.min(p["pred_seq"]).alias("_at"), F.min_by("_b", p["pred_seq"]).alias("_b"))
+        moved = state.join(first, [*KEY, "family"], "left")
+        hit = F.col("_b").isNotNull()
+        taken = F.when(hit, F.array_append("taken", F.col("_b.referent"))).otherwise(F.col("taken"))
+        state = checkpointed(moved.select(
+            *KEY, "n_pred", "_g", "family", "limit", "joint", "by_order", taken.alias("taken"), "total", F.coalesce("_at", "at").alias("at"),
+            (F.col("dist") + F.when(hit, F.col("_b.d")).otherwise(0.0)).alias("dist"),
+            (F.col("live") & hit & (F.size(taken) < F.col("total"))).alias("live"),
+        ))
+    tp = F.size("taken").cast("bigint")
+    counts = F.struct(tp.alias("tp"), (F.col("n_pred") - tp).alias("fp"), (F.col("total") - tp).cast("bigint").alias("fn"), F.col("dist"))
+    return state.groupBy(*KEY).agg(*[F.max(F.when(F.col("family") == n, counts)).alias(n) for n, *_ in families])
 
 
 def summary_2d(detail: DataFrame, by: Sequence[str], thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:

@@ -175,9 +175,12 @@ def merge_strict(shards: Sequence[DataFrame], keys: Sequence[str] = KEY) -> tupl
     return rows, duplicates
 
 
-def expected_grid(counts: DataFrame) -> DataFrame:
-    """``scene, n`` to one row per expected ``row_index`` (0-based)."""
-    return counts.filter("n > 0").select("scene", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("row_index"))
+def expected_grid(counts: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """``scene, n`` to one row per expected ``row_index`` (0-based), generated chunk by chunk over many tasks."""
+    starts = counts.filter("n > 0").select("scene", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk))).alias("_c"))
+    starts = starts.repartition("scene", "_c")
+    last = F.least(F.col("n"), (F.col("_c") + 1) * chunk) - 1
+    return starts.select("scene", F.explode(F.sequence(F.col("_c") * chunk, last)).alias("row_index"))
 
 
 def completion_targets(grid: DataFrame, preds: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ EVENT = [*KEY, "day"]
 STEP_S = 3600.0
 WINDOW = 6 * HOUR_US
 GAP = 2 * HOUR_US
-SLICE = 6 * HOUR_US
+SLICE = HOUR_US // 6
 W, H = 1280, 720
 
 

@@ -82,8 +82,9 @@ VIEWS: dict[str, str] = {
                (price % 13) / 13 AS panel_score, panel_index * 1.5 AS video_time
         FROM (SELECT g.*, p.panel_index FROM (
                 SELECT concat('scene', CAST(l_orderkey % 4 AS STRING)) AS scene, l_orderkey AS row_index, n_name AS referent,
-                       (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey AS gt_seq, l_extendedprice AS price
-                FROM @lineitem JOIN @nation ON l_suppkey % 25 = n_nationkey WHERE l_returnflag <> 'N') g,
+                       min((l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey) AS gt_seq,
+                       min_by(l_extendedprice, (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey) AS price
+                FROM @lineitem JOIN @nation ON l_suppkey % 25 = n_nationkey WHERE l_returnflag <> 'N' GROUP BY l_orderkey, n_name) g,
               (SELECT 1 AS panel_index UNION ALL SELECT 2 UNION ALL SELECT 3) p) m""",
     # Raw model answers, one per line item, damaged in twelve ways by part number.
     "v_raw_base": """

@@ -35,7 +35,13 @@ def test_greedy_match(spark):
     p = spark.createDataFrame(preds, "scene string, row_index bigint, pred_seq bigint, mention string, pred_panel string, x_norm double, y_norm double")
     g = spark.createDataFrame(gts, "scene string, row_index bigint, manifest_seq bigint, referent string, panel_id string, gt_u double, gt_v double, image_width int, image_height int, evidence_acceptable boolean")
     keys = spark.createDataFrame([("s", k) for k in range(40)], "scene string, row_index bigint")
-    for row in pn.greedy_match(keys, p, g).collect():
+    listed = pn.greedy_match(keys, p, g).collect()
+    rounds = {r.row_index: r for r in pn.greedy_match(keys, p, g, limit=1).collect()}  # answers of two points and more go round by round
+    assert len(rounds) == 40
+    for row in listed:
+        for name in pn.match_names():
+            a, b = row[name], rounds[row.row_index][name]
+            assert (a.tp, a.fp, a.fn) == (b.tp, b.fp, b.fn) and abs(a.dist - b.dist) < 1e-9
         mine = [dict(label="".join(c for c in q[3].lower() if c.isalnum()), panel=q[4], x=q[5], y=q[6]) for q in preds if q[1] == row.row_index]
         truth = [dict(referent=q[3], label="".join(c for c in q[3].lower() if c.isalnum()), panel=q[4], u=q[5], v=q[6], ok=q[9]) for q in gts if q[1] == row.row_index]
         for t in (50, 100, 150, 200):
