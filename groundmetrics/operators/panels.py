@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groundmetrics.functions import geometry as geo
 from groundmetrics.functions import text as tx
-from groundmetrics.operators.scale import first_by, small_side
+from groundmetrics.operators.scale import first_by, small_side, within_rows
 from groundmetrics.operators.sets import KEY, prf
 from groundmetrics.session import checkpointed
 
@@ -239,7 +239,8 @@ def greedy_rounds(points: DataFrame, answers: DataFrame, thresholds: Sequence[fl
     state = state.withColumn("_g", pool).withColumn("taken", F.array().cast("array<string>"))
     state = state.withColumn("total", F.size(F.array_distinct(F.col("_g")["referent"])))
     state = state.withColumns({"at": F.lit(None).cast("bigint"), "dist": F.lit(0.0), "live": F.col("total") > 0})
-    state = checkpointed(state)
+    side = F.broadcast if within_rows(state) else (lambda df: df)  # nine rows per long answer
+    state, points = checkpointed(state), checkpointed(points)
     p = F.col("_p")
 
     def best(open_gt: Column) -> Column:
@@ -251,12 +252,11 @@ def greedy_rounds(points: DataFrame, answers: DataFrame, thresholds: Sequence[fl
             g["manifest_seq"].alias("seq"), g["referent"].alias("referent"))))
 
     while state.filter("live").limit(1).count():
-        now = small_side(state.filter("live"))
-        seen = points.join(now, KEY).filter(F.col("at").isNull() | (p["pred_seq"] > F.col("at")))
+        seen = points.join(side(state.filter("live")), KEY).filter(F.col("at").isNull() | (p["pred_seq"] > F.col("at")))
         pick = seen.withColumn("_b", best(F.filter("_g", lambda g: ~F.array_contains("taken", g["referent"]))))
         pick = pick.filter(F.col("_b").isNotNull() & (F.col("_b.d") <= F.col("limit")))
         first = pick.groupBy(*KEY, "family").agg(F.min(p["pred_seq"]).alias("_at"), F.min_by("_b", p["pred_seq"]).alias("_b"))
-        moved = state.join(first, [*KEY, "family"], "left")
+        moved = state.join(side(first), [*KEY, "family"], "left")
         hit = F.col("_b").isNotNull()
         taken = F.when(hit, F.array_append("taken", F.col("_b.referent"))).otherwise(F.col("taken"))
         state = checkpointed(moved.select(
