@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groundmetrics.functions import geometry as geo
 from groundmetrics.functions import text as tx
-from groundmetrics.operators.scale import first_by, small_side, within_rows
+from groundmetrics.operators.scale import first_by, small_side, spread, within_rows
 from groundmetrics.operators.sets import KEY, prf
 from groundmetrics.session import checkpointed
 
@@ -240,20 +240,22 @@ def greedy_rounds(points: DataFrame, answers: DataFrame, thresholds: Sequence[fl
     state = state.withColumn("total", F.size(F.array_distinct(F.col("_g")["referent"])))
     state = state.withColumns({"at": F.lit(None).cast("bigint"), "dist": F.lit(0.0), "live": F.col("total") > 0})
     side = F.broadcast if within_rows(state) else (lambda df: df)  # nine rows per long answer
-    state, points = checkpointed(state), checkpointed(points)
+    state, points = checkpointed(state), checkpointed(spread(points))
     p = F.col("_p")
 
-    def best(open_gt: Column) -> Column:
-        named = F.filter(open_gt, lambda g: (p["label"] != "") & (g["label"] == p["label"]))
-        used = F.when(F.size(named) > 0, named).otherwise(open_gt)
+    def closest(used: Column) -> Column:
         placed = F.filter(used, lambda g: (g["panel"] == p["panel"]) & (F.col("by_order") | (p["x"].isNotNull() & p["y"].isNotNull())))
         return F.array_min(F.transform(placed, lambda g: F.struct(
             F.when(F.col("by_order"), 0.0).otherwise(F.hypot((p["x"] - g["u"]) * g["w"], (p["y"] - g["v"]) * g["h"])).alias("d"),
             g["manifest_seq"].alias("seq"), g["referent"].alias("referent"))))
 
+    def best(open_gt: Column) -> Column:
+        named = F.filter(open_gt, lambda g: (p["label"] != "") & (g["label"] == p["label"]))
+        return tx.let(named, lambda n: tx.let(F.when(F.size(n) > 0, n).otherwise(open_gt), closest))
+
     while state.filter("live").limit(1).count():
         seen = points.join(side(state.filter("live")), KEY).filter(F.col("at").isNull() | (p["pred_seq"] > F.col("at")))
-        pick = seen.withColumn("_b", best(F.filter("_g", lambda g: ~F.array_contains("taken", g["referent"]))))
+        pick = seen.withColumn("_b", tx.let(F.filter("_g", lambda g: ~F.array_contains("taken", g["referent"])), best))
         pick = pick.filter(F.col("_b").isNotNull() & (F.col("_b.d") <= F.col("limit")))
         first = pick.groupBy(*KEY, "family").agg(F.min(p["pred_seq"]).alias("_at"), F.min_by("_b", p["pred_seq"]).alias("_b"))
         moved = state.join(side(first), [*KEY, "family"], "left")
