@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each SimHash group of five-word shingles."""
+    """One document, that of the smallest id, of each group with a similarity of 0.8 or more on five-word shingles."""
     return simhash.keep_one(docs, words=5)
 
 

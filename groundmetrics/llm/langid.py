@@ -122,11 +122,9 @@ def held_out(docs: DataFrame) -> DataFrame:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): a row per document row; predictions see the text only."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches):
         for b in batches:
-            got = [decide(t, sent.value) for t in b.column("text").to_pylist()]
+            got = [decide(t, model) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())],
                                              ["doc_id", "held_out", "lang_pred", "score"])
 

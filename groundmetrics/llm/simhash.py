@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundmetrics.llm.common import components, documents, map_batches, written
+from groundmetrics.llm.common import components, documents, map_batches, mix64, shingle_hashes, written
 
 RADIUS, TILE = 2, 4096
 
@@ -139,8 +139,113 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     return rows.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with the row of the smallest id of each group; rows that repeat (doc_id, text) are kept once, null ids stay."""
-    kept = written(near_duplicates(docs, words, radius).filter("doc_id = component_id").select("doc_id").distinct())
+# Near duplicates by similarity: the same tiled comparison over wider distances, for stages that ask for 0.8 or more.
+
+SLOTS, BANDS, BAND_SLOTS = 128, 8, 2
+WIDE, SIMILARITY = 20, 0.78
+_ODD = mix64(np.arange(1, SLOTS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def signature(text: str, words: int = 5) -> tuple[int, bytes, list[int]]:
+    """(SimHash, one byte of each of SLOTS minima of shingle hashes, band keys) of the lower-cased words."""
+    h = np.unique(shingle_hashes(text.encode().lower(), words))
+    if not len(h):
+        return 0, bytes(SLOTS), [0] * BANDS
+    low = np.full(SLOTS, np.uint64(2**64 - 1))
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 14):
+        part = h[at : at + (1 << 14)]
+        for i in range(SLOTS):
+            low[i] = min(low[i], (part * _ODD[i]).min())
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    fp = int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+    low = mix64(low)
+    keys = low[:BANDS].copy()
+    for i in range(1, BAND_SLOTS):
+        keys = mix64(keys * _ODD[i] + low[i * BANDS : (i + 1) * BANDS])
+    return fp, (low & np.uint64(255)).astype(np.uint8).tobytes(), keys.view(np.int64).tolist()
+
+
+def similar_stars(ids: np.ndarray, fp: np.ndarray, sig: np.ndarray, tile: int = 512) -> list[tuple[int, int]]:
+    """Links (id, id of its group here) of rows whose fingerprints differ in at most WIDE bits and whose signatures agree in
+    SIMILARITY of the slots. Tiles are ordered by population count; pairs that are already connected are passed over."""
+    pop = np.bitwise_count(fp)
+    order = np.lexsort((ids, pop))
+    ids, fp, sig, pop = ids[order], fp[order], sig[order], pop[order].astype(np.int64)
+    root = np.arange(len(fp))
+    for a in range(0, len(fp), tile):
+        last = min(a + tile, len(fp)) - 1
+        for b in range(a, len(fp), tile):
+            if pop[b] - pop[last] > WIDE:
+                break
+            near = np.bitwise_count(fp[a : a + tile, None] ^ fp[None, b : b + tile]) <= WIDE
+            for p in np.flatnonzero(near.any(1)):
+                j = np.flatnonzero(near[p]) + b
+                j = j[(root[j] != root[p + a]) & (j > p + a)]
+                if len(j):
+                    j = j[(sig[j] == sig[p + a]).mean(1) >= SIMILARITY]
+                    if len(j):
+                        all_ = np.unique(np.append(root[j], root[p + a]))
+                        root[np.isin(root, all_)] = all_[0]
+    return [(int(ids[i]), int(ids[root[i]])) for i in np.flatnonzero(root != np.arange(len(fp)))]
+
+
+def similar_groups(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, component_id) of documents linked by a similarity of 0.8 or more on word shingles.
+
+    Texts that agree in all slots and bits are one class. Classes meet in tiles by band key (two minima of eight bands: a
+    pair at 0.8 meets with probability 0.9997) and are compared there as above. component_id is the smallest linked doc_id;
+    rows without id are left out.
+    """
+    def sign(batches):
+        for b in batches:
+            got = [signature(t, words) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(np.array([g[0] for g in got], np.uint64).view(np.int64)), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.list_(pa.int64()))],
+                                             ["doc_id", "fp", "sig", "keys"])
+
+    rows = written(map_batches(documents(docs).filter("doc_id is not null"), sign, "doc_id long, fp long, sig binary, keys array<long>").withColumn("class", F.xxhash64("fp", "sig")))
+    classes = written(rows.groupBy("class").agg(F.min("doc_id").alias("id"), F.any_value("fp").alias("fp"), F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys")))
+    keyed = classes.select("id", "fp", "sig", F.posexplode("keys").alias("c", "k"))
+    counts = written(classes.select(F.posexplode("keys").alias("c", "k")).groupBy("c", "k").agg(F.count("*").alias("n")).filter("n > 1"))
+    parts = F.ceil(F.col("n") / TILE).cast("long")
+    mine = F.pmod(F.xxhash64("id"), parts)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda o: F.struct(F.least(mine, o).alias("t"), F.greatest(mine, o).alias("u")))
+    tiles = keyed.join(counts, ["c", "k"]).select("c", "k", F.explode(pairs).alias("p"), "id", "fp", "sig").select("c", "k", "p.t", "p.u", "id", "fp", "sig")
+    tiles = tiles.repartition("c", "k", "t", "u").sortWithinPartitions("c", "k", "t", "u")
+
+    def run(batches):
+        held: list[tuple] = []
+        key = None
+
+        def close():
+            return similar_stars(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else []
+
+        def batch(found):
+            return pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), pa.array([f for _, f in found], pa.int64())], ["a", "b"])
+
+        for x in batches:
+            if not x.num_rows:
+                continue
+            at = np.stack([x.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("c", "k", "t", "u")], 1)
+            ids, fp = x.column("id").to_numpy(zero_copy_only=False), x.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            sig = np.frombuffer(b"".join(x.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
+            cuts = np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1
+            found = []
+            for s, e in zip([0, *cuts], [*cuts, len(fp)], strict=True):
+                if key is None or (at[s] != key).any():
+                    found += close()
+                    held, key = [], at[s].copy()
+                held.append((ids[s:e].copy(), fp[s:e].copy(), sig[s:e].copy()))
+            yield batch(found)
+        yield batch(close())
+
+    roots = components(map_batches(tiles, run, "a long, b long"))
+    label = written(classes.join(roots, classes["id"] == roots["v"], "left").select("class", F.coalesce("root", "id").alias("component_id")))
+    return rows.select("doc_id", "class").join(label, "class").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``docs`` with the row of the smallest id of each group of similar documents; a repeated (doc_id, text) stays once, rows without id stay."""
+    kept = written(similar_groups(docs, words).filter("doc_id = component_id").select("doc_id").distinct())
     named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
     return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id is null"))
