@@ -8,7 +8,9 @@ below 16 MiB (longer records get an empty member appended), so that the writer's
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import json
 import zlib
 
 import pyarrow as pa
@@ -93,11 +95,17 @@ def member(data: bytes, level: int = 1) -> bytes:
     return out if out[-1] == 0 else out + gzip.compress(b"", level, mtime=0)
 
 
+INDEX = "record_no long, offset long, length long, page_id string, record_type string"
+
+
 def normalise(spark: SparkSession, source: str, target: str, glob: str = "*.gz") -> DataFrame:
-    """Rewrites the archives in ``source``: each record its own member, below ``target``/warc, index in ``target``/index.
+    """Rewrites the archives in ``source``: each record its own member, below ``target``/kind=warc/archive=<name>, with a sidecar
+    index of JSON entries below ``target``/kind=index/archive=<name>.
 
-    Each file is inflated once, as a stream. Returns the index: archive, record_no, offset, length, page_id, record_type.
-    An archive without records leaves no file. Files must fit a task (they are read whole, compressed).
+    Each file is inflated once, as a stream, by the task that read it; members and index entries leave in one write without a
+    shuffle (a file is never split, so an archive's members keep their order within the task). Returns the index: archive,
+    record_no, offset, length, page_id, record_type. An archive without records leaves no file. Files must fit a task
+    (they are read whole, compressed).
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(source).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
 
@@ -107,61 +115,106 @@ def normalise(spark: SparkSession, source: str, target: str, glob: str = "*.gz")
                 rows, at, n, held = [], 0, 0, 0
 
                 def batch(rows, name=name):
-                    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                    return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
-                                                      ["archive", "record_no", "offset", "length", "page_id", "record_type", "member"])
+                    cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+                    return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int64(), pa.binary()], strict=True))],
+                                                      ["archive", "kind", "record_no", "value"])
 
                 for fields, head, payload in records_of(_Chunks(content.as_py())):
                     m = member(head + payload + b"\r\n\r\n")
-                    rows.append((n, at, len(m), fields.get("x-page-id"), fields.get("warc-type"), m))
+                    entry = {"record_no": n, "offset": at, "length": len(m), "page_id": fields.get("x-page-id"), "record_type": fields.get("warc-type")}
+                    rows += [("warc", n, m[:-1]), ("index", n, json.dumps(entry).encode())]
                     at, n, held = at + len(m), n + 1, held + len(m)
                     if held > 4 << 20:
                         yield batch(rows)
                         rows, held = [], 0
                 yield batch(rows)
 
-    members = written(map_batches(files, run, "archive string, record_no long, offset long, length long, page_id string, record_type string, member binary"))
-    members.select("archive", F.expr("substring(member, 1, length(member) - 1)").cast("string").alias("value"), "record_no") \
-        .repartition("archive").sortWithinPartitions("archive", "record_no").select("archive", "value") \
-        .write.partitionBy("archive").option("lineSep", "\0").text(f"{target}/warc")
-    index = members.drop("member").withColumn("page_id", F.expr("try_cast(page_id as long)"))
-    index.write.parquet(f"{target}/index")
-    return spark.read.parquet(f"{target}/index")
+    lines = map_batches(files, run, "archive string, kind string, record_no long, value binary").withColumn("value", F.col("value").cast("string"))
+    lines.sortWithinPartitions("kind", "archive", "record_no").select("kind", "archive", "value").write.partitionBy("kind", "archive").option("lineSep", "\0").text(target)
+    return read_index(spark, target)
+
+
+def read_index(spark: SparkSession, target: str) -> DataFrame:
+    """The sidecar entries of all archives below ``target``; none if there are no archives."""
+    lines = spark.read.option("lineSep", "\0").text(target)
+    if "kind" not in lines.columns:
+        return spark.createDataFrame([], f"archive string, {INDEX}").withColumn("page_id", F.col("page_id").cast("long"))
+    lines = lines.filter("kind = 'index'").select(F.col("archive").cast("string"), F.from_json("value", INDEX).alias("x"))
+    return lines.select("archive", "x.*").withColumn("page_id", F.expr("try_cast(page_id as long)"))
+
+
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
+
+
+def _archives(spark: SparkSession, target: str) -> DataFrame:
+    """(archive, content); the index files are left out by their folder."""
+    if "kind" not in spark.read.text(target).columns:
+        return spark.createDataFrame([], "archive string, content binary")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{target}/kind=warc")
+    return files.select(F.regexp_extract("path", "/archive=([^/]+)/", 1).alias("archive"), "content")
+
+
+def _record(part: bytes, offset: int, length: int, archive: str) -> tuple:
+    fields, _, payload = next(records_of(io.BytesIO(part)))
+    revisit = fields["warc-type"] == "revisit"
+    digest = fields["warc-payload-digest"].removeprefix("sha1:")
+    if not revisit and hashlib.sha1(payload).hexdigest() != digest:
+        raise ValueError("payload differs from its digest")
+    page, to = fields.get("x-page-id"), fields.get("x-refers-to")
+    return (int(page) if page else None, int(fields["x-payload-length"]) if revisit else len(payload), digest, fields["warc-type"], int(to) if to else None, archive, offset, length)
+
+
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in RECORD.split(", ")])
 
 
 def read_archives(spark: SparkSession, target: str) -> DataFrame:
-    """Reads normalised archives member by member at the offsets of their index: a row per record.
+    """Reads whole normalised archives, member after member, and holds each record against its index entry: a row per record.
 
     Columns: page_id, payload_bytes, payload_digest (of the payload itself for responses, from the header for revisits),
-    record_type, refers_to, archive, offset, length.
+    record_type, refers_to, archive, offset, length. Payloads stay in the task that reads the archive; only these rows meet
+    the index. A record that the index lacks, or an entry without its record, is an error.
     """
-    where = spark.read.parquet(f"{target}/index").groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at"))  # at most the records of one file
-    files = spark.read.format("binaryFile").load(f"{target}/warc").select("archive", "content")
-    files = files.join(where, "archive")
 
     def run(batches):
-        import hashlib
+        for b in batches:
+            for name, content in zip(b.column("archive").to_pylist(), b.column("content"), strict=True):
+                data, at, rows = memoryview(content.as_buffer()), 0, []
+                while at < len(data):
+                    start, part = at, b""
+                    while at == start or data[at - 1]:  # a record's last byte is zero, if need be that of an empty member
+                        d = zlib.decompressobj(31)
+                        while not d.eof:
+                            if at >= len(data):
+                                raise ValueError("truncated member")
+                            piece = data[at : at + (1 << 16)]
+                            part += d.decompress(piece)
+                            at += len(piece) - len(d.unused_data)
+                    rows.append(_record(part, start, at - start, name))
+                yield _record_batch(rows)
+
+    found = map_batches(_archives(spark, target), run, RECORD)
+    index = read_index(spark, target).select("archive", "offset", "length", F.lit(True).alias("_listed"))
+    both = found.withColumn("_read", F.lit(True)).join(index, ["archive", "offset", "length"], "full")
+    agreed = F.when(F.col("_listed") & F.col("_read"), F.col("page_id")).otherwise(F.raise_error(F.lit("archive and index differ")).cast("long"))
+    return both.withColumn("page_id", agreed).select([x.split()[0] for x in RECORD.split(", ")])
+
+
+def read_records(spark: SparkSession, target: str, page_ids: DataFrame) -> DataFrame:
+    """The records of the wanted pages (column page_id) at the offsets of the index; other members are not inflated."""
+    at = read_index(spark, target).join(page_ids.select("page_id").distinct(), "page_id", "left_semi")
+    where = at.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("at"))  # at most the records of one file
+    files = _archives(spark, target).join(where, "archive")
 
+    def run(batches):
         for b in batches:
             for name, content, at in zip(b.column("archive").to_pylist(), b.column("content"), b.column("at").to_pylist(), strict=True):
-                data, rows = memoryview(content.as_buffer()), []
-                for x in at:
-                    part = data[x["offset"] : x["offset"] + x["length"]]
-                    d = zlib.decompressobj(31)
-                    fields, _, payload = next(records_of(io.BytesIO(d.decompress(part) + d.flush())))
-                    revisit = fields["warc-type"] == "revisit"
-                    digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                    if not revisit and hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError("payload differs from its digest")
-                    page, to = fields.get("x-page-id"), fields.get("x-refers-to")
-                    rows.append((int(page) if page else None, int(fields["x-payload-length"]) if revisit else len(payload), digest, fields["warc-type"], int(to) if to else None, x["offset"], x["length"]))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-                arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*arrays[:5], pa.array([name] * len(rows), pa.string()), *arrays[5:]], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length"])
-
-    return map_batches(files, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long")
+                data = memoryview(content.as_buffer())
+                yield _record_batch([_record(gzip.decompress(data[x["offset"] : x["offset"] + x["length"]]), x["offset"], x["length"], name) for x in at])
+
+    return map_batches(files, run, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -169,7 +222,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = shared_folder(spark)
     write_monolithic(plan_records(pages), f"{folder}/raw")
-    index = normalise(spark, f"{folder}/raw", f"{folder}/normal")
-    if index.isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long")
+    normalise(spark, f"{folder}/raw", f"{folder}/normal")
     return read_archives(spark, f"{folder}/normal")

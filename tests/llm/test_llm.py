@@ -46,6 +46,11 @@ def test_warc_nulls_copies_and_empty(spark):
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
     assert got == {1: (2000, "revisit", 2), 2: (2000, "response", None), 3: (0, "response", None), None: (0, "response", None), 5: (5, "response", None), 6: (5, "response", None)}
     assert warc.round_trip(pages.limit(0)).count() == 0
+    folder = warc.shared_folder(spark)
+    warc.write_monolithic(warc.plan_records(pages), f"{folder}/raw", 2)
+    warc.normalise(spark, f"{folder}/raw", f"{folder}/normal")
+    some = warc.read_records(spark, f"{folder}/normal", spark.createDataFrame([(2,), (5,), (99,)], "page_id long")).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in some) == [(2, 2000), (5, 5)]
     assert warc.member(b"a" * 100)[-1] == 0
 
 
