@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,41 +51,44 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_BYTE = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _MUL)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_LONG = 1024
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A uint64 per word (maximal run without ASCII white space), from polynomial prefix sums modulo 2**64."""
-    b = np.frombuffer(data, np.uint8)
-    if not len(b):
-        return np.empty(0, np.uint64)
+def word_bounds(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words (maximal runs without ASCII white space) in an array of bytes."""
     edge = np.diff(np.concatenate(([1], _SPACE[b].astype(np.int8), [1])))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A uint64 per word, from its length and its bytes, eight at a time for all words at once."""
+    start, end = word_bounds(np.frombuffer(data, np.uint8))
+    length = end - start
+    out = length.astype(np.uint64) * _MUL
     if not len(start):
-        return np.empty(0, np.uint64)
-    long = int((end - start).max())
-    out = np.zeros(len(start), np.uint64)
-    if long <= 64:
-        # one vectorised step per byte position of the longest word
-        length = end - start
-        alive = np.arange(len(start))
-        for k in range(long):
-            alive = alive[length[alive] > k]
-            out[alive] = out[alive] * _MUL + _BYTE[b[start[alive] + k]]
-    else:
-        powers = np.full(len(b), _MUL, np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        inverse = np.uint64(pow(int(_MUL), -1, 1 << 64))
-        back = np.full(len(b), inverse, np.uint64)
-        back[0] = 1
-        back = np.multiply.accumulate(back)
-        total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(_BYTE[b] * back)))
-        out = (total[end] - total[start]) * powers[end - 1]
+        return out
+    padded = data + bytes(8)
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    alive, at = np.flatnonzero(length <= _LONG), 0
+    while len(alive):
+        left = length[alive] - at
+        out[alive] = (out[alive] ^ mix64(eight[start[alive] + at] & _KEEP[np.minimum(left, 8)])) * _MUL
+        alive, at = alive[left > 8], at + 8
+    for i in np.flatnonzero(length > _LONG):
+        out[i] = np.uint64(xxhash.xxh64_intdigest(data[start[i] : end[i]]))
     return mix64(out)
 
 
+def word_hashes_of(texts: list[bytes]) -> list[np.ndarray]:
+    """``word_hashes`` of every text, computed together so that short texts cost no calls of their own."""
+    joined = b" ".join(texts)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    starts, _ = word_bounds(np.frombuffer(joined, np.uint8))
+    return np.split(word_hashes(joined), np.searchsorted(starts, ends[:-1])) if texts else []
+
+
 def shingle_hashes(data: bytes, k: int) -> np.ndarray:
     """uint64 hashes of the k-word shingles; of the whole sequence if there are fewer words; none without words."""
     w = word_hashes(data)

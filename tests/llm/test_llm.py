@@ -14,7 +14,7 @@ import xxhash
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from groundmetrics.llm import chat, decontaminate, langid, licenses, packing, queries, secrets, simhash, sketches, toxicity, warc  # noqa: E402
+from groundmetrics.llm import chat, common, decontaminate, langid, licenses, packing, queries, secrets, simhash, sketches, toxicity, warc  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -183,6 +183,25 @@ def test_language(spark, odd):
     assert {r.lang_pred for r in blank} == {"und"}
 
 
+def texts_of(docs):
+    return docs.select("doc_id", "text").collect()
+
+
+def brute_match(text, item):
+    """Four fifths of the item's words in order within some window of its length, at every tenth word."""
+    a, b = decontaminate.words_of(item).split(), decontaminate.words_of(text).split()
+    need = decontaminate.COVER * len(a)
+    if not a or sum(w in set(b) for w in a) < need:
+        return False
+    return any(decontaminate.common_subsequence(a, b[i : i + len(a) + 10]) >= need for i in range(0, max(len(b), 1), 10))
+
+
+def loose_match(text, item):
+    """Half of the item's words in order anywhere in the text, a condition of every finding."""
+    a = decontaminate.words_of(item).split()
+    return decontaminate.common_subsequence(a, decontaminate.words_of(text).split()) >= decontaminate.PARAPHRASE * len(a)
+
+
 def test_decontamination(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
@@ -191,6 +210,13 @@ def test_decontamination(spark, odd):
     texts, bench = docs.select("doc_id", "text").collect(), items.collect()
     assert {(d.doc_id, i.item_id) for d in texts for i in bench if i.text in d.text} <= got
     assert decontaminate.search(odd, index).count() == 0 and decontaminate.clean(odd, index).count() == 6
+    for text in ("", "a", " x  yy\t", "b" * 5000 + " c", "é ü 日本 " * 9, "w " * 3000):
+        data = text.encode()
+        assert (common.word_hashes(data) == np.concatenate([np.empty(0, np.uint64), *(common.word_hashes(w) for w in data.split())])).all()
+    texts = [b"one two", b"", b"three " * 50, b"one"]
+    assert all((a == common.word_hashes(t)).all() for a, t in zip(common.word_hashes_of(texts), texts, strict=True))
+    brute = {(d.doc_id, i.item_id) for d in texts_of(docs) for i in bench if brute_match(d.text or "", i.text)}
+    assert len(brute & got) >= 0.9 * len(brute) and got <= {(d.doc_id, i.item_id) for d in texts_of(docs) for i in bench if loose_match(d.text or "", i.text)}
     assert decontaminate.common_subsequence([b"a", b"b", b"c", b"a"], [b"b", b"x", b"a", b"c", b"a"]) == 3
 
 
