@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundmetrics.llm.common import map_batches
+from groundmetrics.llm.common import map_batches, written
 
 FIT_ROWS, LEXICON, LEAST_DOCS, FUZZY_FROM = 20_000, 400, 4, 5
 THRESHOLD = 0.3
-_TOKEN = re.compile(r"[^\W\d_]+(?:[^\W_]+)*")
+_TOKEN = re.compile(r"[^\W\d_][^\W_]*")
 _LEET = str.maketrans("013457@$", "oleastas")
 QUOTES = "\"“”„«»"
 REPORT = {"said", "says", "wrote", "called", "quote", "quoted", "word", "term"}  # fixed values
@@ -139,9 +139,10 @@ class Model:
         def features(text: str) -> list[tuple[int, float]]:
             """Sparse features: presence of a term, and hits by kind of context."""
             low = text.lower()
-            kinds, terms, hits = [0] * len(KINDS), set(), []
+            kinds, terms = [0] * len(KINDS), set()
             tokens = _TOKEN.findall(low)
-            for i, token in enumerate(tokens):
+            found = {}
+            for token in set(tokens):
                 got = cache.get(token)
                 if got is None:
                     if len(cache) > 200_000:
@@ -151,8 +152,11 @@ class Model:
                         got = auto.match(token.translate(_LEET))
                     cache[token] = got
                 if got:
-                    hits.append((i, token, got))
-            if hits and any(q in low for q in QUOTES):
+                    found[token] = got
+            if not found:
+                return []
+            hits = [(i, t, found[t]) for i, t in enumerate(tokens) if t in found]
+            if any(q in low for q in QUOTES):
                 inside, at, quoted = False, 0, set()
                 for m in re.finditer(rf"[{QUOTES}]|{_TOKEN.pattern}", low):
                     if m[0] in QUOTES:
@@ -187,14 +191,21 @@ def learn_terms(rows: DataFrame, size: int = LEXICON) -> list[tuple[str, bool]]:
     """The ``size`` words and stems whose presence tells most about the label; a model parameter, so the driver gets it."""
 
     def run(batches):
+        seen: dict[str, list[int]] = {}
+
+        def batch():
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], ["w", "n0", "n1"])
+            seen.clear()
+            return out
+
         for b in batches:
-            seen: dict[str, list[int]] = {}
             for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 words = set(_TOKEN.findall(text.lower()))
-                keys = {"w" + w for w in words if len(w) <= 32} | {"s" + w[:k] for w in words for k in STEM if len(w) > k}
-                for w in keys:
+                for w in {"w" + w for w in words if len(w) <= 32} | {"s" + w[:k] for w in words for k in STEM if len(w) > k}:
                     seen.setdefault(w, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], ["w", "n0", "n1"])
+                if len(seen) > 500_000:
+                    yield batch()
+        yield batch()
 
     total = rows.agg(F.sum(F.lit(1) - F.col("toxic")), F.sum("toxic")).first()
     if not total[0] or not total[1]:
@@ -215,7 +226,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """
     rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
     every = max(1, -(-rows.count() // fit_rows))
-    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text", "toxic")
+    some = written(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text", "toxic"))
     terms = learn_terms(some)
     model = Model(terms, np.zeros(len(KINDS) + len(terms)), 0.0)
 
