@@ -136,6 +136,21 @@ def test_simhash_components(spark, rows, odd):
     assert sorted(r.doc_id or 0 for r in simhash.keep_one(odd).collect()) == [0, 1, 3, 4]
 
 
+def test_keep_one_decides_by_exact_similarity(spark):
+    """Pairs planted on both sides of 0.8 (0.77 to 0.85), each against brute force."""
+    rng, data, pairs = np.random.default_rng(3), [], {}
+    for n, shared in enumerate(np.repeat(np.arange(87, 93), 20).tolist()):
+        base = [f"w{x}" for x in rng.integers(0, 10**9, 104)]
+        data += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(base[: shared + 4] + [f"x{x}" for x in rng.integers(0, 10**9, 100 - shared)]))]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (data[-2][1].split(), data[-1][1].split()))
+        pairs[2 * n + 1] = len(a & b) / len(a | b)
+    assert sum(0.76 < j < 0.8 for j in pairs.values()) == 40 and sum(0.8 <= j < 0.86 for j in pairs.values()) == 80
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    lost, wrong = [d for d, j in pairs.items() if j >= 0.8 and d in kept], [d for d, j in pairs.items() if j < 0.8 and d not in kept]
+    assert (lost, wrong) == ([], []), (len(lost), len(wrong))
+    assert {d for d, _ in data if d % 2 == 0} <= kept
+
+
 def test_tiles_cut_from_large_groups(spark):
     values = [1 << a | 1 << b for a in range(8) for b in range(a)] + [0, (1 << 40) - 1]
     prints = spark.createDataFrame([(v,) for v in values], "fp long")
