@@ -1,4 +1,4 @@
-"""License scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest
+"""License scan: TF-IDF cosine of word windows and lines to header templates and of whole files to full licence texts, then inheritance from the nearest
 ancestor directory that has a licence file, by joins on paths.
 """
 
@@ -7,14 +7,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundmetrics.llm.common import map_batches, written
 
-HEADER, FILE = 0.55, 0.5
+HEADER, FILE, WHOLE = 0.55, 0.5, 0.8
+WEAK = {"Proprietary"}  # counts only where no other licence is found
 _WORD = re.compile(r"[a-z0-9.]*[a-z0-9]")
 # fixed values: characteristic sentences of public licences
 TEMPLATES = {
@@ -36,57 +39,134 @@ def tokens(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-class Matcher:
-    """Inverted index of the unit TF-IDF vectors of the templates; a line is scored by its template words only."""
-
-    def __init__(self, templates: dict[str, list[str]]):
-        texts = [(name, Counter(tokens(t))) for name, all_ in sorted(templates.items()) for t in all_]
-        seen = Counter(w for _, c in texts for w in c)
-        self.idf = {w: math.log((1 + len(texts)) / (1 + n)) + 1 for w, n in seen.items()}
-        self.unknown = math.log(1 + len(texts)) + 1
-        self.names, self.post = [n for n, _ in texts], {}
-        for k, (_, c) in enumerate(texts):
-            norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in c.items()))
+def full_texts() -> dict[str, list[str]]:
+    """Licence -> its full text; read on the driver, tasks get the vectors."""
+    return {f.stem: [f.read_text(encoding="utf-8")] for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
+class Vectors:
+    """Unit TF-IDF vectors of templates. ``pull`` is idf times template weight by word, the last word being the unknown one."""
+
+    def __init__(self, templates: dict[str, list[str]], vocabulary: dict[str, int]):
+        self.texts = [(name, tokens(t)) for name, all_ in sorted(templates.items()) for t in all_]
+        counts = [Counter(w) for _, w in self.texts]
+        seen = Counter(w for c in counts for w in c)
+        self.idf = np.full(len(vocabulary) + 1, math.log(1 + len(counts)) + 1)
+        for w, n in seen.items():
+            self.idf[vocabulary[w]] = math.log((1 + len(counts)) / (1 + n)) + 1
+        self.weight = np.zeros((len(counts), len(self.idf)))
+        for k, c in enumerate(counts):
             for w, n in c.items():
-                self.post.setdefault(w, []).append((k, n * self.idf[w] / norm))
+                self.weight[k, vocabulary[w]] = n * self.idf[vocabulary[w]]
+        self.weight /= np.maximum(np.linalg.norm(self.weight, axis=1, keepdims=True), 1e-9)
+        self.pull, self.square = self.weight * self.idf, self.idf**2
+
+    def norm(self, words: list[str], ids: np.ndarray) -> float:
+        """Length of the TF-IDF vector of these words, unknown ones each for itself."""
+        return math.sqrt(sum(n * n * self.square[i] for (_, i), n in Counter(zip(words, ids.tolist(), strict=True)).items()))
+
 
-    def best(self, line: str) -> tuple[str | None, float]:
-        c = Counter(tokens(line))
-        known = [w for w in c if w in self.post]
-        if len(known) < 2:
+class Matcher:
+    """Best header of a text over all windows of template length and all lines, and the full licence that it is, if any.
+
+    A window reaches HEADER only if its words hold HEADER squared of the template's squared weight, and its score is at most that
+    of all-different words; what fails one of these is left out before the exact cosine, without loss.
+    """
+
+    def __init__(self, templates: dict[str, list[str]], full: dict[str, list[str]]):
+        self.vocabulary: dict[str, int] = {}
+        for t in [*templates.values(), *full.values()]:
+            for w in tokens(" ".join(t)):
+                self.vocabulary.setdefault(w, len(self.vocabulary))
+        self.headers, self.full = Vectors(templates, self.vocabulary), Vectors(full, self.vocabulary)
+
+    def whole(self, words: list[str], ids: np.ndarray) -> tuple[str | None, float]:
+        v = self.full
+        if not len(words) or not v.texts:
+            return None, 0.0
+        count = np.bincount(ids, minlength=len(v.idf))
+        dots = v.pull @ count
+        known = math.sqrt((count[:-1] ** 2 * v.square[:-1]).sum() + count[-1] * v.square[-1])
+        k = int(np.argmax(dots))
+        if dots[k] < WHOLE * known:
             return None, 0.0
-        dots: dict[int, float] = {}
-        for w in known:
-            for k, v in self.post[w]:
-                dots[k] = dots.get(k, 0.0) + v * c[w] * self.idf[w]
-        norm = math.sqrt(sum((n * self.idf.get(w, self.unknown)) ** 2 for w, n in c.items()))
-        k = min(dots, key=lambda i: (-dots[i], i))
-        return self.names[k], dots[k] / norm
+        score = float(dots[k] / v.norm(words, ids))
+        return (v.texts[k][0], score) if score >= WHOLE else (None, 0.0)
+
+    def segments(self, ids: np.ndarray, lines: np.ndarray):
+        """(template, start, end) of the windows and lines that may reach HEADER."""
+        v = self.headers
+        here = np.zeros(len(v.idf))
+        here[ids] = 1
+        here[-1] = 0
+        alive = np.flatnonzero((v.weight**2) @ here >= HEADER**2)
+        if not len(alive):
+            return
+        square = np.append(0, np.cumsum(v.square[ids]))
+        for k in alive.tolist():
+            dot, n = np.append(0, np.cumsum(v.pull[k][ids])), min(len(v.texts[k][1]), len(ids))
+            start = np.concatenate([np.arange(len(ids) - n + 1), lines[:-1]])
+            end = np.concatenate([np.arange(n, len(ids) + 1), lines[1:]])
+            ok = (dot[end] - dot[start] >= HEADER * np.sqrt(square[end] - square[start]) - 1e-9) & (end - start > 1)
+            yield from zip([k] * int(ok.sum()), start[ok].tolist(), end[ok].tolist(), strict=True)
+
+    def varied(self, k: int, words: list[str]) -> bool:
+        """Whether the words still match if template words repeated beyond the template count no further, and are a fifth of its words."""
+        v, own = self.headers, Counter(self.headers.texts[k][1])
+        part = {w: min(n, own[w]) if w in own else n for w, n in Counter(words).items()}
+        if len(own.keys() & part.keys()) < max(2, len(own) / 5):
+            return False
+        at = {w: self.vocabulary.get(w, len(v.idf) - 1) for w in part}
+        dot = sum(n * v.pull[k, at[w]] for w, n in part.items())
+        return dot >= HEADER * math.sqrt(sum(n * n * v.square[at[w]] for w, n in part.items()))
+
+    def find(self, text: str) -> tuple[str | None, float, float]:
+        """(licence, score, share of the text's words in lines or windows that match, 1 for a full licence text)."""
+        parts = [tokens(x) for x in text.splitlines()]
+        words = [w for p in parts for w in p]
+        unknown = len(self.headers.idf) - 1
+        get = self.vocabulary.get
+        ids = np.array([get(w, unknown) for w in words], np.int64)
+        name, score = self.whole(words, ids)
+        if name:
+            return name, score, 1.0
+        best, found, inside, norms = (False, 0.0, 0), None, np.zeros(len(words), bool), {}
+        for k, s, e in self.segments(ids, np.cumsum([0, *map(len, parts)])):
+            if (s, e) not in norms:
+                norms[s, e] = self.headers.norm(words[s:e], ids[s:e])
+            score = float(self.headers.pull[k][ids[s:e]].sum()) / norms[s, e]
+            name, own = self.headers.texts[k]
+            if score < HEADER or not self.varied(k, words[s:e]):
+                continue
+            inside[s:e] = True
+            rank = (name not in WEAK, round(score, 9), len(own))
+            if found is None or rank > best:
+                best, found = rank, name
+        if not found:
+            return None, 0.0, 0.0
+        covered, size, at = 0, 0, 0
+        for w in text.split():
+            n = len(tokens(w))
+            covered, size, at = covered + bool(inside[at : at + n].any()), size + 1, at + n
+        return found, best[1], covered / max(size, 1)
 
 
 def scan(files: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """(path, own_license, own_score, is_license_file) for every row of (path, text).
 
-    Every line of the whole text is compared; the best at ``HEADER`` or more names the licence (ties: the first template). A
-    licence file is one where at least ``FILE`` of the words lie in such lines, or that is named LICENSE or COPYING.
+    A text that is a full licence (``WHOLE``) has that one. Otherwise every window of template length, across and inside
+    lines, and every line is compared; the best at ``HEADER`` or more names the licence (ties: the longest template). A licence
+    file is a full licence, or one where at least ``FILE`` of the words lie in matches, or that is named LICENSE or COPYING.
     """
-    matcher = Matcher(templates or TEMPLATES)
+    matcher = Matcher(templates or TEMPLATES, full_texts())
 
     def run(batches):
         for b in batches:
             rows = []
             for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
-                best, found, inside, size = 0.0, None, 0, 0
-                for line in (text or "").splitlines():
-                    n = line.count(" ") + 1 if line else 0
-                    size += n
-                    name, s = matcher.best(line)
-                    if name and s >= HEADER:
-                        inside += n
-                        if s > best + 1e-12:
-                            best, found = s, name
+                found, best, share = matcher.find(text or "")
                 named = (path or "").rpartition("/")[2].upper().startswith(("LICENSE", "LICENCE", "COPYING"))
-                rows.append((path, found, best, bool(found and (named or inside >= FILE * size))))
+                rows.append((path, found, best, bool(found and (named or share >= FILE))))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), pa.float64(), pa.bool_()], strict=True)], ["path", "own_license", "own_score", "is_license_file"])
 

@@ -115,6 +115,18 @@ def test_licenses(spark):
     assert licenses.inherit(licenses.scan(files.limit(0))).count() == 0
 
 
+def test_licenses_in_long_lines_and_full_texts(spark):
+    apache, noise = "Licensed under the Apache License, Version 2.0", [f"var{i}" for i in range(300)]
+    texts = {"notice.js": f"# Copyright 2020 Foo Bar Inc and other contributors. {apache}.", "wrapped.py": f"{' '.join(noise)}\n# Licensed under the Apache\n# License, Version 2.0\n{' '.join(noise)}"}
+    texts |= {f"min{n}.js": f"{' '.join(noise[:n])} {apache} {' '.join(noise[:n])}" for n in (2, 3, 5, 150)}
+    texts |= {"plain.txt": "und mit in mit die " + "the " * 12 + "it " * 12 + "mit mit mit mit"}
+    full = licenses.full_texts()
+    texts |= {f"{name}/terms.txt": "Copyright (c) 2020 Foo Bar. All rights reserved.\n\n" + " ".join(t[0].split()) for name, t in full.items()}
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "path string, text string")).collect()}
+    assert {p: r.own_license for p, r in got.items()} == {p: p.partition("/")[0] if "/" in p else None if p == "plain.txt" else "Apache-2.0" for p in texts}
+    assert all(r.is_license_file == (p.endswith("terms.txt")) for p, r in got.items() if p.startswith(("wrapped", "min150")) or "/" in p)
+
+
 def slow_simhash(text):
     w = text.encode().lower().split()
     grams = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
