@@ -23,20 +23,54 @@ _WORD = re.compile(r"[a-z0-9.]*[a-z0-9]")
 TEMPLATES = {
     "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Licensed under the MIT License", "SPDX-License-Identifier: MIT"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"],
+    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
-    "GPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GNU General Public License version 3", "SPDX-License-Identifier: GPL-3.0"],
-    "LGPL-3.0": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-3.0"],
+    "GPL-2.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License", "Licensed under the GNU General Public License version 2", "GNU GENERAL PUBLIC LICENSE Version 2", "SPDX-License-Identifier: GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2 of the License"],
+    "GPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "Licensed under the GNU General Public License version 3", "GNU GENERAL PUBLIC LICENSE Version 3", "SPDX-License-Identifier: GPL-3.0"],
+    "LGPL-2.1": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License", "Licensed under the GNU Lesser General Public License version 2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1", "SPDX-License-Identifier: LGPL-2.1"],
+    "LGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License", "Licensed under the GNU Lesser General Public License version 3", "GNU LESSER GENERAL PUBLIC LICENSE Version 3", "SPDX-License-Identifier: LGPL-3.0"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC"],
     "Unlicense": ["This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "CC-BY-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "Licensed under CC BY-ND 4.0", "SPDX-License-Identifier: CC-BY-ND-4.0"],
+    "CC-BY-NC-SA-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "Licensed under CC BY-NC-SA 4.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"],
+    "CC-BY-NC-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "Licensed under CC BY-NC-ND 4.0", "SPDX-License-Identifier: CC-BY-NC-ND-4.0"],
     "CC0-1.0": ["CC0 1.0 Universal public domain dedication", "SPDX-License-Identifier: CC0-1.0"],
     "Proprietary": ["Copyright all rights reserved. Unauthorized copying of this file is strictly prohibited", "All rights reserved"],
+    "unknown": ["SPDX-License-Identifier"],  # of a licence that is not listed
 }
 
+# fixed values: the words that tell one licence from another. A match needs those of its template, and none of its family's others.
+DECIDING = {"mit", "apache", "bsd", "gnu", "gpl", "lgpl", "agpl", "lesser", "mozilla", "mpl", "isc", "unlicense", "unencumbered", "cc", "cc0", "creative", "nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "reserved"}
+_OTHERS = {"gnu": {"lesser", "library", "affero"}, "cc": {"nc", "sa", "nd", "noncommercial", "commercial", "sharealike", "share", "alike", "noderivatives", "noderivs", "derivatives"}}
+_OTHERS["creative"] = _OTHERS["cc"]
+# the sentence that opens both BSD licences: words the rest of the text must have, and must not have
+_REST = {"BSD-2-Clause": ({"disclaimer"}, {"endorse"}), "BSD-3-Clause": ({"disclaimer", "endorse"}, set())}
+_NAMED = {"license", "licence", "licensed", "licenced"}  # must stand by "mit", which is also a German word
+UNKNOWN = "unknown"
+_NUMBER = re.compile(r"v?([0-9]+(?:[.][0-9]+)*?)(?:[.]0)*")
+
 
 def tokens(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Words of the text, lower-cased; 3, v3, 3.0 and v3.0 are the same."""
+    return [m[1] if w[-1].isdigit() and (m := _NUMBER.fullmatch(w)) else w for w in (x.strip(".") for x in _WORD.findall(text.lower()))]
+
+
+def numbers(words) -> set[str]:
+    return {w for w in words if w[0].isdigit() and _NUMBER.fullmatch(w)}
+
+
+def agrees(name: str, own: list[str], part: list[str], everywhere: set[str]) -> bool:
+    """Whether the deciding words of the template ``own`` (names, versions, restrictions) agree with those of ``part``."""
+    need, have = (DECIDING & set(own)) | numbers(own), set(part)
+    others = set().union(*(_OTHERS[w] for w in need & _OTHERS.keys())) - set(own)
+    if name in _REST and "redistribution" in own:
+        must, not_ = _REST[name]
+        return must <= everywhere and not not_ & everywhere
+    return need <= have and not others & have
 
 
 def full_texts() -> dict[str, list[str]]:
@@ -114,7 +148,7 @@ class Matcher:
         """Whether the words still match if template words repeated beyond the template count no further, and are a fifth of its words."""
         v, own = self.headers, Counter(self.headers.texts[k][1])
         part = {w: min(n, own[w]) if w in own else n for w, n in Counter(words).items()}
-        if len(own.keys() & part.keys()) < max(2, len(own) / 5):
+        if len(own.keys() & part.keys()) < max(2, len(own) / 5) or "mit" in own and not _NAMED & part.keys():
             return False
         at = {w: self.vocabulary.get(w, len(v.idf) - 1) for w in part}
         dot = sum(n * v.pull[k, at[w]] for w, n in part.items())
@@ -130,7 +164,7 @@ class Matcher:
         name, score = self.whole(words, ids)
         if name:
             return name, score, 1.0
-        best, found, inside, norms = (False, 0.0, 0), None, np.zeros(len(words), bool), {}
+        best, found, inside, norms, everywhere = (0, 0.0, 0), None, np.zeros(len(words), bool), {}, set(words)
         for k, s, e in self.segments(ids, np.cumsum([0, *map(len, parts)])):
             if (s, e) not in norms:
                 norms[s, e] = self.headers.norm(words[s:e], ids[s:e])
@@ -138,8 +172,12 @@ class Matcher:
             name, own = self.headers.texts[k]
             if score < HEADER or not self.varied(k, words[s:e]):
                 continue
+            if not agrees(name, own, words[s:e], everywhere):
+                if name in WEAK:
+                    continue
+                name = UNKNOWN
             inside[s:e] = True
-            rank = (name not in WEAK, round(score, 9), len(own))
+            rank = (0 if name in WEAK else 1 if name == UNKNOWN else 2, round(score, 9), len(own))
             if found is None or rank > best:
                 best, found = rank, name
         if not found:
@@ -155,7 +193,8 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None) -> Dat
     """(path, own_license, own_score, is_license_file) for every row of (path, text).
 
     A text that is a full licence (``WHOLE``) has that one. Otherwise every window of template length, across and inside
-    lines, and every line is compared; the best at ``HEADER`` or more names the licence (ties: the longest template). A licence
+    lines, and every line is compared; the best at ``HEADER`` or more names the licence (ties: the longest template), which is
+    ``UNKNOWN`` if no match agrees with its template in names, version and restrictions. A licence
     file is a full licence, or one where at least ``FILE`` of the words lie in matches, or that is named LICENSE or COPYING.
     """
     matcher = Matcher(templates or TEMPLATES, full_texts())

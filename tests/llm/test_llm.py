@@ -127,6 +127,17 @@ def test_licenses_in_long_lines_and_full_texts(spark):
     assert all(r.is_license_file == (p.endswith("terms.txt")) for p, r in got.items() if p.startswith(("wrapped", "min150")) or "/" in p)
 
 
+def test_licenses_by_deciding_words(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    want = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0", "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0",
+            "Licensed under CC BY-NC 3.0.": "unknown", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "CC-BY-NC-4.0",
+            "SPDX-License-Identifier: GPL-2.0": "GPL-2.0", "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "SPDX-License-Identifier: AGPL-3.0": "unknown", "SPDX-License-Identifier: LGPL-2.1": "LGPL-2.1",
+            "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", gpl.format(2): "GPL-2.0", gpl.format(3): "GPL-3.0", gpl.format("2.1").replace("General", "Lesser General"): "LGPL-2.1",
+            "Licensed under the Apache License, Version 1.1": "unknown", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Released under the MIT License.": "MIT", "All rights reserved.": "Proprietary", "all rights to the sea": None}
+    got = {r.path: r.own_license for r in licenses.scan(spark.createDataFrame([(t, t) for t in want], "path string, text string")).collect()}
+    assert got == want
+
+
 def slow_simhash(text):
     w = text.encode().lower().split()
     grams = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
