@@ -56,7 +56,7 @@ _NUMBER = re.compile(r"v?([0-9]+(?:[.][0-9]+)*?)(?:[.]0)*")
 
 def tokens(text: str) -> list[str]:
     """Words of the text, lower-cased; 3, v3, 3.0 and v3.0 are the same."""
-    return [m[1] if w[-1].isdigit() and (m := _NUMBER.fullmatch(w)) else w for w in (x.strip(".") for x in _WORD.findall(text.lower()))]
+    return [w if w[-1] > "9" else m[1] if (m := _NUMBER.fullmatch(w.lstrip("."))) else w for w in _WORD.findall(text.lower())]
 
 
 def numbers(words) -> set[str]:
@@ -93,7 +93,7 @@ class Vectors:
             for w, n in c.items():
                 self.weight[k, vocabulary[w]] = n * self.idf[vocabulary[w]]
         self.weight /= np.maximum(np.linalg.norm(self.weight, axis=1, keepdims=True), 1e-9)
-        self.pull, self.square = self.weight * self.idf, self.idf**2
+        self.pull, self.square, self.share = self.weight * self.idf, self.idf**2, self.weight**2
 
     def norm(self, words: list[str], ids: np.ndarray) -> float:
         """Length of the TF-IDF vector of these words, unknown ones each for itself."""
@@ -127,13 +127,16 @@ class Matcher:
         score = float(dots[k] / v.norm(words, ids))
         return (v.texts[k][0], score) if score >= WHOLE else (None, 0.0)
 
-    def segments(self, ids: np.ndarray, lines: np.ndarray):
-        """(template, start, end) of the windows and lines that may reach HEADER."""
-        v = self.headers
-        here = np.zeros(len(v.idf))
+    def present(self, ids: np.ndarray) -> np.ndarray:
+        here = np.zeros(len(self.headers.idf))
         here[ids] = 1
         here[-1] = 0
-        alive = np.flatnonzero((v.weight**2) @ here >= HEADER**2)
+        return here
+
+    def segments(self, ids: np.ndarray, lines: np.ndarray):
+        """(template, start, end) of the windows and lines that may reach HEADER."""
+        v, here = self.headers, self.present(ids)
+        alive = np.flatnonzero(v.share @ here >= HEADER**2 - 1e-9)
         if not len(alive):
             return
         square = np.append(0, np.cumsum(v.square[ids]))
@@ -156,16 +159,18 @@ class Matcher:
 
     def find(self, text: str) -> tuple[str | None, float, float]:
         """(licence, score, share of the text's words in lines or windows that match, 1 for a full licence text)."""
-        parts = [tokens(x) for x in text.splitlines()]
-        words = [w for p in parts for w in p]
+        words = tokens(text)
         unknown = len(self.headers.idf) - 1
         get = self.vocabulary.get
         ids = np.array([get(w, unknown) for w in words], np.int64)
         name, score = self.whole(words, ids)
         if name:
             return name, score, 1.0
+        if not (self.headers.share @ self.present(ids) >= HEADER**2 - 1e-9).any():
+            return None, 0.0, 0.0
+        lines = np.cumsum([0, *(len(_WORD.findall(x.lower())) for x in text.splitlines())])
         best, found, inside, norms, everywhere = (0, 0.0, 0), None, np.zeros(len(words), bool), {}, set(words)
-        for k, s, e in self.segments(ids, np.cumsum([0, *map(len, parts)])):
+        for k, s, e in self.segments(ids, lines):
             if (s, e) not in norms:
                 norms[s, e] = self.headers.norm(words[s:e], ids[s:e])
             score = float(self.headers.pull[k][ids[s:e]].sum()) / norms[s, e]
