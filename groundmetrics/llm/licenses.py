@@ -224,8 +224,9 @@ def inherit(scanned: DataFrame) -> DataFrame:
     Directories, not files, are expanded into their ancestors, so the joins are over distinct directories.
     """
     up = lambda c: F.when(c.contains("/"), F.regexp_replace(c, "/[^/]*$", "")).otherwise(F.lit(""))
-    rows = scanned.withColumn("_dir", up(F.coalesce("path", F.lit(""))))
-    held = rows.filter("is_license_file").groupBy("_dir").agg(F.max_by(F.struct("own_license"), F.struct("own_score", F.expr("-ascii(own_license)"), "own_license")).getField("own_license").alias("dir_license"))
+    # The scan is dear and read three times below.
+    rows = written(scanned).withColumn("_dir", up(F.coalesce("path", F.lit(""))))
+    held = rows.filter("is_license_file").groupBy("_dir").agg(F.min_by("own_license", F.struct(-F.col("own_score"), "own_license")).alias("dir_license"))
     held = written(held.withColumnRenamed("_dir", "up"))
     dirs = rows.select("_dir").distinct()
     parts = F.split("_dir", "/")
