@@ -16,8 +16,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from groundmetrics.llm.common import documents, map_batches
+from groundmetrics.llm.tokens import Encoder, read_tokenizer
 
-CAPACITY, TAIL, PART = 1024, 32, 1 << 18
+CAPACITY, TAIL = 1024, 32
 
 
 def pieces(total: int, capacity: int = CAPACITY, tail: int = TAIL) -> list[tuple[int, int]]:
@@ -59,18 +60,6 @@ class Packer:
         return bins
 
 
-def encoder(tokenizer_path: str, end_id: int = 0):
-    """text -> uint32 ids with ``end_id`` appended. Long texts go in whole; special strings as the file defines them."""
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(tokenizer_path)
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array([*tok.encode(t, add_special_tokens=False).ids, end_id], "<u4") for t in texts]
-
-    return encode
-
-
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if asked for).
 
@@ -81,8 +70,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = ", ".join(f"{n} long" for n in names) + (", ids array<int>" if with_ids else "")
 
+    source, end = read_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
+
     def run(batches):
-        encode, packer = encoder(tokenizer_path, end_id), Packer(capacity)
+        encoder, packer = Encoder.shared(source), Packer(capacity)
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
 
@@ -101,9 +92,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             sequence += 1
 
         for b in batches:
-            texts = b.column("text")
-            for i, doc in enumerate(b.column("doc_id").to_pylist()):
-                ids = encode([texts[i].as_py()])[0]
+            coded = encoder.encode(b.column("text").to_pylist())
+            for doc, code in zip(b.column("doc_id").to_pylist(), coded, strict=True):
+                ids = np.frombuffer(code + end, "<u4")
                 for start, length in pieces(len(ids), capacity):
                     part = ids[start : start + length]
                     done = packer.add((doc, start, zlib.crc32(part.tobytes()), len(ids), part.tolist() if with_ids else None), length)

@@ -17,8 +17,10 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"  # without U+0130, whose lower case is t
 _RUN = rf"[{_LETTERS}]++(?=[\x00-\x40\x5b-\x60\x7b-\x7f]|\Z)"
 _BYTE_PIECES = re.compile(rf" ?{_RUN}|[ \n]+(?![^ \n])| ?[^ \n]+|[ \n]+")
 _WORD_PIECES = re.compile(rf"{_RUN}|[^ \n\t\r]+")
+_WORD = re.compile(rf" ?[{_LETTERS}]+")
+_STOPS, _LAST_LETTERS = frozenset(".,;:!?"), frozenset("abcdefghijklmnopqrstuvwxyz")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-CACHE_PIECES, CACHED_LENGTH = 400_000, 48
+CACHE_PIECES, CACHED_LENGTH, TOGETHER = 500_000, 48, 1 << 19
 
 
 def worker_store() -> dict:
@@ -26,6 +28,13 @@ def worker_store() -> dict:
     return sys.modules.setdefault("_worker_store", types.ModuleType("_worker_store")).__dict__
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: visible Latin-1 ones as themselves, the others from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(0x100 + n) for n, b in enumerate(hidden)}
+
+
 def _splitter(spec: dict):
     """How texts of this tokenizer may be cut: a pattern, and texts that must stay whole; (None, None) if unknown."""
     normal, split = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
@@ -46,8 +55,8 @@ def _splitter(spec: dict):
 class Encoder:
     """Texts to little-endian uint32 ids as bytes, equal to the tokenizer's own ids of the whole text, without special tokens.
 
-    Null texts must be made empty by the caller; an empty text has no ids. The memory of pieces is cleared at
-    CACHE_PIECES entries; pieces longer than CACHED_LENGTH are not kept.
+    Null texts must be made empty by the caller; an empty text has no ids. The memory of pieces drops its newer half at
+    CACHE_PIECES entries (some 200 bytes each); pieces longer than CACHED_LENGTH are not kept.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -56,6 +65,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.pattern, self.whole = _splitter(json.loads(tokenizer_json))
         self.cache: dict[str, bytes] = {}
+        self.letters = _byte_letters()
 
     @classmethod
     def shared(cls, tokenizer_json: str) -> Encoder:
@@ -68,28 +78,76 @@ class Encoder:
     def _plain(self, pieces: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """``_plain`` of pieces. A run of Latin letters is one unit of the splitting rule, so the file's model gets it directly."""
+        out: list[bytes | None] = [None] * len(pieces)
+        model, rest = self.tokenizer.model, []
+        for i, piece in enumerate(pieces):
+            if _WORD.fullmatch(piece):
+                word = piece.lower() if self.pattern is _WORD_PIECES else piece
+                out[i] = array.array("I", [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self._plain([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _chunks(self, text: str) -> list[str] | None:
+        """The text cut at single spaces, most chunks being pieces as they are; None if it must be searched for pieces."""
+        if self.pattern is _WORD_PIECES:
+            return text.split(" ")
+        if "  " in text or " \n" in text or "\n " in text or "\0" in text or text[:1] == " " or text[-1:] == " ":
+            return None
+        return text.replace(" ", "\0 ").split("\0")
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Texts are taken some TOGETHER characters at a time, so that only so many pieces are held at once."""
+        out, some, size = [], [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size > TOGETHER:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if self.pattern is None:
             return self._plain(texts)
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        for i, text in enumerate(texts):
+        known, find = self.cache, self.pattern.findall
+        if len(known) > CACHE_PIECES:  # the pieces met first are the frequent ones
+            for piece in list(known)[CACHE_PIECES // 2 :]:
+                del known[piece]
+        out, open_, wanted = [], [], set()
+        for text in texts:
             if self.whole is not None and self.whole.search(text):
-                out[i] = self._plain([text])[0]
-            else:
-                cut.append((i, self.pattern.findall(text)))
-        known = self.cache
-        new = list(set().union(*(p for _, p in cut)).difference(known))
-        if len(known) + len(new) > CACHE_PIECES:
-            known.clear()
-            new = list(set().union(*(p for _, p in cut)))
-        known.update(zip(new, self._plain(new), strict=True))
-        for i, pieces in cut:
-            out[i] = b"".join([known[p] for p in pieces])
+                out.append(self._plain([text]))
+                continue
+            chunks = self._chunks(text)
+            if chunks is None:
+                chunks = find(text)
+            parts = list(map(known.get, chunks))
+            for i in [i for i, p in enumerate(parts) if p is None]:
+                chunk = chunks[i]
+                if chunk[-1:] in _STOPS and chunk[-2:-1] in _LAST_LETTERS and chunk[:-1] in known and chunk[-1] in known:  # a border of the rule
+                    parts[i] = known[chunk[:-1]] + known[chunk[-1]]
+                    continue
+                pieces = find(chunk)
+                missing = [p for p in pieces if p not in known]
+                if missing:
+                    wanted.update(missing)
+                    open_.append((parts, i, pieces))
+                else:
+                    parts[i] = b"".join([known[p] for p in pieces])
+            out.append(parts)
+        new = list(wanted)
+        known.update(zip(new, self._pieces(new), strict=True))
+        for parts, i, pieces in open_:
+            parts[i] = b"".join([known[p] for p in pieces])
         for piece in new:
             if len(piece) > CACHED_LENGTH:
                 del known[piece]
-        return out
+        return [b"".join(parts) for parts in out]
 
 
 def read_tokenizer(path: str) -> str:
