@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -11,9 +10,8 @@ from pyspark.sql import functions as F
 
 from groundmetrics.functions import geometry as geo
 from groundmetrics.functions import text as tx
-from groundmetrics.operators.scale import first_by, small_side, spread, within_rows
+from groundmetrics.operators.scale import first_by, small_side
 from groundmetrics.operators.sets import KEY, prf
-from groundmetrics.session import checkpointed
 
 THRESHOLDS = (50.0, 100.0, 150.0, 200.0)
 
@@ -117,158 +115,164 @@ def sheet_points(gt: DataFrame, layout: DataFrame, panel_w: int = 480, panel_h:
 
 
 def prediction_sheet_points(preds: DataFrame, layout: DataFrame, panel_w: int = 480, panel_h: int = 270) -> DataFrame:
-    """Sheet pixels of predictions: own sheet coordinates, else the panel area of the named panel."""
-    place = layout.select(*KEY, F.col("panel_id").alias("pred_panel"), "x0", "y0", "sheet_w", "sheet_h")
-    j = preds.join(place, [*KEY, "pred_panel"], "left")
-    sx = F.coalesce(F.col("sheet_x_norm") * F.col("sheet_w"), F.col("x0") + F.col("x_norm") * panel_w)
-    sy = F.coalesce(F.col("sheet_y_norm") * F.col("sheet_h"), F.col("y0") + F.col("y_norm") * panel_h)
+    """Sheet pixels of predictions: own sheet coordinates if both are there, else the panel area of the named panel."""
+    place = layout.select(*KEY, F.col("panel_id").alias("pred_panel"), "x0", "y0")
+    size = layout.groupBy(*KEY).agg(F.first("sheet_w").alias("sheet_w"), F.first("sheet_h").alias("sheet_h"))
+    j = preds.join(place, [*KEY, "pred_panel"], "left").join(size, KEY, "left")
+    own = F.col("sheet_x_norm").isNotNull() & F.col("sheet_y_norm").isNotNull()
+    there = F.col("x_norm").isNotNull() & F.col("y_norm").isNotNull()
+    at = lambda s, p: F.when(own, s).when(there, p)
+    sx = at(F.col("sheet_x_norm") * F.col("sheet_w"), F.col("x0") + F.col("x_norm") * panel_w)
+    sy = at(F.col("sheet_y_norm") * F.col("sheet_h"), F.col("y0") + F.col("y_norm") * panel_h)
     return j.withColumn("pred_sheet_x", sx).withColumn("pred_sheet_y", sy).drop("x0", "y0", "sheet_w", "sheet_h")
 
 
-def _distances(preds, gts) -> list[list[float | None]]:
-    """Pixel distances of same-panel pairs, computed once for all thresholds."""
-    return [[
-        None if g["panel"] != p["panel"] or p["x"] is None or p["y"] is None
-        else math.hypot((p["x"] - g["u"]) * g["w"], (p["y"] - g["v"]) * g["h"]) for g in gts
-    ] for p in preds]
-
-
-def _candidates(p, gts, pool, open_refs) -> list[int]:
-    live = [i for i in pool if gts[i]["referent"] in open_refs]
-    return [i for i in live if p["label"] and gts[i]["label"] == p["label"]] or live
-
-
-def _greedy(preds, gts, dist, threshold: float, acceptable_only: bool) -> tuple[int, int, int, float]:
-    """One pass over ordered predictions; each referent is matched at most once."""
-    pool = [i for i, g in enumerate(gts) if g["ok"] or not acceptable_only]
-    open_refs = {gts[i]["referent"] for i in pool}
-    total, tp, moved = len(open_refs), 0, 0.0
-    for p, row in zip(preds, dist):
-        if not open_refs:
-            break
-        scored = [(row[i], i) for i in _candidates(p, gts, pool, open_refs) if row[i] is not None]
-        if scored and min(scored)[0] <= threshold:
-            d, i = min(scored)
-            tp, moved = tp + 1, moved + d
-            open_refs.discard(gts[i]["referent"])
-    return tp, len(preds) - tp, max(0, total - tp), moved
-
-
-def _greedy_time(preds, gts) -> tuple[int, int, int, float]:
-    pool = [i for i, g in enumerate(gts) if g["ok"]]
-    open_refs = {gts[i]["referent"] for i in pool}
-    total, tp = len(open_refs), 0
-    for p in preds:
-        if not open_refs:
-            break
-        hit = next((i for i in _candidates(p, gts, pool, open_refs) if p["panel"] and gts[i]["panel"] == p["panel"]), None)
-        if hit is not None:
-            tp += 1
-            open_refs.discard(gts[hit]["referent"])
-    return tp, len(preds) - tp, max(0, total - tp), 0.0
-
+def match_names(thresholds: Sequence[float] = THRESHOLDS) -> list[str]:
+    return ["time", *[f"{kind}_{int(t)}" for kind in ("point", "joint") for t in thresholds]]
 
-_COUNTS = "struct<tp:bigint,fp:bigint,fn:bigint,dist:double>"
 
+def panel_name(c: Column | str) -> Column:
+    """Panel names as answers spell them: trimmed, upper case, a missing ``P`` added; NULL when empty."""
+    name = F.upper(tx.norm_text(c))
+    return F.when(name == "", F.lit(None)).when(name.startswith("P"), name).otherwise(F.concat(F.lit("P"), name))
 
-def match_names(thresholds: Sequence[float] = THRESHOLDS) -> list[str]:
-    return ["time", *[f"{kind}_{int(t)}" for kind in ("point", "joint") for t in thresholds]]
 
+def gt_lists(gt: DataFrame, mode: str = "panel") -> DataFrame:
+    """The GT points of each interaction in manifest order (at most referents x panels) and its referents, all and acceptable."""
+    sheet = [F.col("gt_sheet_x").alias("sx"), F.col("gt_sheet_y").alias("sy")] if mode != "panel" else []
+    g = F.struct("manifest_seq", "referent", tx.label_key("referent", "alnum").alias("label"), F.upper(tx.norm_text("panel_id")).alias("panel"),
+                 F.col("gt_u").alias("u"), F.col("gt_v").alias("v"), F.col("image_width").cast("double").alias("w"), F.col("image_height").cast("double").alias("h"),
+                 F.coalesce("evidence_acceptable", F.lit(False)).alias("ok"), *sheet)
+    out = gt.groupBy(*KEY).agg(F.array_sort(F.collect_list(g)).alias("_g")).withColumn("_refs", F.array_distinct(F.col("_g")["referent"]))
+    ok = F.size(F.array_distinct(F.filter("_g", lambda g: g["ok"])["referent"]))
+    return out.withColumns({"gt_referent_count": F.size("_refs").cast("bigint"), "time_evaluable_referent_count": ok.cast("bigint")})
 
-def _matcher(thresholds: Sequence[float]):
-    names = match_names(thresholds)
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for preds, gts in batches:
-            out = []
-            for ps, gs in zip(preds, gts):
-                ps, gs = list(ps if ps is not None else []), list(gs if gs is not None else [])
-                dist = _distances(ps, gs)
-                row = [_greedy_time(ps, gs)]
-                row += [_greedy(ps, gs, dist, t, joint) for joint in (False, True) for t in thresholds]
-                out.append([dict(zip(("tp", "fp", "fn", "dist"), r)) for r in row])
-            yield pd.DataFrame(out, columns=names)
+def pair_space(preds: DataFrame, lists: DataFrame, mode: str = "panel", reach: float = max(THRESHOLDS)) -> DataFrame:
+    """What each prediction can be matched with: one row per prediction and arrays over ``gt_lists`` of its interaction.
 
-    return F.pandas_udf(run, "struct<" + ",".join(f"{n}:{_COUNTS}" for n in names) + ">")
+    ``near_px`` / ``near``: GT points within ``reach``, closest first (ties in manifest order); a code is 4 * referent + 2 * acceptable
+    + same label. ``in_panel``: acceptable GT points of the named panel in manifest order, 2 * referent + same label. ``named``: referents of
+    the same label, 2 * referent + acceptable. ``min_px``: the smallest distance of all. Distances follow ``point_distance``: in ``sheet``
+    and ``auto`` mode the lists have sheet pixels and ``preds`` has ``pred_sheet_x/y``, and pairs may cross panels. Arrays are NULL without GT.
+    """
+    own = ["x_norm", "y_norm", *(["pred_sheet_x", "pred_sheet_y"] if mode != "panel" else []), *(["sheet_x_norm", "sheet_y_norm"] if mode == "auto" else [])]
+    rows = preds.select(*KEY, "pred_seq", panel_name("pred_panel").alias("_panel"), tx.label_key("mention", "alnum").alias("_label"), *own).join(lists, KEY, "left")
+
+    def distance(g: Column) -> Column:
+        inside = F.when(g["panel"] == F.col("_panel"), F.hypot((F.col("x_norm") - g["u"]) * g["w"], (F.col("y_norm") - g["v"]) * g["h"]))
+        if mode == "panel":
+            return inside
+        across = F.hypot(F.col("pred_sheet_x") - g["sx"], F.col("pred_sheet_y") - g["sy"])
+        return across if mode == "sheet" else F.when(F.col("sheet_x_norm").isNull() | F.col("sheet_y_norm").isNull(), inside).otherwise(across)
+
+    flag = lambda c, n: F.when(c, n).otherwise(0)
+    ref = lambda g: F.array_position("_refs", g["referent"]).cast("int")
+    same = lambda g: (F.col("_label") != "") & (g["label"] == F.col("_label"))
+    scored = F.transform("_g", lambda g: F.struct(distance(g).alias("d"), g["manifest_seq"].alias("seq"), (ref(g) * 4 + flag(g["ok"], 2) + flag(same(g), 1)).alias("code")))
+    rows = rows.withColumn("_d", F.array_sort(F.filter(scored, lambda c: c["d"].isNotNull())))
+    near = F.filter("_d", lambda c: c["d"] <= reach)
+    here = F.filter("_g", lambda g: g["ok"] & (g["panel"] == F.col("_panel")))
+    named = F.filter("_g", lambda g: same(g))
+    return rows.select(
+        *KEY, "pred_seq", F.get("_d", F.lit(0))["d"].alias("min_px"), near["d"].alias("near_px"), near["code"].alias("near"),
+        F.transform(here, lambda g: ref(g) * 2 + flag(same(g), 1)).alias("in_panel"),
+        F.array_distinct(F.transform(named, lambda g: ref(g) * 2 + flag(g["ok"], 1))).alias("named"))
+
+
+def _first_open(codes: list[int], shift: int, taken: set[int], wanted: int) -> int | None:
+    """Place of the first code whose referent is free and that has all bits of ``wanted``."""
+    return next((i for i, c in enumerate(codes) if c & wanted == wanted and c >> shift not in taken), None)
 
 
 ANSWER_POINTS = 5_000
 
 
 def greedy_match(keys: DataFrame, preds: DataFrame, gt: DataFrame, thresholds: Sequence[float] = THRESHOLDS,
-                 limit: int = ANSWER_POINTS) -> DataFrame:
-    """Sequential matching of one answer's points to the manifest; a struct of ``tp, fp, fn, dist`` per metric family.
-
-    Answers of up to ``limit`` points are matched as ordered lists, all thresholds in one pass over the
-    pairs. Longer ones go through ``greedy_rounds``. The GT list holds at most referents x panels.
+                 limit: int = ANSWER_POINTS, mode: str = "panel") -> DataFrame:
+    """Sequential matching of one answer's points to the manifest; a struct of ``tp, fp, fn, dist`` per metric family, counts of
+    predictions and referents, and the smallest distance.
+
+    Predictions are taken in order; each takes the nearest free referent (of its own label while one is free) if that lies within the
+    threshold. ``pair_space`` finds each prediction's possible partners in parallel; predictions without any are counted and left
+    out. The rest is sorted by interaction and order and read as a stream whose state is the set of taken referents per family, so
+    an answer of any length needs no list and no other algorithm; ``limit`` rows are held as Python values at once.
     """
-    p = F.struct("pred_seq", tx.label_key("mention", "alnum").alias("label"), F.col("pred_panel").alias("panel"),
-                 F.col("x_norm").alias("x"), F.col("y_norm").alias("y"))
-    g = F.struct("manifest_seq", "referent", tx.label_key("referent", "alnum").alias("label"), F.col("panel_id").alias("panel"),
-                 F.col("gt_u").alias("u"), F.col("gt_v").alias("v"), F.col("image_width").cast("double").alias("w"),
-                 F.col("image_height").cast("double").alias("h"), F.col("evidence_acceptable").alias("ok"))
-    gl = gt.groupBy(*KEY).agg(F.array_sort(F.collect_list(g)).alias("_g"))
-    long = preds.groupBy(*KEY).agg(F.count("*").alias("n_pred")).filter(F.col("n_pred") > limit)
-    any_long = bool(long.limit(1).count())
-    short = preds.join(small_side(long.select(*KEY)), KEY, "left_anti") if any_long else preds
-    todo = keys.select(*KEY).join(small_side(long.select(*KEY)), KEY, "left_anti") if any_long else keys.select(*KEY)
-    pl = short.groupBy(*KEY).agg(F.array_sort(F.collect_list(p)).alias("_p"))
-    rows = todo.join(pl, KEY, "left").join(gl, KEY, "left")
-    out = rows.withColumn("_m", _matcher(thresholds)("_p", "_g")).select(*KEY, "_m.*")
-    if not any_long:
-        return out
-    points = preds.join(small_side(long.select(*KEY)), KEY, "left_semi").select(*KEY, p.alias("_p"))
-    wanted = long.join(keys.select(*KEY), KEY, "left_semi").join(gl, KEY, "left")
-    return out.unionByName(greedy_rounds(points, wanted, thresholds).select(*out.columns))
-
-
-def greedy_rounds(points: DataFrame, answers: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
-    """The same greedy rule for answers of any length, without ever gathering an answer.
-
-    The outcome of a point depends only on which referents are taken. So each round looks, in parallel
-    over all points behind the last match, for the first point that matches given the taken set. Every
-    round takes one referent per answer and metric family, hence there are at most as many rounds as
-    referents; the state between rounds is one small row per answer and family.
+    names = match_names(thresholds)
+    families = [(float("inf"), True), *[(t, joint) for joint in (False, True) for t in thresholds]]
+    lists = gt_lists(gt, mode)
+    pairs = pair_space(preds, lists, mode, max(thresholds))
+    todo = pairs.filter((F.size("near") > 0) | (F.size("in_panel") > 0)).select(*KEY, "pred_seq", "near_px", "near", "in_panel", "named")
+    todo = todo.repartition(*KEY).sortWithinPartitions(*KEY, "pred_seq")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, taken, moved = None, [], []
+
+        def row():
+            return (*key, [len(t) for t in taken], moved)
+
+        for frame in frames:
+            done = []
+            for at in range(0, len(frame), limit):
+                part = frame.iloc[at : at + limit]
+                for scene, index, px, near, here, named in zip(*(part[c] for c in (*KEY, "near_px", "near", "in_panel", "named"))):
+                    if key != (scene, index):
+                        if key is not None:
+                            done.append(row())
+                        key, taken, moved = (scene, index), [set() for _ in families], [0.0] * len(families)
+                    px, near, here, named = px.tolist(), near.tolist(), here.tolist(), named.tolist()
+                    for f, (threshold, joint) in enumerate(families):
+                        own = _first_open(named, 1, taken[f], int(joint)) is not None
+                        if not f:
+                            hit = _first_open(here, 1, taken[f], int(own))
+                            if hit is not None:
+                                taken[f].add(here[hit] >> 1)
+                            continue
+                        hit = _first_open(near, 2, taken[f], 2 * joint + own)
+                        if hit is not None and px[hit] <= threshold:
+                            taken[f].add(near[hit] >> 2)
+                            moved[f] += px[hit]
+            yield pd.DataFrame(done, columns=[*KEY, "tp", "dist"])
+        if key is not None:
+            yield pd.DataFrame([row()], columns=[*KEY, "tp", "dist"])
+
+    folded = todo.mapInPandas(fold, "scene string, row_index bigint, tp array<bigint>, dist array<double>")
+    counted = pairs.groupBy(*KEY).agg(F.count("*").alias("prediction_count"), F.min("min_px").alias("min_point_distance_px"))
+    rows = keys.select(*KEY).join(counted, KEY, "left").join(lists.drop("_g", "_refs"), KEY, "left").join(folded, KEY, "left")
+    numbers = ("prediction_count", "gt_referent_count", "time_evaluable_referent_count")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in numbers})
+
+    def counts(i: int) -> Column:
+        tp = F.coalesce(F.get("tp", F.lit(i)), F.lit(0).cast("bigint"))
+        there = F.col("time_evaluable_referent_count" if families[i][1] else "gt_referent_count")
+        return F.struct(tp.alias("tp"), (F.col("prediction_count") - tp).alias("fp"), F.greatest(there - tp, F.lit(0).cast("bigint")).alias("fn"),
+                        F.coalesce(F.get("dist", F.lit(i)), F.lit(0.0)).alias("dist"))
+
+    return rows.select(*KEY, *[counts(i).alias(n) for i, n in enumerate(names)], *numbers, "min_point_distance_px")
+
+
+def evaluate_2d(manifest: DataFrame, preds: DataFrame, mode: str = "panel", thresholds: Sequence[float] = THRESHOLDS, columns: int = 4) -> DataFrame:
+    """Detail of a 2D run, a row per interaction of the manifest: counts, a struct per metric family, the smallest distance.
+
+    ``mode`` says where distances are taken: ``panel`` (image pixels of the named panel), ``sheet`` (contact sheet, across panels) or ``auto``
+    (sheet for predictions with both sheet coordinates, else panel). Answers name panels in any case, with or without ``P``; those without a
+    panel are no predictions, and coordinates outside [0, 1] count as missing. Panels without a frame are not on the sheet, unless
+    none has one; GT points of a panel that is not on the sheet take no part. Summaries: ``summary_2d``.
     """
-    families = [("time", float("inf"), True, True)]
-    families += [(f"{k}_{int(t)}", t, k == "joint", False) for k in ("point", "joint") for t in thresholds]
-    table = F.array(*[F.struct(F.lit(n).alias("family"), F.lit(t).alias("limit"), F.lit(j).alias("joint"), F.lit(o).alias("by_order"))
-                      for n, t, j, o in families])
-    state = answers.select(*KEY, "n_pred", F.coalesce("_g", F.array().cast(answers.schema["_g"].dataType)).alias("_g"), F.inline(table))
-    pool = F.filter("_g", lambda g: g["ok"] | ~F.col("joint"))
-    state = state.withColumn("_g", pool).withColumn("taken", F.array().cast("array<string>"))
-    state = state.withColumn("total", F.size(F.array_distinct(F.col("_g")["referent"])))
-    state = state.withColumns({"at": F.lit(None).cast("bigint"), "dist": F.lit(0.0), "live": F.col("total") > 0})
-    side = F.broadcast if within_rows(state) else (lambda df: df)  # nine rows per long answer
-    state, points = checkpointed(state), checkpointed(spread(points))
-    p = F.col("_p")
-
-    def closest(used: Column) -> Column:
-        placed = F.filter(used, lambda g: (g["panel"] == p["panel"]) & (F.col("by_order") | (p["x"].isNotNull() & p["y"].isNotNull())))
-        return F.array_min(F.transform(placed, lambda g: F.struct(
-            F.when(F.col("by_order"), 0.0).otherwise(F.hypot((p["x"] - g["u"]) * g["w"], (p["y"] - g["v"]) * g["h"])).alias("d"),
-            g["manifest_seq"].alias("seq"), g["referent"].alias("referent"))))
-
-    def best(open_gt: Column) -> Column:
-        named = F.filter(open_gt, lambda g: (p["label"] != "") & (g["label"] == p["label"]))
-        return tx.let(named, lambda n: tx.let(F.when(F.size(n) > 0, n).otherwise(open_gt), closest))
-
-    while state.filter("live").limit(1).count():
-        seen = points.join(side(state.filter("live")), KEY).filter(F.col("at").isNull() | (p["pred_seq"] > F.col("at")))
-        pick = seen.withColumn("_b", tx.let(F.filter("_g", lambda g: ~F.array_contains("taken", g["referent"])), best))
-        pick = pick.filter(F.col("_b").isNotNull() & (F.col("_b.d") <= F.col("limit")))
-        first = pick.groupBy(*KEY, "family").agg(F.min(p["pred_seq"]).alias("_at"), F.min_by("_b", p["pred_seq"]).alias("_b"))
-        moved = state.join(side(first), [*KEY, "family"], "left")
-        hit = F.col("_b").isNotNull()
-        taken = F.when(hit, F.array_append("taken", F.col("_b.referent"))).otherwise(F.col("taken"))
-        state = checkpointed(moved.select(
-            *KEY, "n_pred", "_g", "family", "limit", "joint", "by_order", taken.alias("taken"), "total", F.coalesce("_at", "at").alias("at"),
-            (F.col("dist") + F.when(hit, F.col("_b.d")).otherwise(0.0)).alias("dist"),
-            (F.col("live") & hit & (F.size(taken) < F.col("total"))).alias("live"),
-        ))
-    tp = F.size("taken").cast("bigint")
-    counts = F.struct(tp.alias("tp"), (F.col("n_pred") - tp).alias("fp"), (F.col("total") - tp).cast("bigint").alias("fn"), F.col("dist"))
-    return state.groupBy(*KEY).agg(*[F.max(F.when(F.col("family") == n, counts)).alias(n) for n, *_ in families])
+    rows = manifest.withColumns({"panel_id": panel_name("panel_id"), "referent": tx.norm_text("referent")})
+    usable = F.coalesce("frame_extracted", F.lit(True))
+    named = rows.filter(F.col("panel_id").isNotNull()).groupBy(*KEY, "panel_id").agg(F.max(usable).alias("_has"))
+    named = named.withColumn("_some", F.max("_has").over(Window.partitionBy(*KEY))).filter(F.col("_has") | ~F.col("_some"))  # as many rows as panels
+    layout = sheet_layout(named, columns)
+    sized = rows.filter((F.col("image_width") > 0) & (F.col("image_height") > 0) & (F.col("referent") != ""))
+    gt = sheet_points(distinct_gt(sized), layout.select(*KEY, "panel_id", "x0", "y0"))
+    unit = lambda c: F.when(F.col(c).between(0.0, 1.0), F.col(c)).alias(c)
+    coords = ["x_norm", "y_norm", "sheet_x_norm", "sheet_y_norm"]
+    events = rows.select(*KEY).distinct()
+    answers = preds.select(*KEY, "pred_seq", "mention", panel_name("pred_panel").alias("pred_panel"), *map(unit, coords)).filter(F.col("pred_panel").isNotNull()).join(events, KEY, "left_semi")
+    if mode != "panel":
+        answers = prediction_sheet_points(answers, layout)
+    return greedy_match(events, answers, gt, thresholds, mode=mode)
 
 
 def summary_2d(detail: DataFrame, by: Sequence[str], thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:

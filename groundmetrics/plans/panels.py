@@ -111,28 +111,130 @@ def min_point_distance(spark, sf):
     return rounded(out, "min_distance_px")
 
 
+FAMILY_COLUMNS = [f"{n}_{c}" for n in pn.match_names() for c in ("tp", "fp", "fn")]
+
+
+def fold_sql(modes: str, pairs: str) -> str:
+    """The greedy walk as a recursive query. Expects ``keys``, ``p`` (predictions with rank ``k``) and ``g`` (GT points); ``pairs`` is the
+    distance of p and g in mode m.mode. Gives ``last``: taken referents and summed distance per interaction, mode and family."""
+    return f"""
+    modes AS (SELECT unnest({modes}) AS mode),
+    fam(fam, lim, joint, by_order) AS (VALUES ('time', 0.0, true, true), {", ".join(f"('{k}_{int(t)}', {t}, {str(k == 'joint').lower()}, false)" for k in ("point", "joint") for t in pn.THRESHOLDS)}),
+    d AS (SELECT p.scene, p.row_index, p.k, m.mode, {pairs} AS d, g.manifest_seq AS seq, g.referent, coalesce(g.r <= 1, false) AS ok,
+            p.label <> '' AND p.label = g.label AS named, p.pred_panel = g.panel_id AS here
+        FROM p JOIN g USING (scene, row_index), modes m),
+    q AS (SELECT scene, row_index, mode, k,
+            coalesce(list(struct_pack(d := d, referent := referent, ok := ok, named := named) ORDER BY d, seq) FILTER (d IS NOT NULL), []) AS near,
+            coalesce(list(struct_pack(d := 0.0::DOUBLE, referent := referent, ok := ok, named := named) ORDER BY seq) FILTER (here), []) AS inside,
+            coalesce(list(struct_pack(referent := referent, ok := ok)) FILTER (named), []) AS names, min(d) AS min_px FROM d GROUP BY 1, 2, 3, 4),
+    qk AS (SELECT *, row_number() OVER (PARTITION BY scene, row_index, mode ORDER BY k) AS i FROM q),
+    st AS (SELECT scene, row_index, mode, fam, lim, joint, by_order, 0::BIGINT AS i, []::VARCHAR[] AS taken, 0.0::DOUBLE AS dist FROM keys, modes, fam
+        UNION ALL
+        SELECT scene, row_index, mode, fam, lim, joint, by_order, i, CASE WHEN b IS NULL THEN taken ELSE list_append(taken, b.referent) END, dist + coalesce(b.d, 0)
+        FROM (SELECT s.*, CASE WHEN best.d <= s.lim THEN best END AS b FROM (
+            SELECT s.scene, s.row_index, s.mode, s.fam, s.lim, s.joint, s.by_order, qk.i, s.taken, s.dist,
+                list_filter(CASE WHEN s.by_order THEN qk.inside ELSE qk.near END, lambda c: (NOT s.joint OR c.ok) AND NOT list_contains(s.taken, c.referent)
+                    AND (c.named OR len(list_filter(qk.names, lambda n: (NOT s.joint OR n.ok) AND NOT list_contains(s.taken, n.referent))) = 0))[1] AS best
+            FROM st s JOIN qk ON s.scene = qk.scene AND s.row_index = qk.row_index AND s.mode = qk.mode AND qk.i = s.i + 1) s)),
+    last AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY scene, row_index, mode, fam ORDER BY i DESC) = 1),
+    total AS (SELECT scene, row_index, count(DISTINCT referent) AS n_any, count(DISTINCT referent) FILTER (coalesce(r <= 1, false)) AS n_ok FROM g GROUP BY 1, 2),
+    said AS (SELECT scene, row_index, count(*) AS n FROM p GROUP BY 1, 2),
+    least AS (SELECT scene, row_index, mode, min(min_px) AS px FROM q GROUP BY 1, 2, 3),
+    res AS (SELECT l.*, len(l.taken) AS tp, coalesce(n, 0) - len(l.taken) AS fp, greatest(coalesce(CASE WHEN joint THEN n_ok ELSE n_any END, 0) - len(l.taken), 0) AS fn,
+            coalesce(n, 0) AS n, coalesce(n_any, 0) AS n_any, coalesce(n_ok, 0) AS n_ok, px
+        FROM last l LEFT JOIN total USING (scene, row_index) LEFT JOIN said USING (scene, row_index) LEFT JOIN least USING (scene, row_index, mode))"""
+
+
+PANEL_PX = "CASE WHEN p.pred_panel = g.panel_id THEN sqrt(((p.x_norm - g.gt_u) * 1280) ** 2 + ((p.y_norm - g.gt_v) * 720) ** 2) END"
+LABEL_SQL = r"regexp_replace(lower(trim({})), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
+def wide(columns: list[str]) -> str:
+    """One column per metric family and count out of ``res``."""
+    return ", ".join(f"max({c.rsplit('_', 1)[1]}) FILTER (fam = '{c.rsplit('_', 1)[0]}') AS {c}" for c in columns)
+
+
+MATCH_SQL = f"""WITH RECURSIVE {GT2D_SQL}, keys AS (SELECT scene, row_index FROM @v_keys),
+    g AS (SELECT *, {LABEL_SQL.format("referent")} AS label FROM gt2d),
+    p AS (SELECT *, {LABEL_SQL.format("coalesce(mention, '')")} AS label, row_number() OVER (PARTITION BY scene, row_index ORDER BY pred_seq) AS k FROM @v_refs2d),
+    {fold_sql("['panel']", PANEL_PX)}"""
+
+
+def totals_sql(by: str) -> str:
+    """Sums per group with the ratios of every family, and mean matched distances at 100 px."""
+    div = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / ({b})::DOUBLE ELSE 0 END"
+    cols = []
+    for n in pn.match_names():
+        tp, fp, fn = f"{n}_tp", f"{n}_fp", f"{n}_fn"
+        cols += [tp, fp, fn, f"round({div(tp, f'({tp} + {fp})')}, 6) AS {n}_precision", f"round({div(tp, f'({tp} + {fn})')}, 6) AS {n}_recall",
+                 f"round({div(f'2 * {tp}', f'(2 * {tp} + {fp} + {fn})')}, 6) AS {n}_f1"]
+    cols += [f"round({div(f'{k}_100_dist', f'{k}_100_tp')}, 6) AS mean_{k}_distance_px_100" for k in ("point", "joint")]
+    sums = ", ".join(f"CAST(sum({c}) FILTER (fam = '{n}') AS BIGINT) AS {n}_{c}" for n in pn.match_names() for c in ("tp", "fp", "fn"))
+    dist = ", ".join(f"sum(dist) FILTER (fam = '{k}_100') AS {k}_100_dist" for k in ("point", "joint"))
+    return f"SELECT {by}, events, {', '.join(cols)} FROM (SELECT {by}, count(*) FILTER (fam = 'time') AS events, {sums}, {dist} FROM res GROUP BY {by})"
+
+
 def match_detail(spark, sf):
     return pn.greedy_match(view(spark, sf, "v_keys"), view(spark, sf, "v_refs2d"), pn.distinct_gt(manifest(spark, sf)))
 
 
-@query()
+@query(f"{MATCH_SQL} SELECT scene, row_index, {wide([c for c in FAMILY_COLUMNS if not c.startswith('time')])} FROM res GROUP BY 1, 2")
 def greedy_match(spark, sf):
     d = match_detail(spark, sf)
     names = [n for n in pn.match_names() if n != "time"]
     return d.select(*KEY, *[F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in names for c in ("tp", "fp", "fn")])
 
 
-@query()
+@query(f"{MATCH_SQL} SELECT scene, row_index, {wide([c for c in FAMILY_COLUMNS if c.startswith('time')])} FROM res GROUP BY 1, 2")
 def greedy_time_match(spark, sf):
     return match_detail(spark, sf).select(*KEY, *[F.col(f"time.{c}").alias(f"time_{c}") for c in ("tp", "fp", "fn")])
 
 
-@query()
+@query(f"{MATCH_SQL} {totals_sql('scene')}")
 def summary_2d(spark, sf):
     out = pn.summary_2d(match_detail(spark, sf), ["scene"])
     return rounded(out, *[f.name for f in out.schema.fields if f.dataType.simpleString() == "double"])
 
 
+SPACE_PX = f"""CASE WHEN m.mode = 'panel' OR m.mode = 'auto' AND (p.sheet_x_norm IS NULL OR p.sheet_y_norm IS NULL) THEN {PANEL_PX}
+    ELSE sqrt((p.px - g.sx) ** 2 + (p.py - g.sy) ** 2) END"""
+RUN_SQL = f"""WITH RECURSIVE {GT2D_SQL}, keys AS (SELECT DISTINCT scene, row_index FROM @v_manifest),
+    pan AS (SELECT scene, row_index, panel_id, bool_or(frame_extracted) AS has FROM @v_manifest GROUP BY 1, 2, 3),
+    pos AS (SELECT *, row_number() OVER (PARTITION BY scene, row_index ORDER BY panel_id) - 1 AS i, count(*) OVER (PARTITION BY scene, row_index) AS n
+        FROM (SELECT *, bool_or(has) OVER (PARTITION BY scene, row_index) AS any_has FROM pan) WHERE has OR NOT any_has),
+    lay AS (SELECT scene, row_index, panel_id, 12 + i % 4 * 492 AS x0, 12 + i // 4 * 314 AS y0, 1980 AS sw, ceil(n / 4) * 302 + (ceil(n / 4) + 1) * 12 AS sh FROM pos),
+    size AS (SELECT scene, row_index, max(sw) AS sw, max(sh) AS sh FROM lay GROUP BY 1, 2),
+    g AS (SELECT gt2d.*, {LABEL_SQL.format("referent")} AS label, x0 + gt_u * 480 AS sx, y0 + gt_v * 270 AS sy FROM gt2d JOIN lay USING (scene, row_index, panel_id)),
+    named AS (SELECT scene, row_index, pred_seq, {LABEL_SQL.format("coalesce(mention, '')")} AS label,
+            CASE WHEN upper(trim(pred_panel)) LIKE 'P%' THEN upper(trim(pred_panel)) ELSE 'P' || upper(trim(pred_panel)) END AS pred_panel,
+            {", ".join(f"CASE WHEN {c} BETWEEN 0 AND 1 THEN {c} END AS {c}" for c in ("x_norm", "y_norm", "sheet_x_norm", "sheet_y_norm"))}
+        FROM @v_answers2d WHERE trim(pred_panel) <> ''),
+    p AS (SELECT a.*, row_number() OVER (PARTITION BY scene, row_index ORDER BY pred_seq) AS k,
+            CASE WHEN sheet_x_norm IS NOT NULL AND sheet_y_norm IS NOT NULL THEN sheet_x_norm * size.sw WHEN x_norm IS NOT NULL AND y_norm IS NOT NULL THEN x0 + x_norm * 480 END AS px,
+            CASE WHEN sheet_x_norm IS NOT NULL AND sheet_y_norm IS NOT NULL THEN sheet_y_norm * size.sh WHEN x_norm IS NOT NULL AND y_norm IS NOT NULL THEN y0 + y_norm * 270 END AS py
+        FROM named a JOIN size USING (scene, row_index) LEFT JOIN lay l ON l.scene = a.scene AND l.row_index = a.row_index AND l.panel_id = a.pred_panel),
+    {fold_sql("['panel', 'sheet', 'auto']", SPACE_PX)}"""
+
+def runs_2d(spark, sf):
+    """The three coordinate modes over the same manifest and answers."""
+    m, answers = manifest(spark, sf), view(spark, sf, "v_answers2d")
+    parts = [pn.evaluate_2d(m, answers, mode).withColumn("mode", F.lit(mode)) for mode in ("panel", "sheet", "auto")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""{RUN_SQL} SELECT scene, row_index, mode, max(n_any) AS gt_referent_count, max(n_ok) AS time_evaluable_referent_count, max(n) AS prediction_count,
+    {wide(FAMILY_COLUMNS)}, round(max(px), 4) AS min_point_distance_px FROM res GROUP BY 1, 2, 3""")
+def evaluate_2d(spark, sf):
+    flat = [F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in pn.match_names() for c in ("tp", "fp", "fn")]
+    return runs_2d(spark, sf).select(*KEY, "mode", "gt_referent_count", "time_evaluable_referent_count", "prediction_count", *flat, F.round("min_point_distance_px", 4).alias("min_point_distance_px"))
+
+
+@query(f"{RUN_SQL} {totals_sql('scene, mode')}")
+def evaluate_2d_summary(spark, sf):
+    out = pn.summary_2d(runs_2d(spark, sf), ["scene", "mode"])
+    return rounded(out, *[f.name for f in out.schema.fields if f.dataType.simpleString() == "double"])
+
+
 @query("""WITH one AS (SELECT * FROM @v_manifest WHERE frame_extracted
         QUALIFY row_number() OVER (PARTITION BY scene, row_index, panel_id ORDER BY panel_index, video_time, manifest_seq) = 1),
     n AS (SELECT *, row_number() OVER (PARTITION BY scene, row_index ORDER BY panel_index) AS i, count(*) OVER (PARTITION BY scene, row_index) AS c FROM one)

@@ -72,6 +72,17 @@ VIEWS: dict[str, str] = {
                l_extendedprice AS price
         FROM @lineitem JOIN @nation ON l_suppkey % 25 = n_nationkey
         WHERE l_linestatus = 'O'""",
+    # Answers as models spell them: every line item, panel names in four spellings or missing, coordinates partly out of range.
+    "v_answers2d": """
+        SELECT concat('scene', CAST(l_orderkey % 4 AS STRING)) AS scene, l_orderkey AS row_index,
+               (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey AS pred_seq,
+               CASE WHEN l_partkey % 2 = 0 THEN lower(n_name) WHEN l_partkey % 7 = 0 THEN NULL ELSE 'thing' END AS mention,
+               CASE l_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN concat(' p', CAST(l_linenumber % 3 + 1 AS STRING))
+                    WHEN 2 THEN CAST(l_linenumber % 3 + 1 AS STRING) WHEN 3 THEN 'P7' WHEN 4 THEN '  '
+                    ELSE concat('P', CAST(l_linenumber % 3 + 1 AS STRING)) END AS pred_panel,
+               CASE WHEN l_partkey % 13 >= 1 THEN l_quantity / 48 END AS x_norm, abs(l_discount) * 10 AS y_norm,
+               CASE WHEN l_tax > 0.05 THEN l_quantity / 49 END AS sheet_x_norm, CASE WHEN l_tax > 0.06 THEN abs(l_tax) * 5 END AS sheet_y_norm
+        FROM @lineitem JOIN @nation ON l_suppkey % 25 = n_nationkey""",
     "v_manifest": """
         SELECT scene, row_index, referent, gt_seq * 3 + panel_index AS manifest_seq, panel_index,
                concat('P', CAST(panel_index AS STRING)) AS panel_id,

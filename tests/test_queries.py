@@ -11,7 +11,7 @@ from groundmetrics.plans.views import TABLES
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ("set_match", "grouping_sets", "nearest_negative", "asof_nearest", "interval_join", "select_evidence", "evidence_rank",
-          "parse_points", "validate_selection", "merge_first_wins", "set_fingerprint", "quantile_rows")
+          "parse_points", "validate_selection", "evaluate_2d", "paired_bootstrap", "merge_first_wins", "set_fingerprint", "quantile_rows")
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("GM_ALL_QUERIES") else SAMPLE
 
 
