@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -92,43 +93,83 @@ def delta_vs_baseline(summary: DataFrame, variant: str, baseline: str, on: Seque
     )
 
 
-def _poisson_draws(reps: int, seed: int):
-    def draw(n: pd.Series, code: pd.Series) -> pd.Series:
-        """Poisson(n) weights of all repetitions, reproducible per tuple whatever the partitioning."""
-        return pd.Series([
-            np.random.Generator(np.random.PCG64([seed, int(c) & 0xFFFFFFFFFFFFFFFF])).poisson(lam, reps) for lam, c in zip(n, code)
-        ])
+BOOTSTRAP_GROUPS, BOOTSTRAP_REPS = 1024, 10_000
+# Odd 32-bit multipliers of the weight hash; the SQL counterpart uses the same ones.
+HASH_REP, HASH_GROUP, HASH_MIX = 0x9E3779B1, 0x85EBCA77, 0x45D9F3B
 
-    return F.pandas_udf(draw, "array<bigint>")
 
+def poisson_steps() -> list[int]:
+    """Ends of the 32-bit hash ranges of Poisson(1) weights 0, 1, 2, ...: the weight of a hash is the number of ends at or below it."""
+    steps, term, total, k = [], math.exp(-1.0), 0.0, 0
+    while int((total + term) * 2**32) < 2**32 - 1:
+        total += term
+        steps.append(int(total * 2**32))
+        k += 1
+        term /= k
+    return steps
 
-def paired_bootstrap(pairs: DataFrame, by: Sequence[str], reps: int, seed: int) -> DataFrame:
-    """Percentile interval of (ablation - full) for a masked ratio statistic.
 
-    Rows carry ``full_value, ablation_value, mask``. Equal rows are counted first, and each repetition
-    draws one Poisson(count) weight per distinct tuple, so the work is tuples x reps, not rows x reps.
+def bootstrap_weights(reps: np.ndarray, groups: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) weights (repetitions x groups), a pure function of repetition, group and seed."""
+    low = np.uint64(0xFFFFFFFF)
+    x = (reps.astype(np.uint64)[:, None] * np.uint64(HASH_REP) + groups.astype(np.uint64)[None, :] * np.uint64(HASH_GROUP) + np.uint64(seed)) & low
+    for _ in range(2):
+        x = ((x ^ (x >> np.uint64(16))) * np.uint64(HASH_MIX)) & low
+    x ^= x >> np.uint64(16)
+    return np.searchsorted(np.array(poisson_steps(), np.uint64), x, side="right").astype(np.float64)
+
+
+def bootstrap_group(keys: Sequence[str], groups: int) -> Column:
+    """Group of an interaction: the first 32 bits of the MD5 of its key, modulo ``groups``."""
+    return F.conv(F.substring(F.md5(F.concat_ws("::", *keys).cast("binary")), 1, 8), 16, 10).cast("bigint") % groups
+
+
+def pair_runs(full: DataFrame, ablations: DataFrame, keys: Sequence[str], metrics: Mapping[str, str | None]) -> DataFrame:
+    """(other columns of ``ablations``, keys, metric, full_value, ablation_value, mask): both runs' values of the same interaction.
+
+    ``metrics`` names the value columns and, for each, the mask column of the full run (None: every interaction counts). Interactions
+    that one of the runs lacks are left out; NULL values count as 0 and NULL masks as false.
     """
-    by = list(by)
-    tuples = pairs.groupBy(*by, "full_value", "ablation_value", "mask").agg(F.count("*").alias("n"))
-    code = F.xxhash64(*by, "full_value", "ablation_value", "mask")
-    drawn = tuples.withColumn("_w", _poisson_draws(reps, seed)(F.col("n"), code))
-    drawn = drawn.select("*", F.posexplode("_w").alias("rep", "_d")).withColumn("w", F.col("_d") * F.col("mask"))
-    stat = drawn.groupBy(*by, "rep").agg(
-        (F.sum(F.col("w") * (F.col("ablation_value") - F.col("full_value")))
-         / F.greatest(F.sum("w"), F.lit(1))).alias("diff")
-    )
-    ci = stat.groupBy(*by).agg(F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"))
-    weight = F.col("n") * F.col("mask")
-    point = tuples.groupBy(*by).agg(
-        (F.sum(weight * F.col("full_value")) / F.greatest(F.sum(weight), F.lit(1))).alias("full_value"),
-        (F.sum(weight * F.col("ablation_value")) / F.greatest(F.sum(weight), F.lit(1))).alias("ablation_value"),
-    )
-    low, high = F.col("_ci")[0], F.col("_ci")[1]
-    return point.join(ci, by).select(
-        *by, "full_value", "ablation_value",
-        (F.col("ablation_value") - F.col("full_value")).alias("delta"),
-        low.alias("ci95_low"), high.alias("ci95_high"), ((low > 0) | (high < 0)).alias("significant"),
-    )
+    values = list(metrics)
+    masks = sorted({m for m in metrics.values() if m})
+    base = full.select(*keys, *[F.col(v).cast("double").alias(f"_f_{v}") for v in values], *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(f"_m_{m}") for m in masks])
+    by = [c for c in ablations.columns if c not in (*keys, *values, *masks)]
+    joined = ablations.select(*by, *keys, *[F.col(v).cast("double").alias(v) for v in values]).join(base, list(keys))
+    zero = F.lit(0.0)
+    rows = F.array(*[F.struct(F.lit(v).alias("metric"), F.coalesce(F.col(f"_f_{v}"), zero).alias("full_value"), F.coalesce(F.col(v), zero).alias("ablation_value"),
+                              (F.col(f"_m_{m}") if m else F.lit(1.0)).alias("mask")) for v, m in metrics.items()])
+    return joined.select(*by, *keys, F.inline(rows))
+
+
+def paired_bootstrap(pairs: DataFrame, by: Sequence[str], keys: Sequence[str], reps: int = BOOTSTRAP_REPS, seed: int = 2027, groups: int = BOOTSTRAP_GROUPS) -> DataFrame:
+    """Percentile interval of (ablation - full) for masked means, from the rows of ``pair_runs``.
+
+    Interactions fall into ``groups`` hash groups that are summed by Spark (three numbers per group, combined before the shuffle); every
+    repetition draws one Poisson(1) weight per group. With fewer interactions than groups that is a bootstrap of interactions,
+    beyond that one of random groups, with the same expected interval. A task sees at most ``groups`` rows per metric, whatever the
+    input, and no row per repetition ever exists. Repetitions without any weight have difference 0.
+    """
+    by = [*by, "metric"]
+    weight = lambda c: F.sum(F.col("mask") * F.col(c))
+    sums = pairs.groupBy(*by, bootstrap_group(keys, groups).alias("_group")).agg(
+        weight("full_value").alias("_full"), weight("ablation_value").alias("_ablation"), F.sum("mask").alias("_mask"), F.count("*").alias("_n"))
+
+    def draw(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        values = frame[["_full", "_ablation", "_mask"]].to_numpy(np.float64)
+        number = frame["_group"].to_numpy(np.int64)
+        diffs = []
+        for start in range(0, reps, 500):
+            full, ablation, mask = (bootstrap_weights(np.arange(start, min(start + 500, reps)), number, seed) @ values).T
+            diffs.append((ablation - full) / np.where(mask == 0, 1.0, mask))
+        low, high = np.percentile(np.concatenate(diffs), [2.5, 97.5])
+        full, ablation, mask = values.sum(axis=0)
+        mask = mask or 1.0
+        return pd.DataFrame([(*key, int(frame["_n"].sum()), full / mask, ablation / mask, (ablation - full) / mask, low, high, bool(low > 0 or high < 0))])
+
+    kinds = ", ".join(f"{pairs.schema[c].name} {pairs.schema[c].dataType.simpleString()}" for c in by)
+    # Tiny rows, dear draws: one partition per core, which adaptive execution would otherwise merge into one.
+    sums = sums.repartition(pairs.sparkSession.sparkContext.defaultParallelism, *by)
+    return sums.groupBy(*by).applyInPandas(draw, f"{kinds}, pairs bigint, full_value double, ablation_value double, delta double, ci95_low double, ci95_high double, significant boolean")
 
 
 def unpivot_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:

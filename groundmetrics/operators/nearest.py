@@ -7,7 +7,7 @@ point is resolved in place: no exploded pairs and no shuffle. Inventories above
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundmetrics.functions import geometry as geo
@@ -56,60 +56,69 @@ def nearest_anchor(points: DataFrame, anchors: DataFrame) -> DataFrame:
     return best.select(*points.columns, F.col("_best.anchor_id").alias("nearest_id"), F.col("_best.dist").alias("nearest_dist"))
 
 
-def nearest_by_cells(points: DataFrame, anchors: DataFrame, levels: int = 5, fan: int = 4) -> DataFrame:
-    """Exact nearest anchor for inventories of any size.
+AXES = ("x", "y", "z")
 
-    Anchors are bucketed into nested cells, ``fan`` per axis and level. Points walk down level by level:
-    a cell stays a candidate only while its smallest possible distance does not exceed the best largest
-    possible one, so far cells are dropped before their anchors are ever looked at. Every step is an
-    equi-join on (scene, cell) followed by a minimum per point.
-    """
-    axes = ("x", "y", "z")
-    box = anchors.groupBy("scene").agg(*[f(a).alias(f"_{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))])
-    boxed = anchors.join(box, "scene")
+
+def _cells(anchors: DataFrame, levels: int, fan: int) -> DataFrame:
+    """Anchors with their nested cells ``_c0`` ... ``_c<levels>``, ``fan`` per axis and level, inside the scene's box."""
+    box = anchors.groupBy("scene").agg(*[f(a).alias(f"_{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))])
 
     def cell(level: int) -> Column:
         n = fan ** level
-        parts = []
-        for a in axes:
-            span = F.greatest(F.col(f"_hi{a}") - F.col(f"_lo{a}"), F.lit(1e-12))
-            parts.append(F.least(F.floor((F.col(a) - F.col(f"_lo{a}")) / span * n), F.lit(n - 1)))
+        span = lambda a: F.greatest(F.col(f"_hi{a}") - F.col(f"_lo{a}"), F.lit(1e-12))
+        parts = [F.least(F.floor((F.col(a) - F.col(f"_lo{a}")) / span(a) * n), F.lit(n - 1)) for a in AXES]
         return F.concat_ws("/", *[p.cast("string") for p in parts])
 
-    celled = boxed.select("scene", "anchor_seq", "anchor_id", *axes, *[cell(i).alias(f"_c{i}") for i in range(levels + 1)])
-    todo = points.select("scene", *axes).distinct()
+    return anchors.join(box, "scene").select("scene", "anchor_seq", "anchor_id", *AXES, *[cell(i).alias(f"_c{i}") for i in range(levels + 1)])
 
-    def bounds(df: DataFrame) -> DataFrame:
-        near, far = F.lit(0.0), F.lit(0.0)
-        for a in axes:
-            lo, hi, p = F.col(f"_b_lo{a}"), F.col(f"_b_hi{a}"), F.col(a)
-            gap = F.greatest(F.lit(0.0), lo - p, p - hi)
-            reach = F.greatest(F.abs(p - lo), F.abs(hi - p))
-            near, far = near + gap * gap, far + reach * reach
-        return df.withColumn("_near", near).withColumn("_far", far)
 
-    frontier = todo.withColumn("_cell", F.lit("0/0/0"))
+def k_nearest_by_cells(points: DataFrame, anchors: DataFrame, levels: int = 5, fan: int = 4) -> DataFrame:
+    """(scene, x, y, z, neighbours) for points with their own ``k``: the k nearest anchors, closest first (ties in inventory order).
+
+    Inventories may have any size. Anchors are bucketed into nested cells. Points walk down level by level: the cells whose largest
+    possible distances come first and that together hold k anchors set a limit, and a cell stays a candidate only while its smallest
+    possible distance does not exceed it. Every step is an equi-join on (scene, cell) and a running count over a point's few candidates.
+    Fewer than k anchors in the scene: all of them. Of equal points the largest ``k`` counts.
+    """
+    celled = _cells(anchors, levels, fan)
+    point = ["scene", *AXES]
+    frontier = points.groupBy(*point).agg(F.max("k").alias("k")).withColumn("_cell", F.lit("0/0/0"))
     for level in range(1, levels + 1):
         boxes = celled.groupBy("scene", F.col(f"_c{level - 1}").alias("_cell"), F.col(f"_c{level}").alias("_child")).agg(
-            *[f(a).alias(f"_b_{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]
-        )
-        cand = bounds(frontier.join(boxes, ["scene", "_cell"]))
-        limit = cand.groupBy("scene", *axes).agg(F.min("_far").alias("_limit"))
+            F.count("*").alias("_n"), *[f(a).alias(f"_b_{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))])
+        near, far = F.lit(0.0), F.lit(0.0)
+        for a in AXES:
+            lo, hi, p = F.col(f"_b_lo{a}"), F.col(f"_b_hi{a}"), F.col(a)
+            gap, reach = F.greatest(F.lit(0.0), lo - p, p - hi), F.greatest(F.abs(p - lo), F.abs(hi - p))
+            near, far = near + gap * gap, far + reach * reach
+        cand = frontier.join(boxes, ["scene", "_cell"]).select(*point, "k", "_child", "_n", near.alias("_near"), far.alias("_far"))
+        per = Window.partitionBy(*point)
+        held = F.sum("_n").over(per.orderBy("_far", "_child").rowsBetween(Window.unboundedPreceding, 0))
+        limit = F.min(F.when(F.col("_held") >= F.col("k"), F.col("_far"))).over(per)
+        cand = cand.withColumn("_held", held).withColumn("_limit", limit)
         # the slack absorbs rounding in the squared bounds; it only keeps a few more candidates
-        kept = cand.join(limit, ["scene", *axes]).filter(F.col("_near") <= F.col("_limit") * (1 + 1e-9) + 1e-12)
-        frontier = kept.select("scene", *axes, F.col("_child").alias("_cell"))
-    leaves = celled.select("scene", F.col(f"_c{levels}").alias("_cell"), "anchor_seq", "anchor_id", *[F.col(a).alias(f"_a{a}") for a in axes])
-    pairs = frontier.join(leaves, ["scene", "_cell"])
-    dist = geo.distance(tuple(F.col(a) for a in axes), tuple(F.col(f"_a{a}") for a in axes))
-    best = pairs.groupBy("scene", *axes).agg(
-        F.min(F.struct(dist.alias("dist"), "anchor_seq", "anchor_id")).alias("_best")
-    )
-    out = points.join(best, ["scene", *axes], "left")
-    return out.select(*points.columns, F.col("_best.anchor_id").alias("nearest_id"), F.col("_best.dist").alias("nearest_dist"))
+        kept = cand.filter(F.col("_limit").isNull() | (F.col("_near") <= F.col("_limit") * (1 + 1e-9) + 1e-12))
+        frontier = kept.select(*point, "k", F.col("_child").alias("_cell"))
+    leaves = celled.select("scene", F.col(f"_c{levels}").alias("_cell"), "anchor_seq", "anchor_id", *[F.col(a).alias(f"_a{a}") for a in AXES])
+    dist = geo.distance(tuple(F.col(a) for a in AXES), tuple(F.col(f"_a{a}") for a in AXES))
+    pairs = frontier.join(leaves, ["scene", "_cell"]).select(*point, "k", dist.alias("dist"), "anchor_seq", "anchor_id")
+    rank = F.row_number().over(Window.partitionBy(*point).orderBy("dist", "anchor_seq"))
+    best = pairs.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("k"))
+    return best.groupBy(*point).agg(F.array_sort(F.collect_list(F.struct("dist", "anchor_seq", "anchor_id"))).alias("neighbours"))
+
+
+def nearest_by_cells(points: DataFrame, anchors: DataFrame, levels: int = 5, fan: int = 4) -> DataFrame:
+    """Exact nearest anchor for inventories of any size."""
+    found = k_nearest_by_cells(points.select("scene", *AXES, F.lit(1).alias("k")), anchors, levels, fan)
+    out = points.join(found, ["scene", *AXES], "left")
+    one = F.get("neighbours", F.lit(0))
+    return out.select(*points.columns, one["anchor_id"].alias("nearest_id"), one["dist"].alias("nearest_dist"))
 
 
 def nearest_negative(gt: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Adds, to each GT item of ``scene, row_index, gt``, the distance to the closest non-GT anchor."""
+    """Adds, to each GT item of ``scene, row_index, gt``, the distance to the closest non-GT anchor (NULL if there is none)."""
+    if not fits_in_arrays(anchors):
+        return negative_by_cells(gt, anchors)
     joined = with_inventory(gt, anchors)
     ids = F.col("gt")["id"]
     negatives = F.filter("anchors", lambda a: ~F.array_contains(ids, a["anchor_id"]))
@@ -124,6 +133,22 @@ def nearest_negative(gt: DataFrame, anchors: DataFrame) -> DataFrame:
     return bound.withColumn("gt", items).select(*gt.columns)
 
 
+def negative_by_cells(gt: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``nearest_negative`` for inventories of any size: of a GT item's |GT| + 1 nearest anchors, at least one is no GT of its event."""
+    names = F.size(F.array_distinct("gt.id"))
+    items = gt.select("scene", "row_index", F.col("gt.id").alias("_ids"), names.alias("_names"), F.inline("gt"))
+    # Anchors that share a name are excluded together: count the inventory's rows per name.
+    twins = anchors.groupBy("scene", "anchor_id").agg(F.count("*").alias("_n")).groupBy("scene").agg(F.max("_n").alias("_twins"))
+    at = [F.col("point")[a].alias(a) for a in AXES]
+    wanted = items.join(twins, "scene").select("scene", *at, (F.col("_names") * F.col("_twins") + 1).alias("k"))
+    found = k_nearest_by_cells(wanted, anchors)
+    near = items.select("*", *at).join(found, ["scene", *AXES], "left")
+    free = F.filter("neighbours", lambda a: ~F.array_contains("_ids", a["anchor_id"]))
+    item = F.struct("gt_seq", "id", "point", F.get(free, F.lit(0))["dist"].alias("negative"))
+    back = near.groupBy("scene", "row_index").agg(F.array_sort(F.collect_list(item)).alias("_gt"))
+    return gt.join(back, ["scene", "row_index"], "left").withColumn("gt", F.coalesce("_gt", F.array().cast(back.schema["_gt"].dataType))).select(*gt.columns)
+
+
 def robust_bounds(anchors: DataFrame) -> DataFrame:
     """5 / 95 percent bounds per axis (linear interpolation) and their diagonal."""
     q = F.array(F.lit(0.05), F.lit(0.95))
@@ -136,10 +161,15 @@ def robust_bounds(anchors: DataFrame) -> DataFrame:
 
 def anchor_spacing(anchors: DataFrame) -> DataFrame:
     """Distance of each anchor to its nearest other anchor: count, mean, median and 5 / 95 percent."""
-    joined = with_inventory(anchors, anchors)
-    me = (F.col("x"), F.col("y"), F.col("z"))
-    others = F.filter("anchors", lambda a: a["anchor_seq"] != F.col("anchor_seq"))
-    gap = joined.select("scene", F.array_min(F.transform(others, lambda a: geo.distance(a, me))).alias("gap"))
+    if fits_in_arrays(anchors):
+        joined = with_inventory(anchors, anchors)
+        me = (F.col("x"), F.col("y"), F.col("z"))
+        others = F.filter("anchors", lambda a: a["anchor_seq"] != F.col("anchor_seq"))
+        gap = joined.select("scene", F.array_min(F.transform(others, lambda a: geo.distance(a, me))).alias("gap"))
+    else:
+        found = k_nearest_by_cells(anchors.select("scene", *AXES, F.lit(2).alias("k")), anchors)
+        others = F.filter("neighbours", lambda a: a["anchor_seq"] != F.col("anchor_seq"))
+        gap = anchors.join(found, ["scene", *AXES]).select("scene", F.get(others, F.lit(0))["dist"].alias("gap"))
     q = F.percentile("gap", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     return gap.filter("gap IS NOT NULL").groupBy("scene").agg(
         F.count("*").alias("n"), F.avg("gap").alias("mean_gap"), q.alias("_q")

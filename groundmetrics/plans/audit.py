@@ -260,15 +260,38 @@ def before_after(spark, sf):
     return rounded(ag.before_after(before, after, ["scene"], ["micro_f1", "micro_recall"]), "change", digits=5)
 
 
-@query()
+ABLATED = {
+    # variant: (hit, exact, set_f1) of the ablation run, in terms of the full run's columns
+    "no_gaze": ("hit AND row_index % 3 <> 1", "exact AND row_index % 4 <> 1", "set_f1 * 0.9"),
+    "no_hand": ("hit", "exact OR row_index % 97 = 5", "CASE WHEN row_index % 5 = 2 THEN set_recall ELSE set_f1 END"),
+}
+ABLATED_SQL = " UNION ALL ".join(f"SELECT '{v}' AS variant, scene, row_index, {h} AS hit, {e} AS exact, {f} AS set_f1 FROM {{0}} WHERE o_orderstatus <> '{o}'"
+                                 for (v, (h, e, f)), o in zip(ABLATED.items(), ("P", "X"), strict=True))
+MIX_SQL = "(xor({0}, {0} >> 16) * " + str(ag.HASH_MIX) + ") & 4294967295"
+
+
+@query(f"""WITH {cs.DETAIL_SQL}, abl AS ({ABLATED_SQL.format("detail")}),
+    pairs AS (SELECT a.variant, a.scene, a.row_index, unnest([
+            struct_pack(metric := 'hit', f := coalesce(d.hit, false)::INT::DOUBLE, a := coalesce(a.hit, false)::INT::DOUBLE, m := 1.0::DOUBLE),
+            struct_pack(metric := 'exact', f := coalesce(d.exact, false)::INT::DOUBLE, a := coalesce(a.exact, false)::INT::DOUBLE, m := coalesce(d.evaluable, false)::INT::DOUBLE),
+            struct_pack(metric := 'set_f1', f := coalesce(d.set_f1, 0), a := coalesce(a.set_f1, 0), m := coalesce(d.evaluable, false)::INT::DOUBLE)]) AS x
+        FROM abl a JOIN detail d USING (scene, row_index)),
+    gs AS (SELECT variant, x.metric AS metric, ('0x' || left(md5(scene || '::' || row_index), 8))::BIGINT % {ag.BOOTSTRAP_GROUPS} AS g,
+            sum(x.m * x.f) AS f, sum(x.m * x.a) AS a, sum(x.m) AS m, count(*) AS n FROM pairs GROUP BY 1, 2, 3),
+    h0 AS (SELECT rep, g, (rep * {ag.HASH_REP} + g * {ag.HASH_GROUP} + 2027) & 4294967295 AS x FROM range({ag.BOOTSTRAP_REPS}) r(rep), range({ag.BOOTSTRAP_GROUPS}) q(g)),
+    h1 AS (SELECT rep, g, {MIX_SQL.format("x")} AS x FROM h0), h2 AS (SELECT rep, g, {MIX_SQL.format("x")} AS x FROM h1),
+    w AS (SELECT rep, g, {" + ".join(f"(xor(x, x >> 16) >= {t})::INT" for t in ag.poisson_steps())} AS w FROM h2),
+    st AS (SELECT variant, metric, rep, (sum(w * a) - sum(w * f)) / CASE WHEN sum(w * m) = 0 THEN 1 ELSE sum(w * m) END AS diff FROM gs JOIN w USING (g) GROUP BY 1, 2, 3),
+    ci AS (SELECT variant, metric, quantile_cont(diff, 0.025) AS lo, quantile_cont(diff, 0.975) AS hi FROM st GROUP BY 1, 2),
+    pt AS (SELECT variant, metric, sum(n)::BIGINT AS n, sum(f) / greatest(sum(m), 1) AS f, sum(a) / greatest(sum(m), 1) AS a FROM gs GROUP BY 1, 2)
+    SELECT variant, metric, n AS pairs, round(f, 6) AS full_value, round(a, 6) AS ablation_value, round(a - f, 6) AS delta,
+        round(lo, 6) AS ci95_low, round(hi, 6) AS ci95_high, lo > 0 OR hi < 0 AS significant FROM pt JOIN ci USING (variant, metric)""")
 def paired_bootstrap(spark, sf):
-    d = cs.run_detail(spark, sf)
-    metric = F.array(
-        F.struct(F.lit("hit_exact").alias("metric"), F.col("hit").cast("double").alias("full_value"), F.col("exact").cast("double").alias("ablation_value"), F.lit(1).alias("mask")),
-        F.struct(F.lit("set_f1").alias("metric"), F.coalesce("set_f1", F.lit(0.0)).alias("full_value"), F.coalesce("set_recall", F.lit(0.0)).alias("ablation_value"),
-                 F.col("evaluable").cast("int").alias("mask")),
-    )
-    out = ag.paired_bootstrap(d.select("variant", F.inline(metric)), ["variant", "metric"], 200, 2027)
+    full = cs.set_detail(spark, sf)
+    ablations = [full.filter(F.col("o_orderstatus") != o).select(F.lit(v).alias("variant"), *KEY, F.expr(h).alias("hit"), F.expr(e).alias("exact"), F.expr(f).alias("set_f1"))
+                 for (v, (h, e, f)), o in zip(ABLATED.items(), ("P", "X"), strict=True)]
+    pairs = ag.pair_runs(full, ablations[0].unionByName(ablations[1]), KEY, {"hit": None, "exact": "evaluable", "set_f1": "evaluable"})
+    out = ag.paired_bootstrap(pairs, ["variant"], KEY)
     return rounded(out, "full_value", "ablation_value", "delta", "ci95_low", "ci95_high")
 
 

@@ -4,9 +4,11 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from groundmetrics.operators import aggregate as ag
 from groundmetrics.operators import nearest as nn
 from groundmetrics.operators import points as pt
 from groundmetrics.operators import sets as st
@@ -129,3 +131,57 @@ def test_directional_reasons(spark):
     got = {r.i: (r.invalid_reason, r.angle_deg) for r in pt.directional_match(df).collect()}
     assert got[0][0] == "" and got[0][1] == pytest.approx(45.0)
     assert [got[i][0] for i in range(1, 6)] == ["parse_invalid", "missing_point", "missing_camera", "missing_gt_anchors", "degenerate_camera_or_gt_direction"]
+
+
+def test_inventories_of_any_size(spark):
+    """Nearest, nearest negative and spacing over 600 and 5,000 anchors against brute force, with equal points and shared names."""
+    rng = np.random.default_rng(11)
+    anchors, xyz = [], {}
+    for scene, n in (("a", 600), ("b", 5000), ("c", 3)):
+        p = np.round(rng.random((n, 3)) * [10, 10, 2], 2)
+        p[5 % n] = p[0]
+        xyz[scene] = p
+        anchors += [(scene, i, f"{scene}{i - i % 2 if i < 20 else i}", *map(float, p[i])) for i in range(n)]
+    inventory = spark.createDataFrame(anchors, "scene string, anchor_seq bigint, anchor_id string, x double, y double, z double")
+    names = {(s, i): name for s, i, name, *_ in anchors}
+    assert not nn.fits_in_arrays(inventory)
+    events, want = [], {}
+    for row in range(60):
+        scene = "abc"[row % 3]
+        ids = rng.choice(len(xyz[scene]), size=min(1 + row % 9, len(xyz[scene])), replace=False).tolist()
+        taken = {names[scene, i] for i in ids}
+        items = [(i, names[scene, i], tuple(map(float, xyz[scene][i]))) for i in sorted(ids)]
+        events.append((scene, row, items))
+        free = np.array([names[scene, i] not in taken for i in range(len(xyz[scene]))])
+        for i in ids:
+            d = np.sqrt(((xyz[scene][free] - xyz[scene][i]) ** 2).sum(axis=1))
+            want[row, i] = d.min() if len(d) else None
+    gt = spark.createDataFrame(events, "scene string, row_index bigint, gt array<struct<gt_seq:bigint,id:string,point:struct<x:double,y:double,z:double>>>")
+    got = {(r.row_index, g.gt_seq): g.negative for r in nn.nearest_negative(gt, inventory).collect() for g in r.gt}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    gaps = {r.scene: r for r in nn.anchor_spacing(inventory).collect()}
+    for scene, p in xyz.items():
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+        np.fill_diagonal(d, np.inf)
+        assert gaps[scene].n == len(p) and gaps[scene].mean_gap == pytest.approx(d.min(axis=1).mean())
+        assert gaps[scene].median_gap == pytest.approx(np.median(d.min(axis=1)))
+
+
+def test_bootstrap_interval_against_resampling(spark):
+    """The interval of hash-group weights next to plain resampling of interactions; NULL values and a missing partner."""
+    rng = np.random.default_rng(2)
+    full = [("s", i, bool(rng.random() < 0.6), bool(rng.random() < 0.8)) for i in range(900)]
+    other = [("v", "s", i, h if rng.random() < 0.7 else (None if rng.random() < 0.2 else bool(rng.random() < 0.4))) for _, i, h, _ in full] + [("v", "s", 5000, True)]
+    f = spark.createDataFrame(full, "scene string, row_index bigint, hit boolean, evaluable boolean")
+    a = spark.createDataFrame(other, "variant string, scene string, row_index bigint, hit boolean")
+    keys = ["scene", "row_index"]
+    got = ag.paired_bootstrap(ag.pair_runs(f, a, keys, {"hit": "evaluable"}), ["variant"], keys, groups=1 << 20).first()
+    mask = np.array([m for *_, m in full], float)
+    d = np.array([float(bool(o[3])) - float(h) for (_, _, h, _), o in zip(full, other, strict=False)])
+    at = rng.integers(0, 900, (4000, 900))
+    low, high = np.percentile((d * mask)[at].sum(1) / mask[at].sum(1), [2.5, 97.5])
+    assert got.pairs == 900 and got.delta == pytest.approx((d * mask).sum() / mask.sum())
+    assert got.ci95_low == pytest.approx(low, abs=0.01) and got.ci95_high == pytest.approx(high, abs=0.01)
+    assert ag.paired_bootstrap(ag.pair_runs(f.limit(0), a, keys, {"hit": None}), ["variant"], keys).count() == 0
+    w = ag.bootstrap_weights(np.arange(200), np.arange(500), 1)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03 and len(ag.poisson_steps()) > 8
