@@ -53,11 +53,11 @@ def is_object(c: Column) -> Column:
 
 
 def object_candidates(c: Column | str) -> Column:
-    """First JSON object of an answer: the whole text, a fenced block, the outermost braces."""
+    """First JSON object of an answer: the whole text, each fenced block in turn, the outermost braces."""
     text = F.col(c) if isinstance(c, str) else c
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    fenced = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), F.lit(1))
     braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    tried = F.transform(F.array(text, fenced, braces), relaxed_json)
+    tried = F.transform(F.concat(F.array(text), fenced, F.array(braces)), relaxed_json)
     return F.get(F.filter(tried, is_object), 0)
 
 

@@ -208,18 +208,34 @@ def override_with_prior(u: Column, v: Column, prior_u: Column, prior_v: Column,
     return F.when(use, prior_u).otherwise(u), F.when(use, prior_v).otherwise(v)
 
 
+def squeezed(text: Column) -> Column:
+    """Lower-case text without the blanks, underscores and hyphens between letters, so that every spelling of a name is one."""
+    return F.regexp_replace(F.lower(text), r"(?<=[a-z])[\s_-]+(?=[a-z])", "")
+
+
+def named_number(text: Column, names: Sequence[str]) -> Column:
+    """The number that follows the first of ``names`` (squeezed spelling) and a colon or equals sign."""
+    return F.regexp_extract(squeezed(text), f"(?:{'|'.join(names)})" + r'\s*[:=]\s*"?(\d+(?:\.\d+)?)', 1).try_cast("double")
+
+
+def panel_mentions(text: Column) -> Column:
+    """Distinct panel ids named anywhere in the text, upper-case, in order."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"[Pp]\d+"), F.lit(0)), F.upper))
+
+
 def peak_time(df: DataFrame, raw: str = "raw", fallback: str = "midpoint") -> DataFrame:
-    """Peak seconds of an answer: JSON field, else a number recovered from the text, else the fallback; kept inside the event."""
+    """Peak seconds of an answer: JSON field, else a number recovered from the text, else the fallback; kept inside the event.
+
+    ``candidate_panel_ids`` are those of the JSON, else all panels that the text names; ``panel_id`` is the named one, else the first.
+    """
     d = df.withColumn("_j", pl.object_candidates(raw))
     j, text = F.col("_j"), F.col(raw)
     names = ("primary_panel_timestamp_seconds", "panel_timestamp_seconds", "peak_time_seconds")
     t_json = F.coalesce(*[tx.finite_double(pl.field(j, n)) for n in names])
     c_json = tx.finite_double(pl.field(j, "confidence"))
     ok_json = t_json.isNotNull() & c_json.isNotNull()
-    number = r'\s*[:=]\s*"?([0-9]+(?:\.[0-9]+)?)'
-    spell = r"(?i)(?:primary[_\s-]*panel[_\s-]*timestamp[_\s-]*seconds|panel[_\s-]*timestamp[_\s-]*seconds|peak[_\s-]*time[_\s-]*seconds)"
-    t_text = F.regexp_extract(text, spell + number, 1).try_cast("double")
-    c_text = F.coalesce(F.regexp_extract(text, "(?i)confidence" + number, 1).try_cast("double"), F.lit(0.5))
+    t_text = named_number(text, ("paneltimestampseconds", "peaktimeseconds"))
+    c_text = F.coalesce(named_number(text, ("confidence",)), F.lit(0.5))
     lo, hi = F.col("t_start"), F.col("t_end")
     back = {"t_start": lo, "t_end": hi, "midpoint": lo + F.greatest(F.lit(0.0), hi - lo) / 2.0, "disable": F.lit(None).cast("double")}[fallback]
     how = F.when(ok_json, "json").when(t_text.isNotNull(), "text").otherwise("fallback")
@@ -228,7 +244,16 @@ def peak_time(df: DataFrame, raw: str = "raw", fallback: str = "midpoint") -> Da
     peak = F.when(src == "json", tx.clamp(t_json, lo, hi)).when(src == "text", tx.clamp(t_text, lo, hi)).otherwise(back)
     conf = F.when(src == "json", tx.clamp(c_json, 0.0, 1.0)).when(src == "text", tx.clamp(c_text, 0.0, 1.0)).otherwise(
         F.lit(None if fallback == "disable" else 0.0).cast("double"))
-    return d.withColumn("peak_seconds", peak).withColumn("confidence", conf).withColumn("parse_ok", src != "fallback").drop("_j")
+    d = d.withColumn("peak_seconds", peak).withColumn("confidence", conf).withColumn("parse_ok", src != "fallback")
+    named = F.upper(tx.norm_text(F.coalesce(pl.field(j, "primary_panel_id"), pl.field(j, "panel_id"))))
+    listed = F.from_json(pl.field(j, "candidate_panel_ids"), "array<string>")
+    listed = F.filter(F.transform(listed, lambda p: F.upper(tx.norm_text(p))), lambda p: p != "")
+    found = panel_mentions(text)
+    stated = F.regexp_extract(squeezed(text), r'panelid\s*[:=]\s*"?(p\d+)', 1)
+    of_text = F.when(stated != "", F.upper(stated)).when(src == "fallback", F.get(found, 0))
+    none = F.array().cast("array<string>")
+    d = d.withColumn("panel_id", F.when(src == "json", F.nullif(named, F.lit(""))).otherwise(of_text))
+    return d.withColumn("candidate_panel_ids", F.coalesce(F.when(src == "json", listed).otherwise(found), none)).drop("_j")
 
 
 def batch_summary(df: DataFrame, by: Sequence[str]) -> DataFrame:

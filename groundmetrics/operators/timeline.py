@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundmetrics.functions import cues
 from groundmetrics.functions import geometry as geo
+from groundmetrics.functions import text as tx
 from groundmetrics.operators.scale import bucket_lead, bucket_rank, exact_quantiles, first_by, nearest_sample, small_side, top_k
 from groundmetrics.operators.sets import KEY
+from groundmetrics.session import checkpointed
 
 US = 1_000_000
 
@@ -165,6 +167,115 @@ def pixel_score(projected: Column, move_px: Column, camera_move: Column) -> Colu
     return F.when(projected.isNull(), 0.0).otherwise(1.0 + gaze + cam)
 
 
+def projected_samples(samples: DataFrame, width_px: int, height_px: int) -> DataFrame:
+    """Adds ``gaze_uv`` (the gaze point on the image of its own camera, NULL off it), ``gaze_source`` and ``camera``."""
+    view = F.struct(cues.gaze_world_point().alias("gaze"), cues.whole(F.col("cameraPosition")).alias("at"),
+                    F.col("cameraRotation").alias("turn"), F.col("cameraFOV").alias("fov"))
+
+    def seen(v: Column) -> Column:
+        return F.struct(geo.project_point(v["at"], v["turn"], v["fov"], v["gaze"]["point"], width_px, height_px).alias("uv"),
+                        v["gaze"]["source"].alias("source"), v["at"].alias("at"))
+
+    # bound once: written out, the projection repeats the gaze rules until no method can hold it
+    s = samples.withColumn("_seen", tx.let(view, seen))
+    return s.select(*samples.columns, F.col("_seen.uv").alias("gaze_uv"), F.col("_seen.at").alias("camera"),
+                    F.when(F.col("_seen.uv").isNotNull(), F.col("_seen.source")).alias("gaze_source"))
+
+
+def pixel_stats(candidates: DataFrame, samples: DataFrame, keys: Sequence[str], window: int, width_px: int, height_px: int) -> DataFrame:
+    """``gaze_move`` in pixels and ``camera_move`` in world units around each distinct candidate sample (``keys, t_us``).
+
+    Both are means over the samples within ``window`` that carry the cue, NULL without any. A sample that
+    serves several events is aggregated once, and only its two cues travel; (key, slice) joins keep a long
+    series spread over tasks.
+    """
+    keys = list(keys)
+    b = F.floor(F.col("t_us") / window)
+    c = candidates.groupBy(*keys, F.col("t_us").alias("_t")).agg(F.any_value("gaze_uv").alias("_uv"), F.any_value("camera").alias("_camera"))
+    home = F.floor(F.col("_t") / window)
+    c = c.withColumn("_b", F.explode(F.array(home - 1, home, home + 1)))
+    s = samples.select(*keys, "t_us", "gaze_uv", "camera", b.alias("_b")).filter("gaze_uv IS NOT NULL OR camera IS NOT NULL")
+    gap = F.abs(F.col("t_us") - F.col("_t"))
+    pairs = c.join(s, [*keys, "_b"]).filter((gap > 1) & (gap <= window))
+    du, dv = ((F.col("gaze_uv")[a] - F.col("_uv")[a]) * float(n) for a, n in (("u", width_px), ("v", height_px)))
+    moved = pairs.groupBy(*keys, "_t").agg(F.avg(F.sqrt(du * du + dv * dv)).alias("gaze_move"),
+                                           F.avg(geo.distance(F.col("camera"), F.col("_camera"))).alias("camera_move"))
+    return moved.withColumnRenamed("_t", "t_us")
+
+
+def panel_score(candidates: DataFrame, samples: DataFrame, keys: Sequence[str], window: int, width_px: int, height_px: int) -> DataFrame:
+    """2D cue ``score`` and ``reason`` of candidate samples from ``projected_samples``."""
+    keys = list(keys)
+    moved = pixel_stats(candidates.filter("gaze_uv IS NOT NULL"), samples, keys, window, width_px, height_px)
+    d = candidates.join(moved, [*keys, "t_us"], "left")
+
+    def told_of(name: str, scale: float) -> Column:
+        steady = F.greatest(F.lit(0.0), 1.0 - F.col(f"{name}_move") / scale)
+        return F.when(F.col(f"{name}_move").isNull(), f"{name}_stability:unknown").otherwise(F.format_string(f"{name}_stability:%.2f", steady))
+
+    told = F.concat_ws(";", F.concat(F.lit("gaze:"), F.col("gaze_source")), told_of("gaze", 280.0), told_of("camera", 0.35))
+    reason = F.when(F.col("gaze_uv").isNull(), "no_projected_gaze").otherwise(told)
+    return d.withColumn("score", pixel_score(F.col("gaze_uv"), F.col("gaze_move"), F.col("camera_move"))).withColumn("reason", reason).drop("gaze_move", "camera_move")
+
+
+def spaced_picks(candidates: DataFrame, keys: Sequence[str], k: int, gap: int, score: str = "score", time: str = "t_us") -> DataFrame:
+    """Greedy picks by score (the earlier one on a tie), no two closer than ``gap``, at most ``k`` per event, none without a score.
+
+    Each round takes the best candidate left of every event by an aggregate that combines before the
+    shuffle, and the next round leaves out what lies too near to the picks so far (at most ``k`` per
+    event). No event's candidates are gathered, however long the event is.
+    """
+    keys = list(keys)
+    base = checkpointed(candidates.filter(F.col(score) > 0).withColumn("_neg", -F.col(score)))
+    picks = None
+    for _ in range(k):
+        left = base
+        if picks is not None:
+            taken = picks.groupBy(*keys).agg(F.collect_list(time).alias("_taken"))
+            left = base.join(taken, keys).filter(~F.exists("_taken", lambda t: F.abs(F.col(time) - t) < gap)).drop("_taken")
+        best = checkpointed(first_by(left, keys, ["_neg", time]))
+        picks = best if picks is None else picks.unionByName(best)
+    return picks.drop("_neg")
+
+
+def select_panels(events: DataFrame, samples: DataFrame, keys: Sequence[str], event_keys: Sequence[str], panels: int, step: float, window: int,
+                  gap: int, width: int, size: tuple[int, int] = (1280, 720), strategy: str = "evidence") -> DataFrame:
+    """Panels of each event: ``event_keys, panel_index, video_us, t_us, score, reason``, by time.
+
+    ``t_start`` and ``t_end`` are video times, ``offset_us`` is video minus sample time. ``uniform`` spaces the panels
+    evenly; ``evidence`` takes the best nearest samples of a dense grid over the part of the window that has samples.
+    Events without any positive score, also those without samples, get the uniform panels, marked as fallback.
+    """
+    keys, event_keys = list(keys), list(event_keys)
+    span = (F.col("t_end") - F.col("t_start")) / US
+
+    def uniform(rows: DataFrame, reason: str) -> DataFrame:
+        at = explode_grid(rows, uniform_grid(F.lit(0.0), span, panels), "_off")
+        video = F.col("t_start") + F.round(F.col("_off") * US).cast("bigint")
+        return at.select(*event_keys, video.alias("video_us"), (video - F.col("offset_us")).alias("t_us"),
+                         F.lit(0.0).alias("score"), F.lit(reason).alias("reason"), (F.col("grid_index") + 1).alias("panel_index"))
+
+    columns = [*event_keys, "panel_index", "video_us", "t_us", "score", "reason"]
+    if strategy == "uniform":
+        return uniform(events, "uniform").select(*columns)
+    s = projected_samples(samples, *size).select(*keys, "file_seq", "t_us", "gaze_uv", "gaze_source", "camera")
+    ends = s.groupBy(*keys).agg(F.min("t_us").alias("_first"), F.max("t_us").alias("_last"))
+    ev = events.select(*event_keys, "t_start", "t_end", "offset_us").join(ends, keys)
+    low = F.greatest(F.col("_first"), F.col("t_start") - F.col("offset_us"))
+    high = F.least(F.col("_last"), F.col("t_end") - F.col("offset_us"))
+    ev = ev.withColumn("_low", low).withColumn("_grid", dense_grid(F.lit(0.0), (high - low) / US, step))
+    targets = ev.select(*event_keys, "t_start", "t_end", "offset_us", "_low", F.explode("_grid").alias("_off"))
+    targets = targets.select(*event_keys, "t_start", "t_end", "offset_us", (F.col("_low") + F.round(F.col("_off") * US).cast("bigint")).alias("target_us"))
+    near = nearest_sample(targets, s, keys, "target_us", "t_us", "file_seq", ["gaze_uv", "gaze_source", "camera"], width)
+    near = near.withColumn("video_us", F.col("t_us") + F.col("offset_us")).filter(F.col("video_us").between(F.col("t_start") - 1, F.col("t_end") + 1))
+    cands = near.select(*event_keys, *[k for k in keys if k not in event_keys], "t_us", "video_us", "gaze_uv", "gaze_source", "camera").distinct()
+    picked = spaced_picks(panel_score(cands, s, keys, window, *size).select(*event_keys, "t_us", "video_us", "score", "reason"), event_keys, panels, gap)
+    by_time = Window.partitionBy(*event_keys).orderBy("video_us")
+    chosen = picked.withColumn("panel_index", F.row_number().over(by_time)).select(*columns)
+    rest = events.join(picked.select(*event_keys).distinct(), event_keys, "left_anti")
+    return chosen.unionByName(uniform(rest, "uniform_fallback:no_positive_evidence").select(*columns))
+
+
 def _pick(ranked: Column, picked: Column, gap, k: int, ok=lambda c: F.lit(True), once: bool = False) -> Column:
     def step(acc: Column, c: Column) -> Column:
         far = ~F.exists(acc, lambda p: F.abs(p["time"] - c["time"]) < gap)

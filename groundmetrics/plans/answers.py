@@ -114,10 +114,13 @@ def batch_summary(spark, sf):
 
 @query("""SELECT event_id, CASE code WHEN 3 THEN 'fallback' WHEN 1 THEN 'text' ELSE 'json' END AS peak_source,
         round(CASE WHEN code = 3 THEN t_start + 15 ELSE greatest(t_start, least(t_end, value)) END, 6) AS peak_seconds,
-        round(CASE code WHEN 0 THEN least(value / 40, 1.0) WHEN 1 THEN 0.7 WHEN 2 THEN 0.25 ELSE 0 END, 6) AS confidence, code <> 3 AS parse_ok FROM @v_peaks""")
+        round(CASE code WHEN 0 THEN least(value / 40, 1.0) WHEN 1 THEN 0.7 WHEN 2 THEN 0.25 ELSE 0 END, 6) AS confidence, code <> 3 AS parse_ok,
+        CASE code WHEN 0 THEN 'P2' WHEN 1 THEN 'P4' WHEN 3 THEN CASE WHEN event_id % 8 = 7 THEN 'P5' END END AS panel_id,
+        CASE code WHEN 0 THEN 'P2,P7' WHEN 1 THEN 'P9,P4' WHEN 2 THEN '' ELSE CASE event_id % 8 WHEN 3 THEN '' ELSE 'P5,P3' END END AS candidates FROM @v_peaks""")
 def peak_time(spark, sf):
     out = ps.peak_time(view(spark, sf, "v_peaks"))
-    return rounded(out, "peak_seconds", "confidence").select("event_id", "peak_source", "peak_seconds", "confidence", "parse_ok")
+    return rounded(out, "peak_seconds", "confidence").select("event_id", "peak_source", "peak_seconds", "confidence", "parse_ok", "panel_id",
+                                                              F.concat_ws(",", "candidate_panel_ids").alias("candidates"))
 
 
 MODS = """SELECT o_orderkey AS row_index, concat(CASE o_orderpriority WHEN '1-URGENT' THEN 'Vision, eye' WHEN '2-HIGH' THEN 'hands;video;image'

@@ -221,6 +221,67 @@ def select_evidence(spark, sf):
     return evidence(spark, sf).select(*EVENT, "panel_index", "t_us", F.round("score", 6).alias("score"), "gaze_valid", "hand_valid", "file_seq")
 
 
+PANEL_WINDOW, PANEL_GAP, PANELS = 4 * HOUR_US, 3 * HOUR_US, 3
+TURN = "CASE event_id % 4 WHEN 1 THEN 0.4 WHEN 2 THEN -0.4 WHEN 3 THEN 1.2 ELSE 0.0 END"
+
+
+def turned_samples(spark, sf):
+    """Telemetry whose cameras turn about the vertical axis and zoom; the gaze sometimes has a camera hit point only."""
+    s = samples(spark, sf).withColumn("event_id", F.col("file_seq"))
+    half = F.expr(TURN).cast("double") / 2.0
+    turn = F.struct(F.lit(0.0).alias("x"), F.sin(half).alias("y"), F.lit(0.0).alias("z"), F.cos(half).alias("w"))
+    eye = F.col("eyeGaze").withField("gazePoint", F.when(F.col("event_id") % 5 != 0, F.col("eyeGaze.gazePoint")))
+    return s.withColumn("cameraRotation", turn).withColumn("cameraFOV", (70 + F.col("event_id") % 3 * 15).cast("double")).withColumn("eyeGaze", eye)
+
+
+def video_events(spark, sf):
+    """Event windows on a video clock that is ahead of or behind the samples, some of them after the last sample."""
+    ev = events(spark, sf).withColumn("offset_us", (F.col("row_index") % 3 - 1) * (HOUR_US // 2))
+    late = F.when(F.col("row_index") % 11 == 0, 60 * 24 * HOUR_US).otherwise(0)
+    return ev.select(*EVENT, *[(F.col(c) + F.col("offset_us") + late).alias(c) for c in ("t_start", "t_end")], "offset_us")
+
+
+PANEL_SQL = f"""ev AS (SELECT scene, row_index, day, t_start + off + late AS t_start, t_end + off + late AS t_end, off AS offset_us FROM (
+    SELECT *, (row_index % 3 - 1) * {HOUR_US // 2} AS off, CASE WHEN row_index % 11 = 0 THEN {60 * 24 * HOUR_US} ELSE 0 END AS late FROM @v_events)),
+seen AS (SELECT scene, row_index, t_us, file_seq, cx, cy, cz, event_id % 5 = 0 AS second, eye_open, turn, tan(radians(fov) / 2) AS half, px - cx AS dx, gy - cy AS dy, pz - cz AS dz FROM (
+    SELECT *, {TURN} AS turn, 70 + event_id % 3 * 15 AS fov, gx AS px, CASE WHEN event_id % 5 = 0 THEN gz + 9.0 ELSE gz END AS pz FROM (SELECT *, file_seq AS event_id FROM @v_samples))),
+cam AS (SELECT *, dx * cos(turn) - dz * sin(turn) AS x, dx * sin(turn) + dz * cos(turn) AS z FROM seen),
+img AS (SELECT *, CASE WHEN z > 1e-6 THEN (x / (z * half * (1280.0::DOUBLE / 720.0::DOUBLE)) + 1) * 0.5 END AS u, CASE WHEN z > 1e-6 THEN (1 - dy / (z * half)) * 0.5 END AS v FROM cam),
+proj AS (SELECT scene, row_index, t_us, file_seq, cx, cy, cz, second, coalesce(eye_open AND u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1, false) AS ok, u * 1280 AS u, v * 720 AS v FROM img),
+ends AS (SELECT scene, row_index, min(t_us) AS a, max(t_us) AS z FROM @v_samples GROUP BY 1, 2),
+part AS (SELECT ev.*, greatest(a, t_start - offset_us) AS low, (least(z, t_end - offset_us) - greatest(a, t_start - offset_us)) / 1000000 AS dur FROM ev JOIN ends USING (scene, row_index)),
+steps AS (SELECT *, unnest(list_transform(generate_series(0, CAST(floor((dur + 1e-6) / 3600) AS BIGINT)), k -> k * 3600.0::DOUBLE)) AS o FROM part WHERE dur > 0
+    UNION ALL SELECT *, 0.0 FROM part WHERE dur <= 0
+    UNION ALL SELECT *, dur / 2 FROM part WHERE dur > 0 AND abs(dur / 2 - round(dur / 2 / 3600) * 3600) > 900),
+hits AS (SELECT g.scene, g.row_index, g.day, g.t_start, g.t_end, g.offset_us, p.* EXCLUDE (scene, row_index)
+    FROM (SELECT DISTINCT *, low + CAST(round(o * 1000000) AS BIGINT) AS at FROM steps) g JOIN proj p ON g.scene = p.scene AND g.row_index = p.row_index
+    QUALIFY row_number() OVER (PARTITION BY g.scene, g.row_index, g.day, g.at ORDER BY abs(p.t_us - g.at), p.t_us, p.file_seq) = 1),
+cand AS (SELECT DISTINCT * FROM hits WHERE t_us + offset_us BETWEEN t_start - 1 AND t_end + 1),
+moves AS (SELECT c.scene, c.row_index, c.t_us, avg(CASE WHEN s.ok THEN sqrt((s.u - c.u) * (s.u - c.u) + (s.v - c.v) * (s.v - c.v)) END) AS gaze,
+        avg(sqrt((s.cx - c.cx) * (s.cx - c.cx) + (s.cy - c.cy) * (s.cy - c.cy) + (s.cz - c.cz) * (s.cz - c.cz))) AS camera
+    FROM (SELECT DISTINCT ON (scene, row_index, t_us) * FROM cand WHERE ok) c JOIN proj s ON c.scene = s.scene AND c.row_index = s.row_index
+        AND abs(s.t_us - c.t_us) > 1 AND abs(s.t_us - c.t_us) <= {PANEL_WINDOW} GROUP BY 1, 2, 3),
+points AS (SELECT c.*, 1.0::DOUBLE + CASE WHEN gaze IS NULL THEN 0.15::DOUBLE ELSE 0.9::DOUBLE * greatest(0.0, 1.0 - gaze / 280.0::DOUBLE) END
+        + CASE WHEN camera IS NULL THEN 0.0 ELSE 0.25::DOUBLE * greatest(0.0, 1.0 - camera / 0.35::DOUBLE) END AS score,
+        'gaze:' || CASE WHEN second THEN 'cameraHitPoint' ELSE 'gazePoint' END AS reason
+    FROM cand c LEFT JOIN moves USING (scene, row_index, t_us) WHERE ok),
+lists AS (SELECT scene, row_index, day, list(struct_pack(time := t_us, video := t_us + offset_us, score := score, reason := reason) ORDER BY -score, t_us) AS c FROM points GROUP BY 1, 2, 3),
+greedy AS (SELECT scene, row_index, day, list_reduce(list_transform(c, lambda x: [x]), lambda acc, x: CASE WHEN len(acc) < {PANELS} AND {far('acc', 'x[1].time', PANEL_GAP)}
+        THEN list_concat(acc, x) ELSE acc END) AS p FROM lists),
+best AS (SELECT scene, row_index, day, unnest(p) AS s FROM greedy),
+chosen AS (SELECT scene, row_index, day, row_number() OVER (PARTITION BY scene, row_index, day ORDER BY s.time) AS panel_index, s.video AS video_us, s.time AS t_us, s.score AS score, s.reason AS reason FROM best),
+even AS (SELECT scene, row_index, day, i + 1 AS panel_index, t_start + CAST(round((t_end - t_start) / 1000000 * i / {PANELS - 1}.0::DOUBLE * 1000000) AS BIGINT) AS video_us, offset_us
+    FROM (SELECT *, unnest(generate_series(0, {PANELS - 1})) AS i FROM ev)),
+spare AS (SELECT scene, row_index, day, panel_index, video_us, video_us - offset_us AS t_us, 0.0 AS score, 'uniform_fallback:no_positive_evidence' AS reason FROM even ANTI JOIN best USING (scene, row_index, day))"""
+
+
+@query(f"""WITH {PANEL_SQL} SELECT scene, row_index, day, CAST(panel_index AS INTEGER) AS panel_index, video_us, t_us, round(score, 6) AS score, reason
+    FROM (SELECT * FROM chosen UNION ALL SELECT * FROM spare)""")
+def select_panels(spark, sf):
+    out = tl.select_panels(video_events(spark, sf), turned_samples(spark, sf), KEY, EVENT, PANELS, STEP_S, PANEL_WINDOW, PANEL_GAP, SLICE, (W, H))
+    return rounded(out, "score").withColumn("reason", F.regexp_extract("reason", "^[^;]*", 0))
+
+
 SEG_D = "sqrt((gx - a.x) * (gx - a.x) + (gy - a.y) * (gy - a.y) + (gz - a.z) * (gz - a.z))"
 SEG_SQL = f"""seg AS (SELECT e.scene, e.row_index, e.day, CAST(floor((s.t_us - e.t_start) / {2 * HOUR_US}) AS BIGINT) AS segment, s.t_us, gx, gy, gz
     FROM @v_events e JOIN @v_samples s ON e.scene = s.scene AND e.row_index = s.row_index AND s.t_us >= e.t_start AND s.t_us < e.t_end WHERE eye_open),

@@ -142,10 +142,10 @@ VIEWS: dict[str, str] = {
         FROM @events""",
     "v_peaks": """
         SELECT event_id, event_id % 4 AS code, value, CAST(event_id % 20 AS DOUBLE) AS t_start, CAST(event_id % 20 AS DOUBLE) + 30 AS t_end, CASE event_id % 4
-            WHEN 0 THEN concat('{"peak_time_seconds": ', CAST(value AS STRING), ', "confidence": ', CAST(value / 40 AS STRING), '}')
-            WHEN 1 THEN concat('The panel timestamp seconds: ', CAST(value AS STRING), ' with Confidence = 0.7')
+            WHEN 0 THEN concat('{"peak_time_seconds": ', CAST(value AS STRING), ', "confidence": ', CAST(value / 40 AS STRING), ', "panel_id": " p2", "candidate_panel_ids": ["p2", " P7 "]}')
+            WHEN 1 THEN concat('The panel timestamp seconds: ', CAST(value AS STRING), ' with Confidence = 0.7, like p9; Panel-ID: p4, P9')
             WHEN 2 THEN concat('{"primary_panel_timestamp_seconds": "', CAST(value AS STRING), '", "confidence": 0.25, }')
-            ELSE 'nothing usable' END AS raw
+            ELSE CASE event_id % 8 WHEN 3 THEN 'nothing usable' ELSE 'unclear: p5 or P3' END END AS raw
         FROM @events""",
     # One 3D answer per interaction: the last predicted point, a camera where one was logged.
     "v_answers": """
