@@ -176,7 +176,7 @@ def projected_samples(samples: DataFrame, width_px: int, height_px: int) -> Data
         return F.struct(geo.project_point(v["at"], v["turn"], v["fov"], v["gaze"]["point"], width_px, height_px).alias("uv"),
                         v["gaze"]["source"].alias("source"), v["at"].alias("at"))
 
-    # bound once: written out, the projection repeats the gaze rules until no method can hold it
+    # bound once: written out, the projection repeats the gaze rules in every use of the point
     s = samples.withColumn("_seen", tx.let(view, seen))
     return s.select(*samples.columns, F.col("_seen.uv").alias("gaze_uv"), F.col("_seen.at").alias("camera"),
                     F.when(F.col("_seen.uv").isNotNull(), F.col("_seen.source")).alias("gaze_source"))
@@ -258,7 +258,8 @@ def select_panels(events: DataFrame, samples: DataFrame, keys: Sequence[str], ev
     columns = [*event_keys, "panel_index", "video_us", "t_us", "score", "reason"]
     if strategy == "uniform":
         return uniform(events, "uniform").select(*columns)
-    s = projected_samples(samples, *size).select(*keys, "file_seq", "t_us", "gaze_uv", "gaze_source", "camera")
+    # written once: three passes read these few columns instead of projecting the nested samples again
+    s = checkpointed(projected_samples(samples, *size).select(*keys, "file_seq", "t_us", "gaze_uv", "gaze_source", "camera"))
     ends = s.groupBy(*keys).agg(F.min("t_us").alias("_first"), F.max("t_us").alias("_last"))
     ev = events.select(*event_keys, "t_start", "t_end", "offset_us").join(ends, keys)
     low = F.greatest(F.col("_first"), F.col("t_start") - F.col("offset_us"))
