@@ -61,6 +61,21 @@ def object_candidates(c: Column | str) -> Column:
     return F.get(F.filter(tried, is_object), 0)
 
 
+def canonical_json(c: Column | str, list_key: str | None = None) -> Column:
+    """One spelling of a JSON payload: keys sorted at every level, blanks and escapes settled, ``2.0`` and ``5e-1`` as ``2`` and ``0.5``.
+
+    With ``list_key`` a bare list stands for an object with that key, and what is no JSON (null, empty and
+    repeated keys included) for an empty list; without it such payloads are NULL.
+    """
+    text = F.to_json(F.try_parse_json(F.col(c) if isinstance(c, str) else c))
+    # whole strings are matched first and kept; only digits outside them lose a zero fraction
+    text = F.regexp_replace(text, r'("(?:[^"\\]++|\\.)*+")|(?<=\d)\.0+(?!\d)', "$1")
+    if list_key is None:
+        return text
+    wrapped = tx.let(text, lambda t: F.when(F.startswith(t, F.lit("[")), F.concat(F.lit('{"' + list_key + '":'), t, F.lit("}"))).otherwise(t))
+    return F.coalesce(wrapped, F.lit('{"' + list_key + '":[]}'))
+
+
 def field(c: Column, name: str) -> Column:
     return F.get_json_object(c, f"$.{name}")
 

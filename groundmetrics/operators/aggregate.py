@@ -67,20 +67,24 @@ def target_bucket(count: Column | str, zero: str = "multi_target") -> Column:
     return F.when(n == 1, "single_target").when(n > 1, "multi_target").otherwise(zero)
 
 
-def grouping_sets(df: DataFrame, sets: Sequence[Sequence[str]], aggregates: Sequence[Column], label: str = "partition") -> DataFrame:
-    """Several partitions in one pass; ``label`` names the partition of each row."""
+def grouping_sets(df: DataFrame, sets: Sequence[Sequence[str]], aggregates: Sequence[Column], label: str = "partition",
+                  missing: str = "missing") -> DataFrame:
+    """Several partitions in one pass; ``label`` names the partition of each row, a NULL group by ``missing``.
+
+    Which columns a row is grouped by is read from the grouping itself, so a NULL group is not the overall row.
+    """
     columns = list(dict.fromkeys(c for s in sets for c in s))
     grouped = df.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(
-        F.grouping_id().alias("_gid"), *aggregates
+        *[F.grouping(c).alias(f"_out_{c}") for c in columns], *aggregates
     )
-    name = F.coalesce(*[F.col(c).cast("string") for c in columns], F.lit("overall"))
-    return grouped.withColumn(label, name).drop("_gid", *columns)
+    names = [F.when(F.col(f"_out_{c}") == 0, F.coalesce(F.col(c).cast("string"), F.lit(missing))) for c in columns]
+    return grouped.withColumn(label, F.coalesce(*names, F.lit("overall"))).drop(*[f"_out_{c}" for c in columns], *columns)
 
 
 def summary_rollup(df: DataFrame, outer: str, inner: str, total: str = "ALL") -> DataFrame:
-    """Counts per (outer, inner) plus one ``total`` row per outer value; ratios are recomputed."""
-    counts = df.groupingSets([[F.col(outer), F.col(inner)], [F.col(outer)]], outer, inner).agg(*anchor_columns())
-    return anchor_rates(counts.withColumn(inner, F.coalesce(inner, F.lit(total))))
+    """Counts per (outer, inner) plus one ``total`` row per outer value; ratios are recomputed. A NULL inner value stays NULL."""
+    counts = df.groupingSets([[F.col(outer), F.col(inner)], [F.col(outer)]], outer, inner).agg(F.grouping(inner).alias("_all"), *anchor_columns())
+    return anchor_rates(counts.withColumn(inner, F.when(F.col("_all") == 1, total).otherwise(F.col(inner))).drop("_all"))
 
 
 def delta_vs_baseline(summary: DataFrame, variant: str, baseline: str, on: Sequence[str], metrics: Sequence[str]) -> DataFrame:

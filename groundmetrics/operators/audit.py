@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundmetrics.functions import payload as pl
 from groundmetrics.operators.scale import small_side
 from groundmetrics.operators.sets import KEY
 
@@ -196,9 +197,12 @@ def metric_reproduction(recomputed: DataFrame, stored: DataFrame, on: Sequence[s
     return joined.select(*on, *checks)
 
 
-def same_as_baseline(rows: DataFrame, variant: str, baseline: str, keys: Sequence[str], payload: Column) -> DataFrame:
-    """Share of rows whose canonical payload equals the baseline's."""
-    canon = rows.select(variant, *keys, payload.alias("_p"))
+def same_as_baseline(rows: DataFrame, variant: str, baseline: str, keys: Sequence[str], payload: str, list_key: str | None = "points_3d") -> DataFrame:
+    """Rows of each variant, and how many hold the baseline's JSON payload in every field, however it is spelled.
+
+    Payloads travel as 128 bits of the SHA-256 of their canonical form, not as texts.
+    """
+    canon = rows.select(variant, *keys, F.substring(F.sha2(pl.canonical_json(payload, list_key), 256), 1, 32).alias("_p"))
     base = canon.filter(F.col(variant) == baseline).select(*keys, F.col("_p").alias("_b"), F.lit(1).alias("_f"))
     joined = canon.join(base, list(keys), "left")
     same = F.col("_f").isNotNull() & F.col("_p").eqNullSafe(F.col("_b"))

@@ -140,8 +140,8 @@ def validate_selection(df: DataFrame, aliases: DataFrame, keys: Sequence[str], n
     keys = list(keys)
     exact = small_side(aliases.select("scene", F.lower("alias").alias("_k"), "anchor_id", "anchor_seq"))
     exact = exact.groupBy("scene", "_k").agg(F.min_by("anchor_id", "anchor_seq").alias("anchor_id"))
-    flat = df.select(*keys, F.posexplode(names).alias("_pos", "_name")).withColumn("_k", F.lower("_name"))
-    hit = flat.join(exact, ["scene", "_k"], "left") if "scene" in keys else flat
+    flat = df.select(*dict.fromkeys([*keys, "scene"]), F.posexplode(names).alias("_pos", "_name")).withColumn("_k", F.lower("_name"))
+    hit = flat.join(exact, ["scene", "_k"], "left")
     first = F.min(F.when(F.col("anchor_id").isNotNull(), F.col("_pos")))
     per = hit.groupBy(*keys).agg(
         F.array_sort(F.collect_set(F.when(F.col("anchor_id").isNull(), F.struct("_pos", "_name")))).alias("_bad"),

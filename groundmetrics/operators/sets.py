@@ -213,11 +213,18 @@ def drop_repeated_content(rows: DataFrame, keys: Sequence[str], digest: str, ord
     return first_by(rows, [*keys, digest], [order])
 
 
-def apply_repairs(table: DataFrame, repairs: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Apply ``key, column, new_value`` repairs; returns the repaired table and the change log."""
-    wide = repairs.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("column") == c, F.col("new_value"))).alias(f"_new_{c}") for c in columns]
-    )
+def apply_repairs(table: DataFrame, repairs: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Apply ``key, column, new_value`` repairs; returns the repaired table and the change log.
+
+    Of several repairs of one cell the last by ``order`` counts; without an order the largest value does.
+    """
+    def settled(c: str) -> Column:
+        new = F.when(F.col("column") == c, F.col("new_value"))
+        if order:
+            return F.max_by(new, F.when(new.isNotNull(), F.col(order)))
+        return F.max(new)
+
+    wide = repairs.groupBy(*keys).agg(*[settled(c).alias(f"_new_{c}") for c in columns])
     joined = table.join(wide, list(keys), "left")
     fixed = joined.select(
         *[F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in table.columns]

@@ -1,9 +1,15 @@
 """Panel selection, record masking and answer recovery against plain versions and small cases."""
 
+import json
 import math
 
+from pyspark.sql import functions as F
+
+from groundmetrics.functions import payload as pl
+from groundmetrics.operators import aggregate as ag
 from groundmetrics.operators import batch as bt
 from groundmetrics.operators import parsing as ps
+from groundmetrics.operators import sets as st
 from groundmetrics.operators import timeline as tl
 
 SAMPLE = ("k string, file_seq bigint, t_us bigint, cameraPosition struct<x:double,y:double,z:double>, "
@@ -86,3 +92,37 @@ def test_peak_from_the_second_block_and_panels_from_text(spark):
     got = {r.i: (r.peak_source, r.peak_seconds, r.confidence, r.panel_id, r.candidate_panel_ids) for r in ps.peak_time(df).collect()}
     assert got[0] == ("json", 4.0, 1.0, "P3", []) and got[1] == ("text", 10.0, 0.5, "P7", ["P7", "P1"])
     assert got[2] == ("fallback", 5.0, 0.0, "P2", ["P2"]) and got[3] == got[4] == ("fallback", 5.0, 0.0, None, [])
+
+
+def test_canonical_json_against_the_json_module(spark):
+    same = ['{"b": [1, {"y": "\\u00e9", "x": 2.50}], "a": null}', '{ "a":null,"b":[1.0,{"x":2.5,"y":"é"}] }', '{"a":null,"b":[10e-1,{"x":25e-1,"y":"é"}]}']
+    other = ['{"b": [1, {"y": "é", "x": 2.5}]}', '{"b": [{"y": "é", "x": 2.5}, 1], "a": null}', '{"b": [1, {"y": "é.0", "x": 2.5}], "a": null}',
+             '{"b": [1, {"y": "7.0", "x": 2.5}], "a": null}', '{"b": [1, {"y": "7", "x": 2.5}], "a": null}', '{"b": [1, {"y": "q\\"1.0", "x": 2.5}], "a": true}']
+    df = spark.createDataFrame([(t,) for t in same + other], "t string").select("t", pl.canonical_json("t").alias("c"))
+    got = {r.t: r.c for r in df.collect()}
+    assert len({got[t] for t in same}) == 1 and len({got[t] for t in same + other}) == 1 + len(other)
+    assert all(json.loads(c) == json.loads(t) for t, c in got.items())
+    odd = spark.createDataFrame([("[1]",), ('{"p":[1]}',), ("",), (None,), ("{",), ('{"p":[]}',)], "t string")
+    assert [r.c for r in odd.select(pl.canonical_json("t", "p").alias("c")).collect()] == ['{"p":[1]}'] * 2 + ['{"p":[]}'] * 4
+    assert [r.c for r in odd.select(pl.canonical_json("t").alias("c")).collect()][2:5] == [None] * 3
+
+
+def test_null_groups_are_not_the_overall_row(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 4)], "scene string, n int")
+    rows = ag.grouping_sets(df, [[], ["scene"]], [F.sum("n").alias("n")]).collect()
+    assert {(r.partition, r.n) for r in rows} == {("overall", 7), ("a", 1), ("missing", 6)}
+
+
+def test_last_repair_of_a_cell_counts(spark):
+    table = spark.createDataFrame([("s", 1, "old"), ("s", 2, "old")], "scene string, row_index bigint, v string")
+    repairs = spark.createDataFrame([("s", 1, "v", "z", 1), ("s", 1, "v", "b", 2)], "scene string, row_index bigint, column string, new_value string, seq int")
+    fixed, log = st.apply_repairs(table, repairs, ["scene", "row_index"], ["v"], order="seq")
+    assert {(r.row_index, r.v) for r in fixed.collect()} == {(1, "b"), (2, "old")} and log.count() == 1
+
+
+def test_selection_keys_need_not_hold_the_scene(spark):
+    aliases = spark.createDataFrame([("s", "Box", "box_1", 1), ("t", "Box", "box_9", 1)], "scene string, alias string, anchor_id string, anchor_seq int")
+    rows = spark.createDataFrame([(1, "s", "entity", "language", "", ["box"]), (2, "t", "entity", "language", "", ["BOX", "cup"])],
+                                 "i int, scene string, referent_type string, primary_source string, note string, names array<string>")
+    got = {r.i: (r.response_status, r.resolved) for r in ps.validate_selection(rows, aliases, ["i"]).collect()}
+    assert got == {1: ("ok", ["box_1"]), 2: ("partial_invalid_object_name", ["box_9"])}
