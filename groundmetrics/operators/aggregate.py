@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Mapping, Sequence
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundmetrics.operators.scale import small_side
+from groundmetrics.operators.scale import global_rank, small_side
 from groundmetrics.operators.sets import prf, ratio
 
 
@@ -208,8 +209,34 @@ def error_extremes(df: DataFrame, error: str, k: int = 6, tie: Sequence[str] = (
     return low.unionByName(high)
 
 
-def quantile_rows(ranked: DataFrame, total: DataFrame, quantiles: Sequence[float], rank: str = "rank") -> DataFrame:
-    """Rows at ranks ``int((n - 1) * q)`` of an already ranked table."""
-    wanted = total.select(F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("quantile"), F.col("n"))
-    wanted = wanted.withColumn(rank, F.floor((F.col("n") - 1) * F.col("quantile")) + 1).drop("n")
-    return ranked.join(F.broadcast(wanted), rank)
+def quantile_rows(df: DataFrame, value: str, quantiles: Sequence[float], ties: Sequence[str] = ("scene", "row_index"), rank: str = "rank",
+                  accuracy: int = 10_000) -> DataFrame:
+    """Rows at ranks ``int((n - 1) * q) + 1`` by ``value``, then ``ties``; rows without a number take no part.
+
+    A mergeable sketch gives a bracket of values around each rank, one more scan counts exactly what lies
+    below and inside the brackets, and only the rows inside are sorted. If a count shows a rank outside its bracket, all rows are.
+    """
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    marks = [min(1.0, max(0.0, q + side * 3.0 / accuracy)) for q in quantiles for side in (-1, 1)]
+    v = F.col(value)
+    head = rows.agg(F.count("*").alias("n"), F.percentile_approx(v, marks, accuracy).alias("marks"), F.min(v).alias("low"), F.max(v).alias("high")).first()
+    spans: list[tuple] = []
+    for low, high in sorted(zip(head.marks[::2], head.marks[1::2])) if head.n else []:
+        if spans and low <= spans[-1][1]:
+            low, high = spans[-1][0], max(high, spans.pop()[1])
+        spans.append((low, high))
+
+    def inside(span: tuple) -> Column:
+        return v.between(F.lit(span[0]), F.lit(span[1]))
+
+    at = [int((head.n - 1) * q) for q in quantiles] if head.n else []
+    counts = rows.agg(F.count("*"), *[c for s in spans for c in (F.count_if(v < F.lit(s[0])), F.count_if(inside(s)))]).first()[1:]
+    # (rows below, rows inside, rows of earlier brackets) of each bracket
+    known = [(counts[2 * i], counts[2 * i + 1], sum(counts[1:2 * i:2])) for i in range(len(spans))]
+    if not all(any(below <= r < below + n for below, n, _ in known) for r in at):
+        spans, known = [(head.low, head.high)], [(0, head.n, 0)]
+    near = rows.filter(functools.reduce(Column.__or__, [inside(s) for s in spans], F.lit(False)))
+    picks = [(float(q), r + 1, r - below + before + 1) for q, r in zip(quantiles, at) for below, n, before in known if below <= r < below + n]
+    wanted = df.sparkSession.createDataFrame(picks, f"quantile double, {rank} bigint, _place bigint")
+    # one row per quantile
+    return global_rank(near, [value, *ties], "_place").join(F.broadcast(wanted), "_place").drop("_place")

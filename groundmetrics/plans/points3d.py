@@ -10,7 +10,7 @@ from groundmetrics.operators import audit as au
 from groundmetrics.operators import nearest as nn
 from groundmetrics.operators import points as pt
 from groundmetrics.operators import sets as st
-from groundmetrics.operators.scale import global_rank, spread
+from groundmetrics.operators.scale import spread
 from groundmetrics.plans.closed_set import rounded
 from groundmetrics.plans.views import registry, view
 
@@ -256,9 +256,7 @@ def error_extremes(spark, sf):
     JOIN (SELECT unnest([0.1, 0.5, 0.9, 0.99, 1.0])::DOUBLE AS q) ON rank = floor((n - 1) * q) + 1""")
 def quantile_rows(spark, sf):
     keys = view(spark, sf, "v_keys").select(*st.KEY, "o_totalprice")
-    ranked = global_rank(keys, ["o_totalprice", "scene", "row_index"], "rank")
-    total = keys.agg(F.count("*").alias("n"))
-    out = ag.quantile_rows(ranked, total, (0.1, 0.5, 0.9, 0.99, 1.0))
+    out = ag.quantile_rows(keys, "o_totalprice", (0.1, 0.5, 0.9, 0.99, 1.0))
     return out.select("quantile", *st.KEY, "o_totalprice", "rank")
 
 

@@ -126,3 +126,21 @@ def test_selection_keys_need_not_hold_the_scene(spark):
                                  "i int, scene string, referent_type string, primary_source string, note string, names array<string>")
     got = {r.i: (r.response_status, r.resolved) for r in ps.validate_selection(rows, aliases, ["i"]).collect()}
     assert got == {1: ("ok", ["box_1"]), 2: ("partial_invalid_object_name", ["box_9"])}
+
+
+def test_rows_at_quantiles_equal_a_full_sort(spark):
+    def plain(data, quantiles):
+        full = sorted((v, i) for v, i in data if v is not None and v == v)
+        return {(q, int((len(full) - 1) * q) + 1, *full[int((len(full) - 1) * q)]) for q in quantiles} if full else set()
+
+    def ours(data, quantiles, accuracy):
+        df = spark.createDataFrame(data, "v double, i bigint")
+        return [(r.quantile, r["rank"], r.v, r.i) for r in ag.quantile_rows(df, "v", quantiles, ["i"], accuracy=accuracy).collect()]
+
+    quantiles = (0.0, 0.1, 0.101, 0.5, 0.99, 1.0)
+    even = [((i * 7919) % 3001 / 7.0, i) for i in range(3000)] + [(None, -1), (float("nan"), -2)]
+    hot = [(5.0 if i % 3 else float(i), i) for i in range(900)] + [(1e300, 1000)]
+    for data in (even, hot, [(2.0, 1)], [(None, 1)]):
+        for accuracy in (10, 1000):
+            got = ours(data, quantiles, accuracy)
+            assert len(got) == len(set(got)) and set(got) == plain(data, quantiles)
