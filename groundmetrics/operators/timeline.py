@@ -365,28 +365,86 @@ def select_evidence(events: DataFrame, samples: DataFrame, keys: Sequence[str],
     return temporal_nms(scored, event_keys, max_frames, gap, payload=extra, quota=["gaze_valid", "hand_valid"], reserve="ratio_index").drop("ratio_index")
 
 
+SEGMENT_CUES = ("file_seq", "gaze", "gaze_origin", "gaze_vector", "hand_hit")
+
+
+def segment_cues(samples: DataFrame) -> DataFrame:
+    """Adds what segments read of nested samples: ``gaze, gaze_origin, gaze_vector, hand_hit`` (right hand not flagged as lost)."""
+    def seen(name: str) -> Column:
+        p = cues.whole(F.col(f"eyeGaze.{name}"))
+        return F.when(geo.nonzero(p), p)
+
+    return samples.select("*", cues.gaze_hit().alias("gaze"), seen("gazeOrigin").alias("gaze_origin"), seen("gazeVector").alias("gaze_vector"),
+                          cues.hand_hit("right_not_lost").alias("hand_hit"))
+
+
+def fill_windows(events: DataFrame, samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Missing ``t_start`` / ``t_end`` become the first / last sample time of the key."""
+    ends = samples.groupBy(*keys).agg(F.min("t_us").alias("_first"), F.max("t_us").alias("_last"))
+    filled = events.join(ends, list(keys), "left")
+    return filled.withColumn("t_start", F.coalesce("t_start", "_first")).withColumn("t_end", F.coalesce("t_end", "_last")).drop("_first", "_last")
+
+
+def segmented_samples(events: DataFrame, samples: DataFrame, keys: Sequence[str], duration: int, width: int) -> DataFrame:
+    """Samples with a cue and their half-open ``segment``, counted from the event's start; the last segment ends with the event.
+
+    Works on a stream of samples too (the events are then a table).
+    """
+    s = inside_samples(events, samples.filter("gaze IS NOT NULL OR hand_hit IS NOT NULL"), keys, width, SEGMENT_CUES)
+    s = s.filter(F.col("t_us") < F.col("t_end")).withColumn("segment", F.floor((F.col("t_us") - F.col("t_start")) / duration))
+    start = F.col("t_start") + F.col("segment") * duration
+    return s.withColumn("start_us", start).withColumn("end_us", F.least(start + duration, F.col("t_end")))
+
+
+def eye(c: Column | None = None) -> Column:
+    """What is kept of a cue."""
+    names = ("t_us", "gaze", "gaze_origin", "gaze_vector")
+    return F.struct(*[(F.col(n) if c is None else c[n]).alias(n) for n in names])
+
+
+def eye_cues(nearest: Column, middle: Column) -> Column:
+    """The cue nearest to the best anchor's moment, and the middle one unless it is within a millisecond of the first."""
+    return F.when(F.abs(middle["t_us"] - nearest["t_us"]) > US // 1000, F.array(nearest, middle)).otherwise(F.array(nearest))
+
+
 def timeline_segments(events: DataFrame, samples: DataFrame, anchors: DataFrame, keys: Sequence[str], event_keys: Sequence[str],
                       duration: int, width: int, top: int = 3, slack: float = 0.75) -> DataFrame:
-    """Half-open segments anchored at each event's start with their nearest anchors and a score."""
-    s = inside_samples(events, samples.filter("gaze IS NOT NULL"), keys, width, ["gaze"]).filter(F.col("t_us") < F.col("t_end"))
-    s = s.withColumn("segment", F.floor((F.col("t_us") - F.col("t_start")) / duration))
+    """Half-open segments anchored at each event's start: ``event_keys, segment, start_us, end_us, t_us, n_gaze, n_hand, best_d, nearest,
+    eye_cues, score``.
+
+    Segments need two gaze samples; events without any, scenes without anchors and empty windows give no row. Samples of equal time are
+    taken by ``file_seq``. Distances to all anchors are reduced to minima before they leave their task; only the anchors that can be
+    among the first ``top`` (ties included) meet the samples a second time, as one short array per segment.
+    """
     seg = [*event_keys, "segment"]
+    extra = [c for c in ("scene",) if c not in seg]
+    s = checkpointed(segmented_samples(events, samples, keys, duration, width).select(*seg, *extra, "start_us", "end_us", "t_us", *SEGMENT_CUES))
+    counts = s.groupBy(*seg).agg(F.first("start_us").alias("start_us"), F.first("end_us").alias("end_us"),
+                                 F.count("gaze").alias("n_gaze"), F.count("hand_hit").alias("n_hand")).filter("n_gaze >= 2")
+    gaze = s.filter("gaze IS NOT NULL")
     a = small_side(anchors.select("scene", "anchor_id", F.struct("x", "y", "z").alias("_a")))
-    pairs = s.join(a, "scene").select(*seg, "anchor_id", "t_us", geo.distance("gaze", "_a").alias("d"))
-    low = pairs.groupBy(*seg, "anchor_id").agg(
-        F.count("*").alias("n_gaze"), F.min("d").alias("min_d"), F.min_by("t_us", F.struct("d", "t_us")).alias("nearest_us")
-    ).filter("n_gaze >= 2")
-    # the limit is known only after the minimum, hence a second pass over the same pairs
-    close = pairs.join(low.select(*seg, "anchor_id", "min_d"), [*seg, "anchor_id"]).groupBy(*seg, "anchor_id").agg(
-        F.count_if(F.col("d") <= F.col("min_d") + slack).alias("close_frames")
+    pairs = gaze.join(a, "scene").select(*seg, "anchor_id", "_a", "t_us", geo.distance("gaze", "_a").alias("d"))
+    low = pairs.groupBy(*seg, "anchor_id", "_a").agg(F.min("d").alias("min_d"), F.min_by("t_us", F.struct("d", "t_us")).alias("nearest_us"))
+    place = F.rank().over(Window.partitionBy(*seg).orderBy("min_d"))
+    first = low.withColumn("_place", place).filter(F.col("_place") <= top)
+    short = first.groupBy(*seg).agg(F.collect_list(F.struct("anchor_id", "_a", "min_d", "nearest_us")).alias("_short"))
+    again = gaze.select(*seg, "t_us", *SEGMENT_CUES).join(short, seg).select(*seg, "t_us", *SEGMENT_CUES, F.inline("_short"))
+    stats = again.groupBy(*seg, "anchor_id", "_a").agg(
+        F.first("min_d").alias("min_d"), F.first("nearest_us").alias("nearest_us"),
+        F.count_if(geo.distance("gaze", "_a") <= F.col("min_d") + slack).alias("close_frames"),
+        F.min_by(eye(), F.struct(F.abs(F.col("t_us") - F.col("nearest_us")), "t_us", "file_seq")).alias("_eye"),
     )
-    stats = low.join(close, [*seg, "anchor_id"])
-    ranked = top_k(stats, seg, [F.col("min_d"), F.desc("close_frames"), F.col("anchor_id")], top, "anchor_rank")
+    ranked = top_k(stats, seg, [F.col("min_d"), F.desc("close_frames"), F.col("anchor_id"), F.col("_a.x"), F.col("_a.y"), F.col("_a.z")], top, "anchor_rank")
     best = ranked.groupBy(*seg).agg(
-        F.first("n_gaze").alias("n_gaze"), F.min_by("nearest_us", "anchor_rank").alias("t_us"), F.min("min_d").alias("best_d"),
-        F.array_sort(F.collect_list(F.struct("anchor_rank", "anchor_id", "min_d", "close_frames"))).alias("nearest"),
+        F.min_by("nearest_us", "anchor_rank").alias("t_us"), F.min("min_d").alias("best_d"), F.min_by("_eye", "anchor_rank").alias("_eye"),
+        F.array_sort(F.collect_list(F.struct("anchor_rank", "anchor_id", "min_d", "nearest_us", "close_frames"))).alias("nearest"),
     )
-    return best.withColumn("score", F.col("n_gaze") / (1.0 + F.col("best_d")))
+    numbered = bucket_rank(gaze.select(*seg, "t_us", *SEGMENT_CUES), seg, "t_us", "_rank", width, ["file_seq"])
+    middle = numbered.join(counts.select(*seg, "n_gaze"), seg).filter(F.col("_rank") == F.floor(F.col("n_gaze") / 2) + 1)
+    middle = middle.select(*seg, eye().alias("_middle"))
+    out = counts.join(best, seg).join(middle, seg).withColumn("eye_cues", eye_cues(F.col("_eye"), F.col("_middle")))
+    out = out.withColumn("score", F.col("n_gaze") / (1.0 + F.col("best_d")))
+    return out.select(*seg, "start_us", "end_us", "t_us", "n_gaze", "n_hand", "best_d", "nearest", "eye_cues", "score")
 
 
 def segment_gap(duration: int) -> int:

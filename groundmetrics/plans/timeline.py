@@ -298,7 +298,7 @@ segments AS (SELECT scene, row_index, day, segment, n_gaze, min(min_d) AS best_d
 
 
 def segments(spark, sf):
-    s = tl.cue_columns(samples(spark, sf))
+    s = tl.segment_cues(samples(spark, sf))
     return tl.timeline_segments(events(spark, sf), s, view(spark, sf, "v_anchors"), KEY, EVENT, 2 * HOUR_US, SLICE)
 
 
@@ -312,6 +312,33 @@ def timeline_segments(spark, sf):
     )
 
 
+@query(f"""WITH inside AS (SELECT e.scene, e.row_index, e.day, e.t_start, e.t_end, CAST(floor((s.t_us - e.t_start) / {2 * HOUR_US}) AS BIGINT) AS segment,
+        s.t_us, s.file_seq, gx, gy, gz, eye_open, hand_tracked
+        FROM @v_events e JOIN @v_samples s ON e.scene = s.scene AND e.row_index = s.row_index AND s.t_us >= e.t_start AND s.t_us < e.t_end),
+    n AS (SELECT scene, row_index, day, segment, any_value(t_start) + segment * {2 * HOUR_US} AS start_us, any_value(t_end) AS t_end,
+        count(*) FILTER (eye_open) AS n_gaze, count(*) FILTER (hand_tracked) AS n_hand
+        FROM inside GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (eye_open) >= 2),
+    seg AS (SELECT *, row_number() OVER (PARTITION BY scene, row_index, day, segment ORDER BY t_us, file_seq) AS at FROM inside WHERE eye_open),
+    d AS (SELECT seg.scene, row_index, day, segment, anchor_id, t_us, {SEG_D} AS d FROM seg JOIN @v_anchors a ON seg.scene = a.scene),
+    low AS (SELECT *, min(d) OVER (PARTITION BY scene, row_index, day, segment, anchor_id) AS min_d FROM d),
+    stats AS (SELECT scene, row_index, day, segment, anchor_id, min_d, min(t_us) FILTER (d = min_d) AS nearest_us, count(*) FILTER (d <= min_d + 0.75) AS close_frames
+        FROM low GROUP BY 1, 2, 3, 4, 5, 6),
+    best AS (SELECT * FROM stats QUALIFY row_number() OVER (PARTITION BY scene, row_index, day, segment ORDER BY min_d, close_frames DESC, anchor_id) = 1)
+    SELECT n.scene, n.row_index, n.day, n.segment, n.start_us, least(n.start_us + {2 * HOUR_US}, n.t_end) AS end_us, n.n_gaze, n.n_hand,
+        b.anchor_id, b.close_frames, round(e.gy, 6) AS eye_y, CASE WHEN abs(m.t_us - b.nearest_us) > 1000 THEN m.t_us END AS middle_us,
+        CASE WHEN abs(m.t_us - b.nearest_us) > 1000 THEN round(m.gx, 6) END AS middle_x
+    FROM n JOIN best b USING (scene, row_index, day, segment)
+    JOIN seg m ON m.scene = n.scene AND m.row_index = n.row_index AND m.day = n.day AND m.segment = n.segment AND m.at = n.n_gaze // 2 + 1
+    JOIN (SELECT * FROM seg QUALIFY row_number() OVER (PARTITION BY scene, row_index, day, segment, t_us ORDER BY file_seq) = 1) e
+        ON e.scene = n.scene AND e.row_index = n.row_index AND e.day = n.day AND e.segment = n.segment AND e.t_us = b.nearest_us""")
+def segment_evidence(spark, sf):
+    first, eye, middle = F.get("nearest", 0), F.get("eye_cues", 0), F.get("eye_cues", 1)
+    return segments(spark, sf).select(
+        *EVENT, "segment", "start_us", "end_us", "n_gaze", "n_hand", first["anchor_id"].alias("anchor_id"), first["close_frames"].alias("close_frames"),
+        F.round(eye["gaze"]["y"], 6).alias("eye_y"), middle["t_us"].alias("middle_us"), F.round(middle["gaze"]["x"], 6).alias("middle_x"),
+    )
+
+
 NMS_GAP = tl.segment_gap(2 * HOUR_US)
 
 
