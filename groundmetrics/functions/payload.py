@@ -1,43 +1,31 @@
-"""JSON payloads inside free text, as native expressions (one Arrow helper for balanced braces)."""
+"""JSON payloads inside free text, as native expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from groundmetrics.functions import text as tx
 
 
-def balanced_object(text: str | None) -> str | None:
-    """First ``{...}`` with matching braces; braces inside JSON strings do not count."""
-    at = (text or "").find("{")
-    if at < 0:
-        return None
-    level, quoted, skip = 0, False, False
-    for i, ch in enumerate(text[at:], at):
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = ch == "\\", ch != '"'
-        elif ch == '"':
-            quoted = True
-        elif ch in "{}":
-            level += 1 if ch == "{" else -1
-            if level == 0:
-                return text[at:i + 1]
-    return None
+def extract_json(c: Column | str) -> Column:
+    """First ``{...}`` with matching braces; braces inside JSON strings do not count, NULL when they never match.
 
+    The text from the first brace on is cut into strings, braces and the rest, and one fold counts the depth.
+    """
+    text = F.col(c) if isinstance(c, str) else c
+    tokens = F.regexp_extract_all(F.regexp_extract(text, r"(?s)\{.*", 0), F.lit(r'(?s)"[^"\\]*+(?:\\.?[^"\\]*+)*+(?:"|\z)|[{}]|[^"{}]++'), F.lit(0))
+    state = lambda depth, n: F.struct(depth.cast("int").alias("depth"), n.cast("int").alias("n"))
 
-def _extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(balanced_object)
+    def step(acc: Column, token: Column) -> Column:
+        change = F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        return F.when((acc["depth"] == 0) & (acc["n"] > 0), acc).otherwise(state(acc["depth"] + change, acc["n"] + 1))
 
+    def first(parts: Column) -> Column:
+        return tx.let(F.aggregate(parts, state(F.lit(0), F.lit(0)), step),
+                      lambda end: F.when((end["depth"] == 0) & (end["n"] > 0), F.array_join(F.slice(parts, 1, end["n"]), "")))
 
-def extract_json(c: Column | str) -> Column:
-    return F.pandas_udf(_extract, "string")(c)
+    return tx.let(tokens, first)
 
 
 def relaxed_json(c: Column) -> Column:

@@ -27,10 +27,10 @@ MODALITY_ALIASES = {
 NO_ABLATION = ("", "none", "full", "baseline")
 
 
-def parse_points(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Strict ``points_3d`` validation: one bad entry rejects the answer, with the reason of the first one."""
+def strict_points(c: Column | str) -> Column:
+    """``parse_ok, invalid_reason, points`` of an answer; one bad ``points_3d`` entry rejects it, with the reason of the first one."""
+    raw = F.col(c) if isinstance(c, str) else c
     empty = F.array().cast("array<struct<referent:string,point:struct<x:double,y:double,z:double>,confidence:double>>")
-    d = df.withColumn("_j", pl.extract_json(raw)).withColumn("_items", pl.json_items(pl.field(F.col("_j"), "points_3d")))
 
     def entry(item: Column) -> Column:
         """Fields of one entry, each JSON text read once."""
@@ -50,15 +50,30 @@ def parse_points(df: DataFrame, raw: str = "raw") -> DataFrame:
         return F.struct(F.left(F.coalesce(e["referent"], F.lit("")), F.lit(120)).alias("referent"), point.alias("point"),
                         tx.clamp(e["confidence"], 0.0, 1.0).alias("confidence"))
 
-    d = d.withColumn("_e", F.transform("_items", entry))
-    bad = F.get(F.filter(F.transform("_e", problem), lambda r: r.isNotNull()), 0)
-    reason = (F.when(tx.norm_text(raw) == "", "empty_output")
-              .when(F.col("_j").isNull() | F.try_parse_json("_j").isNull(), "invalid_json")
-              .when(F.col("_items").isNull(), "missing_or_nonarray_points_3d")
-              .otherwise(F.coalesce(bad, F.lit(""))))
-    d = d.withColumn("invalid_reason", reason).withColumn("parse_ok", F.col("invalid_reason") == "")
-    points = F.when(F.col("parse_ok"), F.transform("_e", keep))
-    return d.withColumn("points", F.coalesce(points, empty)).drop("_j", "_items", "_e")
+    def told(found: Column) -> Column:
+        bad = F.get(F.filter(F.transform(found["e"], problem), lambda r: r.isNotNull()), 0)
+        reason = (F.when(tx.norm_text(raw) == "", "empty_output").when(~found["valid"], "invalid_json")
+                  .when(found["e"].isNull(), "missing_or_nonarray_points_3d").otherwise(F.coalesce(bad, F.lit(""))))
+        return tx.let(reason, lambda r: F.struct((r == "").alias("parse_ok"), r.alias("invalid_reason"),
+                                                 F.coalesce(F.when(r == "", F.transform(found["e"], keep)), empty).alias("points")))
+
+    def read(j: Column) -> Column:
+        items = F.transform(pl.json_items(pl.field(j, "points_3d")), entry)
+        return F.struct((j.isNotNull() & F.try_parse_json(j).isNotNull()).alias("valid"), items.alias("e"))
+
+    return tx.let(tx.let(pl.extract_json(raw), read), told)
+
+
+def _with_fields(df: DataFrame, made: Column, names: Sequence[str]) -> DataFrame:
+    d = df.withColumn("_made", made)
+    for n in names:
+        d = d.withColumn(n, F.col("_made")[n])
+    return d.drop("_made")
+
+
+def parse_points(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """``strict_points`` as columns."""
+    return _with_fields(df, strict_points(raw), ("invalid_reason", "parse_ok", "points"))
 
 
 def reread_points(c: Column | str) -> Column:
@@ -84,13 +99,9 @@ def parse_point(df: DataFrame, raw: str = "raw") -> DataFrame:
     return d.withColumn("point", F.when(F.col("parse_ok"), point)).drop("_j", "_p", "_v", "_n")
 
 
-def parse_referents(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """``referents[]`` with normalised panel ids, unit gates, coordinate space and clamped confidence."""
+def referents(c: Column | str) -> Column:
+    """``parse_ok, referents`` of an answer, with normalised panel ids, unit gates, coordinate space and clamped confidence."""
     fields = ("mention", "panel_id", "coordinate_space", "point_source", "source", "space", "sheet_x_norm", "sheet_y_norm", "x_norm", "y_norm", "confidence")
-    d = df.withColumn("_j", pl.object_candidates(raw))
-    items = F.coalesce(F.from_json("_j", "referents array<string>")["referents"], F.array().cast("array<string>"))
-    objects = F.transform(F.filter(items, lambda i: F.startswith(F.ltrim(i), F.lit("{"))),
-                          lambda i: F.from_json(i, ", ".join(f"{f} string" for f in fields)))
 
     def entry(e: Column) -> Column:
         panel = tx.let(F.upper(tx.norm_text(e["panel_id"])), lambda p: F.when((p != "") & ~p.startswith("P"), F.concat(F.lit("P"), p)).otherwise(p))
@@ -101,7 +112,18 @@ def parse_referents(df: DataFrame, raw: str = "raw") -> DataFrame:
             *unit, tx.let(tx.finite_double(e["confidence"]), lambda c: tx.clamp(c, 0.0, 1.0)).alias("confidence"),
         )
 
-    return d.withColumn("parse_ok", F.col("_j").isNotNull()).withColumn("referents", F.transform(objects, entry)).drop("_j")
+    def read(j: Column) -> Column:
+        items = F.coalesce(F.from_json(j, "referents array<string>")["referents"], F.array().cast("array<string>"))
+        objects = F.transform(F.filter(items, lambda i: F.startswith(F.ltrim(i), F.lit("{"))),
+                              lambda i: F.from_json(i, ", ".join(f"{f} string" for f in fields)))
+        return F.struct(j.isNotNull().alias("parse_ok"), F.transform(objects, entry).alias("referents"))
+
+    return tx.let(pl.object_candidates(c), read)
+
+
+def parse_referents(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """``referents`` as columns."""
+    return _with_fields(df, referents(raw), ("parse_ok", "referents"))
 
 
 def _names(c: Column) -> Column:
