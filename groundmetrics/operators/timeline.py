@@ -386,11 +386,12 @@ def fill_windows(events: DataFrame, samples: DataFrame, keys: Sequence[str]) ->
 
 
 def segmented_samples(events: DataFrame, samples: DataFrame, keys: Sequence[str], duration: int, width: int) -> DataFrame:
-    """Samples with a cue and their half-open ``segment``, counted from the event's start; the last segment ends with the event.
+    """Samples and their half-open ``segment``, counted from the event's start; the last segment ends with the event.
 
-    Works on a stream of samples too (the events are then a table).
+    Works on a stream of samples too (the events are then a table). Samples without a cue stay: as a filter on nested cues their
+    absence would multiply the optimizer's constraints.
     """
-    s = inside_samples(events, samples.filter("gaze IS NOT NULL OR hand_hit IS NOT NULL"), keys, width, SEGMENT_CUES)
+    s = inside_samples(events, samples, keys, width, SEGMENT_CUES)
     s = s.filter(F.col("t_us") < F.col("t_end")).withColumn("segment", F.floor((F.col("t_us") - F.col("t_start")) / duration))
     start = F.col("t_start") + F.col("segment") * duration
     return s.withColumn("start_us", start).withColumn("end_us", F.least(start + duration, F.col("t_end")))
