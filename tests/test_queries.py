@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from groundmetrics.plans.views import TABLES
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ("set_match", "grouping_sets", "nearest_negative", "asof_nearest", "interval_join", "select_evidence", "select_panels", "evidence_rank",
+SAMPLE = ("set_match", "grouping_sets", "nearest_negative", "asof_nearest", "interval_join", "select_evidence", "select_panels", "segment_evidence", "evidence_rank",
           "parse_points", "validate_selection", "evaluate_2d", "paired_bootstrap", "merge_first_wins", "set_fingerprint", "quantile_rows")
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("GM_ALL_QUERIES") else SAMPLE
 
