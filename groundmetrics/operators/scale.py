@@ -37,6 +37,15 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if within_rows(df, limit) else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side that grows with the data: joined by sort and merge, whatever its size is estimated at.
+
+    Estimates start from compressed files and do not count what an explode multiplies, so such a side could be sent to the driver
+    and broadcast. Skewed partitions are still split by AQE.
+    """
+    return df.hint("merge")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rebalance a scan that has fewer splits than cores before costly per-row work; large scans pass through."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -71,7 +80,7 @@ def bucket_rank(df: DataFrame, keys: Sequence[str], order: str, out: str, width:
     offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*keys, "_b").orderBy(order, *ties)
     ranked = b.withColumn("_rn", F.row_number().over(inside))
-    joined = ranked.join(offsets, [*keys, "_b"])
+    joined = ranked.join(shuffled(offsets), [*keys, "_b"])
     return joined.withColumn(out, F.col("_off") + F.col("_rn")).drop("_b", "_n", "_rn", "_off")
 
 
@@ -105,7 +114,7 @@ def bucket_lead(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[s
     following = firsts.select(*keys, "_b", F.lead("_first").over(chain).alias("_next_first"))
     return (
         b.withColumn("_lead", F.lead(time).over(inside))
-        .join(following, [*keys, "_b"])
+        .join(shuffled(following), [*keys, "_b"])
         .withColumn(out, F.coalesce("_lead", "_next_first"))
         .drop("_b", "_lead", "_next_first")
     )
@@ -150,7 +159,7 @@ def nearest_sample(
         F.expr(f"lag(_last) IGNORE NULLS {chain}").alias("_before"),
         F.expr(f"lead(_first) IGNORE NULLS {chain}").alias("_after"),
     )
-    near = local.join(carry, [*keys, "_b"])
+    near = local.join(shuffled(carry), [*keys, "_b"])
     prev, nxt = F.coalesce("_prev", "_before"), F.coalesce("_next", "_after")
     gap_prev = F.col("_t") - prev[sample_time]
     gap_next = nxt[sample_time] - F.col("_t")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from groundmetrics.functions import cues
 from groundmetrics.functions import geometry as geo
 from groundmetrics.functions import text as tx
-from groundmetrics.operators.scale import bucket_lead, bucket_rank, exact_quantiles, first_by, nearest_sample, small_side, top_k
+from groundmetrics.operators.scale import bucket_lead, bucket_rank, exact_quantiles, first_by, nearest_sample, shuffled, small_side, top_k
 from groundmetrics.operators.sets import KEY
 from groundmetrics.session import checkpointed
 
@@ -96,7 +96,7 @@ def inside_samples(events: DataFrame, samples: DataFrame, keys: Sequence[str], w
     first, last = (F.floor(F.col(c) / width) for c in ("t_start", "t_end"))
     sliced = events.withColumn("_b", F.explode(F.sequence(first, last)))
     s = samples.select(*keys, "t_us", *payload).withColumn("_b", F.floor(F.col("t_us") / width))
-    return sliced.join(s, [*keys, "_b"]).filter(F.col("t_us").between(F.col("t_start"), F.col("t_end"))).drop("_b")
+    return shuffled(sliced).join(s, [*keys, "_b"]).filter(F.col("t_us").between(F.col("t_start"), F.col("t_end"))).drop("_b")
 
 
 def window_samples(events: DataFrame, samples: DataFrame, keys: Sequence[str], width: int, payload: Sequence[str]) -> DataFrame:
@@ -126,7 +126,7 @@ def neighbour_stats(candidates: DataFrame, samples: DataFrame, keys: Sequence[st
     s = s.withColumn("_b", F.floor(F.col("_u") / window))
     # stamps within a microsecond of the candidate are the candidate itself
     gap = F.abs(F.col("_u") - F.col("_t"))
-    pairs = c.join(s, [*keys, "_b"], "left").withColumn("_near", (gap > 1) & (gap <= window))
+    pairs = c.join(shuffled(s), [*keys, "_b"], "left").withColumn("_near", (gap > 1) & (gap <= window))
     aggs = []
     for p in cues_:
         d = F.when(F.col("_near"), geo.distance(F.col(f"_c_{p}"), F.col(f"_s_{p}")))
@@ -196,7 +196,7 @@ def pixel_stats(candidates: DataFrame, samples: DataFrame, keys: Sequence[str],
     c = c.withColumn("_b", F.explode(F.array(home - 1, home, home + 1)))
     s = samples.select(*keys, "t_us", "gaze_uv", "camera", b.alias("_b")).filter("gaze_uv IS NOT NULL OR camera IS NOT NULL")
     gap = F.abs(F.col("t_us") - F.col("_t"))
-    pairs = c.join(s, [*keys, "_b"]).filter((gap > 1) & (gap <= window))
+    pairs = c.join(shuffled(s), [*keys, "_b"]).filter((gap > 1) & (gap <= window))
     du, dv = ((F.col("gaze_uv")[a] - F.col("_uv")[a]) * float(n) for a, n in (("u", width_px), ("v", height_px)))
     moved = pairs.groupBy(*keys, "_t").agg(F.avg(F.sqrt(du * du + dv * dv)).alias("gaze_move"),
                                            F.avg(geo.distance(F.col("camera"), F.col("_camera"))).alias("camera_move"))
@@ -388,10 +388,11 @@ def fill_windows(events: DataFrame, samples: DataFrame, keys: Sequence[str]) ->
 def segmented_samples(events: DataFrame, samples: DataFrame, keys: Sequence[str], duration: int, width: int) -> DataFrame:
     """Samples and their half-open ``segment``, counted from the event's start; the last segment ends with the event.
 
+    Events are cut into slices no shorter than a segment, so a long event becomes about as many rows as it has segments.
     Works on a stream of samples too (the events are then a table). Samples without a cue stay: as a filter on nested cues their
     absence would multiply the optimizer's constraints.
     """
-    s = inside_samples(events, samples, keys, width, SEGMENT_CUES)
+    s = inside_samples(events, samples, keys, max(width, duration), SEGMENT_CUES)
     s = s.filter(F.col("t_us") < F.col("t_end")).withColumn("segment", F.floor((F.col("t_us") - F.col("t_start")) / duration))
     start = F.col("t_start") + F.col("segment") * duration
     return s.withColumn("start_us", start).withColumn("end_us", F.least(start + duration, F.col("t_end")))

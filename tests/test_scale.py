@@ -112,3 +112,18 @@ def test_temporal_nms(spark):
             if len(picked) < 3 and far(r):
                 picked.append(r)
         assert sorted(got[k]) == sorted((p[2], p[3]) for p in picked)
+
+
+def test_sides_that_grow_are_not_broadcast(spark, telemetry):
+    """Small tables look broadcastable; an exploded window or the slices of a series must not be sent through the driver."""
+    samples = telemetry[1].withColumn("p", F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("z")))
+    events = samples.groupBy(*KEY).agg(F.min("t_us").alias("t_start"), F.max("t_us").alias("t_end"))
+    targets = samples.select(*KEY, F.col("t_us").alias("target"))
+    plans = [
+        tl.inside_samples(events, samples, KEY, 500, ["file_seq"]),
+        sc.nearest_sample(targets, samples, KEY, "target", "t_us", "file_seq", ["file_seq"], 500),
+        tl.neighbour_stats(samples, samples, KEY, 500, ["p"]),
+        sc.bucket_rank(samples, KEY, "t_us", "rank", 500, ["file_seq"]),
+    ]
+    for df in plans:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
