@@ -18,7 +18,7 @@ from groundmetrics.session import checkpointed
 BROADCAST_ROWS = 500_000
 
 
-_size_checks: dict[tuple, bool] = {}
+_size_checks: dict[tuple, bool | int] = {}
 
 
 def within_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -46,6 +46,21 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+TASK_ROWS = 50_000
+
+
+def dealt(df: DataFrame, cols: Sequence[Column | str], source: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """Hash partitions by ``cols``, as many as ``source`` has ``rows``, if those are more than the session's shuffle partitions.
+
+    What a task sorts then stays the same while the data grows. ``source`` should be cheap to count, a scan or a checkpoint.
+    """
+    key = (df.sparkSession.sparkContext.applicationId, source.semanticHash(), "rows")
+    if key not in _size_checks:
+        _size_checks[key] = source.count()
+    n = _size_checks[key] // rows + 1
+    return df.repartition(n, *cols) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rebalance a scan that has fewer splits than cores before costly per-row work; large scans pass through."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -138,10 +153,12 @@ def nearest_sample(
     """
     keys = list(keys)
     cols = [sample_time, *[p for p in payload if p != sample_time]]
-    s = samples.groupBy(*keys, F.col(sample_time).alias("_t")).agg(F.min_by(F.struct(*cols), seq).alias("_s"))
+    stamped = dealt(samples.withColumn("_t", F.col(sample_time)), [*keys, "_t"], samples)
+    s = stamped.groupBy(*keys, "_t").agg(F.min_by(F.struct(*cols), seq).alias("_s"))
     rest = [c for c in targets.columns if c not in keys and c != target_time]
     t = targets.select(*keys, F.col(target_time).alias("_t"), F.struct(F.lit(1).alias("_one"), *rest).alias("_target"))
     both = t.unionByName(s, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / width))
+    both = dealt(both, [*keys, "_b"], samples)
 
     # at equal times the sample row comes first, so that it counts as "not later"
     inside = f"OVER (PARTITION BY {', '.join(keys)}, _b ORDER BY _t, isnotnull(_target))"
@@ -154,12 +171,12 @@ def nearest_sample(
     edge = F.when(F.col("_s").isNotNull(), F.col("_t"))
     slices = both.groupBy(*keys, "_b").agg(F.min_by("_s", edge).alias("_first"), F.max_by("_s", edge).alias("_last"))
     chain = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY _b)"
-    carry = slices.select(
+    carry = dealt(slices, keys, samples).select(
         *keys, "_b",
         F.expr(f"lag(_last) IGNORE NULLS {chain}").alias("_before"),
         F.expr(f"lead(_first) IGNORE NULLS {chain}").alias("_after"),
     )
-    near = local.join(shuffled(carry), [*keys, "_b"])
+    near = local.join(shuffled(dealt(carry, [*keys, "_b"], samples)), [*keys, "_b"])
     prev, nxt = F.coalesce("_prev", "_before"), F.coalesce("_next", "_after")
     gap_prev = F.col("_t") - prev[sample_time]
     gap_next = nxt[sample_time] - F.col("_t")

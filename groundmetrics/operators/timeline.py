@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from groundmetrics.functions import cues
 from groundmetrics.functions import geometry as geo
 from groundmetrics.functions import text as tx
-from groundmetrics.operators.scale import bucket_lead, bucket_rank, exact_quantiles, first_by, nearest_sample, shuffled, small_side, top_k
+from groundmetrics.operators.scale import bucket_lead, bucket_rank, dealt, exact_quantiles, first_by, nearest_sample, shuffled, small_side, top_k
 from groundmetrics.operators.sets import KEY
 from groundmetrics.session import checkpointed
 
@@ -126,6 +126,7 @@ def neighbour_stats(candidates: DataFrame, samples: DataFrame, keys: Sequence[st
     s = s.withColumn("_b", F.floor(F.col("_u") / window))
     # stamps within a microsecond of the candidate are the candidate itself
     gap = F.abs(F.col("_u") - F.col("_t"))
+    c, s = (dealt(side, [*keys, "_b"], samples) for side in (c, s))
     pairs = c.join(shuffled(s), [*keys, "_b"], "left").withColumn("_near", (gap > 1) & (gap <= window))
     aggs = []
     for p in cues_:
@@ -348,7 +349,8 @@ def candidate_samples(events: DataFrame, samples: DataFrame, keys: Sequence[str]
     targets = events.select("*", F.inline(dense))
     targets = targets.withColumn("target_us", F.col("t_start") + F.round(F.col("offset") * US).cast("bigint")).drop("offset")
     near = nearest_sample(targets, samples, keys, "target_us", "t_us", "file_seq", payload, width)
-    return near.filter("t_us IS NOT NULL").drop("target_us").distinct()
+    near = near.filter("t_us IS NOT NULL").drop("target_us")
+    return dealt(near, [*keys, "t_us"], samples).distinct()
 
 
 def select_evidence(events: DataFrame, samples: DataFrame, keys: Sequence[str], event_keys: Sequence[str], step: float,

@@ -127,3 +127,14 @@ def test_sides_that_grow_are_not_broadcast(spark, telemetry):
     ]
     for df in plans:
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partitions_follow_the_rows(spark, telemetry, monkeypatch):
+    """More rows give more partitions than the session's, so that what one task sorts does not grow."""
+    monkeypatch.setattr(sc, "dealt", lambda df, cols, source, rows=None, real=sc.dealt: real(df, cols, source, 20))
+    telemetry = telemetry[1]
+    n = telemetry.count() // 20 + 1
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = sc.nearest_sample(telemetry.select(*KEY, F.col("t_us").alias("target")), telemetry, KEY, "target", "t_us", "file_seq", ["file_seq"], 500)
+    assert f", {n}), REPARTITION_BY_NUM" in near._jdf.queryExecution().executedPlan().toString()
+    assert near.count() == telemetry.count()
