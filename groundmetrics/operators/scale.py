@@ -198,6 +198,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], quantiles: dict[str, tup
     first; above ``limit`` rows ``binned_quantiles`` finds the same numbers without such a buffer.
     """
     keys = list(keys)
+    df = df.select(*keys, *dict.fromkeys(c for c, _ in quantiles.values()))
     key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), limit)
     if key not in _size_checks:
         _size_checks[key] = (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= limit
@@ -219,6 +220,8 @@ def binned_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles:
     """
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    # read three times below; written once, neither the work nor the plan behind the values is repeated
+    rows = checkpointed(rows)
     spans = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
     span = F.col("_hi") - F.col("_lo")
     bin_of = F.when(span > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / span * bins), F.lit(bins - 1))).otherwise(F.lit(0))

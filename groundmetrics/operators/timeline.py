@@ -501,8 +501,10 @@ def spatial_prior(rows: DataFrame, keys: Sequence[str], sources: dict[str, Colum
     flat = rows.select(*keys, "t_us", "file_seq", "cameraPosition", "cameraRotation", "cameraFOV", F.explode(stacked).alias("_s"))
     uv = geo.project_point("cameraPosition", "cameraRotation", "cameraFOV", F.col("_s.point"), width_px, height_px)
     hit = flat.select(*keys, "t_us", "file_seq", "_s.*", uv.alias("uv")).filter("point IS NOT NULL AND uv IS NOT NULL")
+    hit = hit.select(*keys, "t_us", "file_seq", "rank", "source", "point", F.col("uv.u").alias("u"), F.col("uv.v").alias("v"))
     best = hit.groupBy(*keys).agg(F.min("rank").alias("rank"))
-    used = hit.join(best, [*keys, "rank"]).withColumn("u", F.col("uv.u")).withColumn("v", F.col("uv.v"))
+    # projected once; counts, medians and ranks read these few columns
+    used = checkpointed(hit.join(best, [*keys, "rank"]))
     n = used.groupBy(*keys, "source").agg(F.count("*").alias("sample_count"))
     uv = exact_quantiles(used, keys, {"u_norm": ("u", 0.5), "v_norm": ("v", 0.5)})
     ranked = bucket_rank(used.select(*keys, "t_us", "file_seq", "point"), keys, "t_us", "_rank", slice_us, ["file_seq"])
@@ -591,6 +593,8 @@ def hand_boxes(samples: DataFrame, ids: Sequence[str], width: int, height: int,
 
 def mask_stats(boxes: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean / median / maximum mask fraction and how often a quarter or half of the image is masked."""
+    # written once: the box arithmetic is a large expression, and its four readers would each carry it through the optimizer
+    boxes = checkpointed(boxes.select(*by, "mask_fraction", "status"))
     base = boxes.groupBy(*by).agg(
         F.count("*").alias("n"), *[F.count_if(F.col("status") == s).alias(s) for s in ("masked", "no_tracked_hand", "tracked_offscreen")],
         F.avg("mask_fraction").alias("mean_fraction"), F.max("mask_fraction").alias("max_fraction"),
