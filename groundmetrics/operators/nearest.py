@@ -122,15 +122,15 @@ def nearest_negative(gt: DataFrame, anchors: DataFrame) -> DataFrame:
     joined = with_inventory(gt, anchors)
     ids = F.col("gt")["id"]
     negatives = F.filter("anchors", lambda a: ~F.array_contains(ids, a["anchor_id"]))
-    bound = joined.withColumn("_neg", negatives)
-    items = F.transform(
-        "gt",
-        lambda g: F.struct(
+
+    def items(free: Column) -> Column:
+        return F.transform("gt", lambda g: F.struct(
             g["gt_seq"].alias("gt_seq"), g["id"].alias("id"), g["point"].alias("point"),
-            F.array_min(F.transform("_neg", lambda a: geo.distance(a, g["point"]))).alias("negative"),
-        ),
-    )
-    return bound.withColumn("gt", items).select(*gt.columns)
+            F.array_min(F.transform(free, lambda a: geo.distance(a, g["point"]))).alias("negative"),
+        ))
+
+    # bound once: as a column of its own the filtered inventory would be written into the loop over the items again
+    return joined.withColumn("gt", let(negatives, items)).select(*gt.columns)
 
 
 def negative_by_cells(gt: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -138,3 +138,27 @@ def test_partitions_follow_the_rows(spark, telemetry, monkeypatch):
     near = sc.nearest_sample(telemetry.select(*KEY, F.col("t_us").alias("target")), telemetry, KEY, "target", "t_us", "file_seq", ["file_seq"], 500)
     assert f", {n}), REPARTITION_BY_NUM" in near._jdf.queryExecution().executedPlan().toString()
     assert near.count() == telemetry.count()
+
+
+def test_values_behind_quantiles_are_planned_once(spark):
+    """Both forms read written values; the expression behind them stays out of the plan."""
+    big = spark.range(200).select(F.lit(1).alias("k"), F.sin(F.col("id").cast("double")).alias("v"))
+    out = sc.exact_quantiles(big, ["k"], {"mid": ("v", 0.5)}, limit=10)
+    assert "SIN(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = statistics.median(r.v for r in big.collect())
+    assert abs(out.first().mid - want) < 1e-12
+
+
+def test_assignment_work_is_not_repeated(spark):
+    """A summary reads its detail once: no Python evaluation is left in the plan."""
+    from groundmetrics.operators import points as pt
+
+    same = F.pandas_udf(lambda c: c, "array<double>")
+    detail = spark.range(4).select(
+        F.lit("s").alias("scene"), F.lit(True).alias("parse_ok"), F.lit(True).alias("exact"),
+        *[F.lit(1).alias(c) for c in ("tp", "fp", "fn", "cardinality_error", "duplicate_count", "pred_count", "undefined_gt")],
+        *[F.lit(1).alias(f"{m}_{n}") for m in ("tp", "fp", "fn") for n in ("0_5", "1_0", "2_0")],
+        *[same(F.array(F.col("id").cast("double"))).alias(c) for c in ("margin_errors", "euclidean_errors", "scene_norm_errors")])
+    out = pt.point_summary(detail, ["scene"])
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.first().median_margin == 1.5
