@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundmetrics.functions import geometry as geo
 from groundmetrics.functions import text as tx
-from groundmetrics.operators.scale import first_by, small_side
+from groundmetrics.operators.scale import first_by, shuffled, small_side
 from groundmetrics.operators.sets import KEY, prf
 
 THRESHOLDS = (50.0, 100.0, 150.0, 200.0)
@@ -137,142 +137,252 @@ def panel_name(c: Column | str) -> Column:
     return F.when(name == "", F.lit(None)).when(name.startswith("P"), name).otherwise(F.concat(F.lit("P"), name))
 
 
-def gt_lists(gt: DataFrame, mode: str = "panel") -> DataFrame:
-    """The GT points of each interaction in manifest order (at most referents x panels) and its referents, all and acceptable."""
-    sheet = [F.col("gt_sheet_x").alias("sx"), F.col("gt_sheet_y").alias("sy")] if mode != "panel" else []
-    g = F.struct("manifest_seq", "referent", tx.label_key("referent", "alnum").alias("label"), F.upper(tx.norm_text("panel_id")).alias("panel"),
-                 F.col("gt_u").alias("u"), F.col("gt_v").alias("v"), F.col("image_width").cast("double").alias("w"), F.col("image_height").cast("double").alias("h"),
-                 F.coalesce("evidence_acceptable", F.lit(False)).alias("ok"), *sheet)
-    out = gt.groupBy(*KEY).agg(F.array_sort(F.collect_list(g)).alias("_g")).withColumn("_refs", F.array_distinct(F.col("_g")["referent"]))
+def listed_gt(gt: DataFrame, sheet: bool = False) -> Column:
+    """A GT point as an element of ``_g``, in manifest order when sorted."""
+    extra = [F.col("gt_sheet_x").alias("sx"), F.col("gt_sheet_y").alias("sy")] if sheet else []
+    return F.struct("manifest_seq", "referent", tx.label_key("referent", "alnum").alias("label"), F.upper(tx.norm_text("panel_id")).alias("panel"),
+                    F.col("gt_u").alias("u"), F.col("gt_v").alias("v"), F.col("image_width").cast("double").alias("w"), F.col("image_height").cast("double").alias("h"),
+                    F.coalesce("evidence_acceptable", F.lit(False)).alias("ok"), *extra)
+
+
+def with_codes(lists: DataFrame) -> DataFrame:
+    """Adds to each GT point its ``code`` (4 * place of its referent + 2 * acceptable), and the numbers of referents, all and acceptable."""
+    out = lists.withColumn("_refs", F.array_distinct(F.col("_g")["referent"]))
+    code = lambda g: F.array_position("_refs", g["referent"]).cast("int") * 4 + F.when(g["ok"], 2).otherwise(0)
     ok = F.size(F.array_distinct(F.filter("_g", lambda g: g["ok"])["referent"]))
-    return out.withColumns({"gt_referent_count": F.size("_refs").cast("bigint"), "time_evaluable_referent_count": ok.cast("bigint")})
+    out = out.withColumns({"gt_referent_count": F.size("_refs").cast("bigint"), "time_evaluable_referent_count": ok.cast("bigint")})
+    return out.withColumn("_g", F.transform("_g", lambda g: g.dropFields("referent").withField("code", code(g)))).drop("_refs")
+
+
+def gt_lists(gt: DataFrame, mode: str = "panel") -> DataFrame:
+    """The GT points of each interaction in manifest order (at most referents x panels), with codes and counts."""
+    return with_codes(gt.groupBy(*KEY).agg(F.sort_array(F.collect_list(listed_gt(gt, mode != "panel"))).alias("_g")))
 
 
-def pair_space(preds: DataFrame, lists: DataFrame, mode: str = "panel", reach: float = max(THRESHOLDS)) -> DataFrame:
-    """What each prediction can be matched with: one row per prediction and arrays over ``gt_lists`` of its interaction.
+def boards(manifest: DataFrame, usable: Column, all_if_none: bool, columns: int = 4, panel_w: int = 480, panel_h: int = 270, label_h: int = 32, gutter: int = 12) -> DataFrame:
+    """One row per interaction of the manifest: the names of the panels on its sheet in order (``_names``), the sheet size and its GT points with
+    sheet pixels (``_g``), the first one per (panel, referent); points of panels that are not on the sheet take no part.
 
-    ``near_px`` / ``near``: GT points within ``reach``, closest first (ties in manifest order); a code is 4 * referent + 2 * acceptable
-    + same label. ``in_panel``: acceptable GT points of the named panel in manifest order, 2 * referent + same label. ``named``: referents of
-    the same label, 2 * referent + acceptable. ``min_px``: the smallest distance of all. Distances follow ``point_distance``: in ``sheet``
-    and ``auto`` mode the lists have sheet pixels and ``preds`` has ``pred_sheet_x/y``, and pairs may cross panels. Arrays are NULL without GT.
+    ``usable`` says which rows put their panel on the sheet; with ``all_if_none`` all panels are, where no row does. Everything is one
+    grouping by interaction: rows that are already dealt by it are not moved again.
     """
-    own = ["x_norm", "y_norm", *(["pred_sheet_x", "pred_sheet_y"] if mode != "panel" else []), *(["sheet_x_norm", "sheet_y_norm"] if mode == "auto" else [])]
-    rows = preds.select(*KEY, "pred_seq", panel_name("pred_panel").alias("_panel"), tx.label_key("mention", "alnum").alias("_label"), *own).join(lists, KEY, "left")
+    valid = F.coalesce(F.col("projection_valid") & F.col("gt_u").isNotNull() & F.col("gt_v").isNotNull(), F.lit(False))
+    seen = Window.partitionBy(*KEY, "_ok", "panel_id", "referent").orderBy("manifest_seq")
+    rows = manifest.withColumn("_ok", valid & F.coalesce(F.col("_counts"), F.lit(True)) if "_counts" in manifest.columns else valid)
+    rows = rows.withColumn("_first", F.row_number().over(seen) == 1)
+    cw, ch, px, py = geo.letterbox(F.col("image_width"), F.col("image_height"), panel_w, panel_h)
+    rows = rows.withColumn("gt_sheet_x", px + F.col("gt_u") * cw).withColumn("gt_sheet_y", py + F.col("gt_v") * ch)
+    name = F.upper(tx.norm_text("panel_id"))
+    panel = F.struct(panel_number("panel_id").alias("number"), name.alias("name"))
+    there = name != ""
+    out = rows.groupBy(*KEY).agg(
+        F.sort_array(F.collect_list(F.when(F.col("_ok") & F.col("_first"), listed_gt(rows, True)))).alias("_g"),
+        F.collect_set(F.when(there & usable, panel)).alias("_used"), F.collect_set(F.when(there, panel)).alias("_all"))
+    names = F.when(F.size("_used") > 0, F.col("_used")).otherwise(F.col("_all")) if all_if_none else F.col("_used")
+    out = out.withColumn("_names", F.sort_array(names)["name"]).drop("_used", "_all")
+
+    def placed(g: Column) -> Column:
+        x0, y0 = geo.sheet_cell(F.array_position("_names", g["panel"]) - 1, columns, panel_w, panel_h, label_h, gutter)
+        return g.withField("sx", x0 + g["sx"]).withField("sy", y0 + g["sy"])
+
+    on_sheet = F.filter("_g", lambda g: F.array_contains("_names", g["panel"]))
+    out = out.withColumn("_g", F.transform(on_sheet, placed))
+    sheet_rows = F.ceil(F.size("_names") / columns)
+    return out.withColumn("sheet_w", F.lit(columns * panel_w + (columns + 1) * gutter)).withColumn("sheet_h", sheet_rows * (panel_h + label_h) + (sheet_rows + 1) * gutter)
+
+
+def with_sheet_points(rows: DataFrame, columns: int = 4, panel_w: int = 480, panel_h: int = 270, label_h: int = 32, gutter: int = 12) -> DataFrame:
+    """Predictions beside their board: adds ``pred_sheet_x/y`` as ``prediction_sheet_points`` does."""
+    place = F.array_position("_names", F.col("pred_panel"))
+    x0, y0 = geo.sheet_cell(F.when(place > 0, place - 1), columns, panel_w, panel_h, label_h, gutter)
+    own = F.col("sheet_x_norm").isNotNull() & F.col("sheet_y_norm").isNotNull()
+    there = F.col("x_norm").isNotNull() & F.col("y_norm").isNotNull()
+    sx = F.when(own, F.col("sheet_x_norm") * F.col("sheet_w")).when(there, x0 + F.col("x_norm") * panel_w)
+    sy = F.when(own, F.col("sheet_y_norm") * F.col("sheet_h")).when(there, y0 + F.col("y_norm") * panel_h)
+    return rows.withColumn("pred_sheet_x", sx).withColumn("pred_sheet_y", sy)
 
-    def distance(g: Column) -> Column:
-        inside = F.when(g["panel"] == F.col("_panel"), F.hypot((F.col("x_norm") - g["u"]) * g["w"], (F.col("y_norm") - g["v"]) * g["h"]))
-        if mode == "panel":
-            return inside
-        across = F.hypot(F.col("pred_sheet_x") - g["sx"], F.col("pred_sheet_y") - g["sy"])
-        return across if mode == "sheet" else F.when(F.col("sheet_x_norm").isNull() | F.col("sheet_y_norm").isNull(), inside).otherwise(across)
 
-    flag = lambda c, n: F.when(c, n).otherwise(0)
-    ref = lambda g: F.array_position("_refs", g["referent"]).cast("int")
+def beside(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """Join by interaction. ``row_index`` is the join key and ``scene`` a condition (equal: neither lower nor higher), so that sides dealt by
+    ``row_index`` alone meet where they are; as a second key it would have both shuffled once more."""
+    r = right.withColumnsRenamed({"scene": "_scene", "row_index": "_row"})
+    here = (F.col("row_index") == F.col("_row")) & (F.col("scene") <= F.col("_scene")) & (F.col("scene") >= F.col("_scene"))
+    return left.join(shuffled(r), here, how).drop("_scene", "_row")
+
+
+def pair_space(rows: DataFrame, modes: Sequence[str] = ("panel",), reach: float = max(THRESHOLDS)) -> DataFrame:
+    """What each prediction can be matched with, from predictions beside the ``_g`` of their interaction (``_said`` marks real ones).
+
+    For each mode, ``near_px_*`` / ``near_*``: GT points within ``reach``, closest first (ties in manifest order); a code is 4 * referent
+    + 2 * acceptable + same label; ``min_px_*``: the smallest distance of all. ``in_panel``: acceptable GT points of the named panel in
+    manifest order, same codes. ``named``: referents of the same label, same codes. Distances follow ``point_distance``; in ``sheet`` and
+    ``auto`` mode the lists have sheet pixels and the rows ``pred_sheet_x/y``, and pairs may cross panels.
+    """
+    rows = rows.withColumns({"_panel": panel_name("pred_panel"), "_label": tx.label_key("mention", "alnum")})
     same = lambda g: (F.col("_label") != "") & (g["label"] == F.col("_label"))
-    scored = F.transform("_g", lambda g: F.struct(distance(g).alias("d"), g["manifest_seq"].alias("seq"), (ref(g) * 4 + flag(g["ok"], 2) + flag(same(g), 1)).alias("code")))
-    rows = rows.withColumn("_d", F.array_sort(F.filter(scored, lambda c: c["d"].isNotNull())))
-    near = F.filter("_d", lambda c: c["d"] <= reach)
-    here = F.filter("_g", lambda g: g["ok"] & (g["panel"] == F.col("_panel")))
-    named = F.filter("_g", lambda g: same(g))
-    return rows.select(
-        *KEY, "pred_seq", F.get("_d", F.lit(0))["d"].alias("min_px"), near["d"].alias("near_px"), near["code"].alias("near"),
-        F.transform(here, lambda g: ref(g) * 2 + flag(same(g), 1)).alias("in_panel"),
-        F.array_distinct(F.transform(named, lambda g: ref(g) * 2 + flag(g["ok"], 1))).alias("named"))
-
-
-def _first_open(codes: list[int], shift: int, taken: set[int], wanted: int) -> int | None:
+    code = lambda g: g["code"] + F.when(same(g), 1).otherwise(0)
+
+    def scored(points: Column, distance) -> Column:
+        pairs = F.transform(points, lambda g: F.struct(distance(g).alias("d"), g["manifest_seq"].alias("seq"), code(g).alias("code")))
+        return F.sort_array(F.filter(pairs, lambda c: c["d"].isNotNull()))
+
+    here = F.filter("_g", lambda g: g["panel"] == F.col("_panel"))
+    inside = scored(here, lambda g: F.hypot((F.col("x_norm") - g["u"]) * g["w"], (F.col("y_norm") - g["v"]) * g["h"]))
+    rows = rows.withColumns({
+        "in_panel": F.transform(F.filter(here, lambda g: g["ok"]), code), "named": F.array_distinct(F.transform(F.filter("_g", same), code)), "_d_panel": inside})
+    if set(modes) != {"panel"}:
+        rows = rows.withColumn("_d_sheet", scored(F.col("_g"), lambda g: F.hypot(F.col("pred_sheet_x") - g["sx"], F.col("pred_sheet_y") - g["sy"])))
+    lists = {m: F.col(f"_d_{m}") for m in ("panel", "sheet")}
+    if "auto" in modes:
+        lists["auto"] = F.when(F.col("sheet_x_norm").isNull() | F.col("sheet_y_norm").isNull(), lists["panel"]).otherwise(lists["sheet"])
+    found = []
+    for m in modes:
+        near = F.filter(lists[m], lambda c: c["d"] <= reach)
+        found += [F.get(lists[m], F.lit(0))["d"].alias(f"min_px_{m}"), _filled(near["d"], "double").alias(f"near_px_{m}"), _filled(near["code"], "int").alias(f"near_{m}")]
+    return rows.select(*KEY, "_said", "pred_seq", "gt_referent_count", "time_evaluable_referent_count", _filled(F.col("in_panel"), "int").alias("in_panel"),
+                       _filled(F.col("named"), "int").alias("named"), *found)
+
+
+def point_distances(rows: DataFrame) -> DataFrame:
+    """Smallest distance of each prediction in the three modes, from predictions beside their board; pairs never leave their row."""
+    pairs = rows.select(*KEY, "pred_seq", "pred_panel", "x_norm", "y_norm", "sheet_x_norm", "sheet_y_norm", "pred_sheet_x", "pred_sheet_y", F.explode("_g").alias("_p"))
+    names = {"panel": "panel_id", "u": "gt_u", "v": "gt_v", "w": "image_width", "h": "image_height", "sx": "gt_sheet_x", "sy": "gt_sheet_y"}
+    pairs = pairs.withColumns({c: F.col(f"_p.{f}") for f, c in names.items()})
+    return pairs.groupBy(*KEY, "pred_seq").agg(*[F.min(point_distance(m)).alias(f"{m}_px") for m in ("panel", "sheet", "auto")])
+
+
+def _filled(c: Column, kind: str) -> Column:
+    return F.coalesce(c, F.array().cast(f"array<{kind}>"))
+
+
+def _parts(column: pa.Array) -> tuple[list, list]:
+    """Offsets and flat values of a list column without NULL lists."""
+    return column.offsets.to_pylist(), column.values.to_pylist()
+
+
+def _take(codes: list[int], at: int, end: int, taken: int, wanted: int) -> int | None:
     """Place of the first code whose referent is free and that has all bits of ``wanted``."""
-    return next((i for i, c in enumerate(codes) if c & wanted == wanted and c >> shift not in taken), None)
+    for i in range(at, end):
+        c = codes[i]
+        if c & wanted == wanted and not taken >> (c >> 2) & 1:
+            return i
+    return None
 
 
 ANSWER_POINTS = 5_000
 
 
+def match_rows(rows: DataFrame, modes: Sequence[str], thresholds: Sequence[float], limit: int = ANSWER_POINTS) -> DataFrame:
+    """One row per interaction and mode from the joined rows of ``pair_space``: sequential matching in order of ``pred_seq``.
+
+    The rows are numbered by a window over the interaction, which is what keeps an interaction in one task and in order; they
+    are then read as a stream whose state is the set of taken referents (as bits) per family. An answer of any length needs no
+    list; ``limit`` rows are held as Python values at once.
+    """
+    modes, families = list(modes), [(t, 2 * joint) for joint in (0, 1) for t in thresholds]
+    order = Window.partitionBy(*KEY).orderBy("pred_seq")
+    numbered = pair_space(rows, modes, max(thresholds)).withColumn("_place", F.row_number().over(order))
+    counted = ("gt_referent_count", "time_evaluable_referent_count")
+    size = 1 + len(modes) * len(families)
+    fields = pa.schema([("scene", pa.string()), ("row_index", pa.int64()), *[(c, pa.int64()) for c in (*counted, "prediction_count")],
+                        ("tp", pa.list_(pa.int64())), ("dist", pa.list_(pa.float64())), ("px", pa.list_(pa.float64()))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, taken = None, []
+        for batch in batches:
+            done = []
+            for start in range(0, batch.num_rows, limit):
+                part = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(start, limit).columns], schema=batch.schema)
+                col = lambda c: part.column(part.schema.get_field_index(c))
+                heads = [col(c).to_pylist() for c in (*KEY, *counted)]
+                place, said = col("_place").to_pylist(), col("_said").to_pylist()
+                (here_at, here), (named_at, named) = _parts(col("in_panel")), _parts(col("named"))
+                near = [(*_parts(col(f"near_{m}")), _parts(col(f"near_px_{m}"))[1], col(f"min_px_{m}").to_pylist()) for m in modes]
+                for i, first in enumerate(place):
+                    if first == 1:
+                        if row is not None:
+                            done.append(row)
+                        row, taken = [*(h[i] for h in heads), 0, [0] * size, [0.0] * size, [None] * len(modes)], [0] * size
+                    if not said[i]:
+                        continue
+                    row[4] += 1
+                    tp, dist, px = row[5:]
+                    every = good = 0
+                    for c in named[named_at[i]:named_at[i + 1]]:
+                        every |= 1 << (c >> 2)
+                        good |= (c >> 1 & 1) << (c >> 2)
+                    if here_at[i] < here_at[i + 1]:
+                        hit = _take(here, here_at[i], here_at[i + 1], taken[0], 3 if good & ~taken[0] else 2)
+                        if hit is not None:
+                            taken[0] |= 1 << (here[hit] >> 2)
+                            tp[0] += 1
+                    f = 0
+                    for m, (at, codes, away, least) in enumerate(near):
+                        if least[i] is not None and (px[m] is None or least[i] < px[m]):
+                            px[m] = least[i]
+                        a, b = at[i], at[i + 1]
+                        if a == b:
+                            f += len(families)
+                            continue
+                        for threshold, joint in families:
+                            f += 1
+                            hit = _take(codes, a, b, taken[f], joint | bool((good if joint else every) & ~taken[f]))
+                            if hit is not None and away[hit] <= threshold:
+                                taken[f] |= 1 << (codes[hit] >> 2)
+                                tp[f] += 1
+                                dist[f] += away[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done) if done else [[]] * len(fields), fields.types)], schema=fields)
+        if row is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, fields.types)], schema=fields)
+
+    kinds = ", ".join(f"{c} bigint" for c in (*counted, "prediction_count"))
+    folded = numbered.mapInArrow(fold, f"scene string, row_index bigint, {kinds}, tp array<bigint>, dist array<double>, px array<double>")
+
+    def counts(at: int, joint: bool) -> Column:
+        tp, there = F.get("tp", F.lit(at)), F.col("time_evaluable_referent_count" if joint else "gt_referent_count")
+        return F.struct(tp.alias("tp"), (F.col("prediction_count") - tp).alias("fp"), F.greatest(there - tp, F.lit(0).cast("bigint")).alias("fn"), F.get("dist", F.lit(at)).alias("dist"))
+
+    def of(m: int, name: str) -> Column:
+        found = [counts(1 + m * len(families) + i, bool(joint)).alias(n) for i, (n, (_, joint)) in enumerate(zip(match_names(thresholds)[1:], families))]
+        return F.struct(F.lit(name).alias("mode"), counts(0, True).alias("time"), *found, F.get("px", F.lit(m)).alias("min_point_distance_px"))
+
+    each = folded.select(*KEY, *counted, "prediction_count", F.inline(F.array(*[of(m, n) for m, n in enumerate(modes)])))
+    return each.select(*KEY, "mode", *match_names(thresholds), "prediction_count", *counted, "min_point_distance_px")
+
+
 def greedy_match(keys: DataFrame, preds: DataFrame, gt: DataFrame, thresholds: Sequence[float] = THRESHOLDS,
                  limit: int = ANSWER_POINTS, mode: str = "panel") -> DataFrame:
     """Sequential matching of one answer's points to the manifest; a struct of ``tp, fp, fn, dist`` per metric family, counts of
     predictions and referents, and the smallest distance.
 
     Predictions are taken in order; each takes the nearest free referent (of its own label while one is free) if that lies within the
-    threshold. ``pair_space`` finds each prediction's possible partners in parallel; predictions without any are counted and left
-    out. The rest is sorted by interaction and order and read as a stream whose state is the set of taken referents per family, so
-    an answer of any length needs no list and no other algorithm; ``limit`` rows are held as Python values at once.
+    threshold. Keys, GT points and predictions meet once, dealt by interaction (``match_rows``).
     """
-    names = match_names(thresholds)
-    families = [(float("inf"), True), *[(t, joint) for joint in (False, True) for t in thresholds]]
-    lists = gt_lists(gt, mode)
-    pairs = pair_space(preds, lists, mode, max(thresholds))
-    todo = pairs.filter((F.size("near") > 0) | (F.size("in_panel") > 0)).select(*KEY, "pred_seq", "near_px", "near", "in_panel", "named")
-    todo = todo.repartition(*KEY).sortWithinPartitions(*KEY, "pred_seq")
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, taken, moved = None, [], []
+    own = ["x_norm", "y_norm", *(["pred_sheet_x", "pred_sheet_y"] if mode != "panel" else []), *(["sheet_x_norm", "sheet_y_norm"] if mode == "auto" else [])]
+    said = preds.select(*KEY, "pred_seq", "mention", "pred_panel", *own, F.lit(True).alias("_said"))
+    numbers = ("gt_referent_count", "time_evaluable_referent_count")
+    lists = beside(keys.select(*KEY).distinct(), gt_lists(gt, mode)).withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in numbers})
+    return match_rows(beside(lists, said), [mode], thresholds, limit).drop("mode")
 
-        def row():
-            return (*key, [len(t) for t in taken], moved)
 
-        for frame in frames:
-            done = []
-            for at in range(0, len(frame), limit):
-                part = frame.iloc[at : at + limit]
-                for scene, index, px, near, here, named in zip(*(part[c] for c in (*KEY, "near_px", "near", "in_panel", "named"))):
-                    if key != (scene, index):
-                        if key is not None:
-                            done.append(row())
-                        key, taken, moved = (scene, index), [set() for _ in families], [0.0] * len(families)
-                    px, near, here, named = px.tolist(), near.tolist(), here.tolist(), named.tolist()
-                    for f, (threshold, joint) in enumerate(families):
-                        own = _first_open(named, 1, taken[f], int(joint)) is not None
-                        if not f:
-                            hit = _first_open(here, 1, taken[f], int(own))
-                            if hit is not None:
-                                taken[f].add(here[hit] >> 1)
-                            continue
-                        hit = _first_open(near, 2, taken[f], 2 * joint + own)
-                        if hit is not None and px[hit] <= threshold:
-                            taken[f].add(near[hit] >> 2)
-                            moved[f] += px[hit]
-            yield pd.DataFrame(done, columns=[*KEY, "tp", "dist"])
-        if key is not None:
-            yield pd.DataFrame([row()], columns=[*KEY, "tp", "dist"])
-
-    folded = todo.mapInPandas(fold, "scene string, row_index bigint, tp array<bigint>, dist array<double>")
-    counted = pairs.groupBy(*KEY).agg(F.count("*").alias("prediction_count"), F.min("min_px").alias("min_point_distance_px"))
-    rows = keys.select(*KEY).join(counted, KEY, "left").join(lists.drop("_g", "_refs"), KEY, "left").join(folded, KEY, "left")
-    numbers = ("prediction_count", "gt_referent_count", "time_evaluable_referent_count")
-    rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in numbers})
-
-    def counts(i: int) -> Column:
-        tp = F.coalesce(F.get("tp", F.lit(i)), F.lit(0).cast("bigint"))
-        there = F.col("time_evaluable_referent_count" if families[i][1] else "gt_referent_count")
-        return F.struct(tp.alias("tp"), (F.col("prediction_count") - tp).alias("fp"), F.greatest(there - tp, F.lit(0).cast("bigint")).alias("fn"),
-                        F.coalesce(F.get("dist", F.lit(i)), F.lit(0.0)).alias("dist"))
-
-    return rows.select(*KEY, *[counts(i).alias(n) for i, n in enumerate(names)], *numbers, "min_point_distance_px")
-
-
-def evaluate_2d(manifest: DataFrame, preds: DataFrame, mode: str = "panel", thresholds: Sequence[float] = THRESHOLDS, columns: int = 4) -> DataFrame:
+def evaluate_2d(manifest: DataFrame, preds: DataFrame, mode: str | Sequence[str] = "panel", thresholds: Sequence[float] = THRESHOLDS, columns: int = 4) -> DataFrame:
     """Detail of a 2D run, a row per interaction of the manifest: counts, a struct per metric family, the smallest distance.
 
     ``mode`` says where distances are taken: ``panel`` (image pixels of the named panel), ``sheet`` (contact sheet, across panels) or ``auto``
-    (sheet for predictions with both sheet coordinates, else panel). Answers name panels in any case, with or without ``P``; those without a
-    panel are no predictions, and coordinates outside [0, 1] count as missing. Panels without a frame are not on the sheet, unless
-    none has one; GT points of a panel that is not on the sheet take no part. Summaries: ``summary_2d``.
+    (sheet for predictions with both sheet coordinates, else panel); several modes give a row each, with a column ``mode``, from one pass.
+    Answers name panels in any case, with or without ``P``; those without a panel are no predictions, and coordinates outside [0, 1] count
+    as missing. Panels without a frame are not on the sheet, unless none has one; GT points of a panel that is not on the sheet take no part.
+    Summaries: ``summary_2d``.
     """
     rows = manifest.withColumns({"panel_id": panel_name("panel_id"), "referent": tx.norm_text("referent")})
-    usable = F.coalesce("frame_extracted", F.lit(True))
-    named = rows.filter(F.col("panel_id").isNotNull()).groupBy(*KEY, "panel_id").agg(F.max(usable).alias("_has"))
-    named = named.withColumn("_some", F.max("_has").over(Window.partitionBy(*KEY))).filter(F.col("_has") | ~F.col("_some"))  # as many rows as panels
-    layout = sheet_layout(named, columns)
-    sized = rows.filter((F.col("image_width") > 0) & (F.col("image_height") > 0) & (F.col("referent") != ""))
-    gt = sheet_points(distinct_gt(sized), layout.select(*KEY, "panel_id", "x0", "y0"))
+    rows = rows.withColumn("_counts", (F.col("image_width") > 0) & (F.col("image_height") > 0) & (F.col("referent") != "") & F.col("panel_id").isNotNull())
+    lists = with_codes(boards(rows, F.coalesce("frame_extracted", F.lit(True)), True, columns))
     unit = lambda c: F.when(F.col(c).between(0.0, 1.0), F.col(c)).alias(c)
     coords = ["x_norm", "y_norm", "sheet_x_norm", "sheet_y_norm"]
-    events = rows.select(*KEY).distinct()
-    answers = preds.select(*KEY, "pred_seq", "mention", panel_name("pred_panel").alias("pred_panel"), *map(unit, coords)).filter(F.col("pred_panel").isNotNull()).join(events, KEY, "left_semi")
-    if mode != "panel":
-        answers = prediction_sheet_points(answers, layout)
-    return greedy_match(events, answers, gt, thresholds, mode=mode)
+    answers = preds.select(*KEY, "pred_seq", "mention", panel_name("pred_panel").alias("pred_panel"), *map(unit, coords), F.lit(True).alias("_said")).filter(F.col("pred_panel").isNotNull())
+    joined = with_sheet_points(beside(lists, answers), columns)
+    out = match_rows(joined, [mode] if isinstance(mode, str) else mode, thresholds)
+    return out.drop("mode") if isinstance(mode, str) else out
 
 
 def summary_2d(detail: DataFrame, by: Sequence[str], thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:

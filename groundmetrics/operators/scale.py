@@ -49,16 +49,23 @@ def shuffled(df: DataFrame) -> DataFrame:
 TASK_ROWS = 50_000
 
 
+def partitions_for(source: DataFrame, rows: int = TASK_ROWS) -> int | None:
+    """How many partitions of ``rows`` rows ``source`` has, None if the session's shuffle partitions are enough. ``source`` should be
+    cheap to count, a scan or a checkpoint."""
+    key = (source.sparkSession.sparkContext.applicationId, source.semanticHash(), "rows")
+    if key not in _size_checks:
+        _size_checks[key] = source.count()
+    n = _size_checks[key] // rows + 1
+    return n if n > int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def dealt(df: DataFrame, cols: Sequence[Column | str], source: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
     """Hash partitions by ``cols``, as many as ``source`` has ``rows``, if those are more than the session's shuffle partitions.
 
-    What a task sorts then stays the same while the data grows. ``source`` should be cheap to count, a scan or a checkpoint.
+    What a task sorts then stays the same while the data grows.
     """
-    key = (df.sparkSession.sparkContext.applicationId, source.semanticHash(), "rows")
-    if key not in _size_checks:
-        _size_checks[key] = source.count()
-    n = _size_checks[key] // rows + 1
-    return df.repartition(n, *cols) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    n = partitions_for(source, rows)
+    return df.repartition(n, *cols) if n else df
 
 
 def spread(df: DataFrame) -> DataFrame:

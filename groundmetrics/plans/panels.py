@@ -11,14 +11,14 @@ from groundmetrics.operators.sets import KEY
 from groundmetrics.plans import timeline as tq
 from groundmetrics.plans.closed_set import rounded
 from groundmetrics.plans.points3d import gt_arrays
-from groundmetrics.plans.views import registry, view
+from groundmetrics.plans.views import by_order, registry, view
 
 query, QUERIES, ORACLES = registry()
 
 
 def manifest(spark, sf):
-    """Manifest rows with the gaze-to-anchor pixel distance and the evidence rank."""
-    m = view(spark, sf, "v_manifest")
+    """Manifest rows with the gaze-to-anchor pixel distance and the evidence rank; line items are dealt by order, nothing after that moves."""
+    m = view(spark, sf, "v_manifest", by_order(spark, sf))
     m = m.withColumn("video_time", F.col("video_time").cast("double"))
     dist = F.hypot((F.col("gt_u") - F.col("gaze_u")) * 1280.0, (F.col("gt_v") - F.col("gaze_v")) * 720.0)
     return pn.evidence_rank(m.withColumn("gaze_anchor_distance_px", F.round(dist, 2)), [*KEY, "referent"], 1)
@@ -95,11 +95,10 @@ GT2D_SQL = f"""{RANK_SQL}, gt2d AS (SELECT * FROM ranked WHERE projection_valid
     SELECT scene, row_index, pred_seq, round(min(dp), 6) AS panel_px, round(min(ds), 6) AS sheet_px,
         round(min(CASE WHEN no_sheet THEN dp ELSE ds END), 6) AS auto_px FROM d GROUP BY 1, 2, 3""")
 def point_distance(spark, sf):
-    lay = layout_of(spark, sf)
-    gt = pn.sheet_points(pn.distinct_gt(manifest(spark, sf)), lay.drop("position", "sheet_w", "sheet_h"))
-    preds = pn.prediction_sheet_points(view(spark, sf, "v_refs2d"), lay)
-    pairs = preds.join(gt, KEY)
-    out = pairs.groupBy(*KEY, "pred_seq").agg(*[F.min(pn.point_distance(m)).alias(f"{m}_px") for m in ("panel", "sheet", "auto")])
+    lists = pn.boards(manifest(spark, sf), F.col("frame_extracted"), False, columns=2).filter(F.size("_g") > 0)
+    preds = view(spark, sf, "v_refs2d", by_order(spark, sf)).select(*KEY, "pred_seq", "pred_panel", "x_norm", "y_norm", "sheet_x_norm", "sheet_y_norm")
+    near = pn.with_sheet_points(pn.beside(lists, preds, "inner"), columns=2)
+    out = pn.point_distances(near)
     return rounded(out, "panel_px", "sheet_px", "auto_px")
 
 
@@ -175,7 +174,8 @@ def totals_sql(by: str) -> str:
 
 
 def match_detail(spark, sf):
-    return pn.greedy_match(view(spark, sf, "v_keys"), view(spark, sf, "v_refs2d"), pn.distinct_gt(manifest(spark, sf)))
+    by = by_order(spark, sf)
+    return pn.greedy_match(view(spark, sf, "v_keys", by), view(spark, sf, "v_refs2d", by), pn.distinct_gt(manifest(spark, sf)))
 
 
 @query(f"{MATCH_SQL} SELECT scene, row_index, {wide([c for c in FAMILY_COLUMNS if not c.startswith('time')])} FROM res GROUP BY 1, 2")
@@ -217,9 +217,8 @@ RUN_SQL = f"""WITH RECURSIVE {GT2D_SQL}, keys AS (SELECT DISTINCT scene, row_ind
 
 def runs_2d(spark, sf):
     """The three coordinate modes over the same manifest and answers."""
-    m, answers = manifest(spark, sf), view(spark, sf, "v_answers2d")
-    parts = [pn.evaluate_2d(m, answers, mode).withColumn("mode", F.lit(mode)) for mode in ("panel", "sheet", "auto")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    m, answers = manifest(spark, sf), view(spark, sf, "v_answers2d", by_order(spark, sf))
+    return pn.evaluate_2d(m, answers, ("panel", "sheet", "auto"))
 
 
 @query(f"""{RUN_SQL} SELECT scene, row_index, mode, max(n_any) AS gt_referent_count, max(n_ok) AS time_evaluable_referent_count, max(n) AS prediction_count,

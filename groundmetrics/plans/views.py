@@ -7,6 +7,8 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from groundmetrics.operators.scale import partitions_for
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -221,25 +223,39 @@ def duck(sql: str) -> str:
 _schemas: dict = {}
 
 
-def _table(spark: SparkSession, sf_dir: str, table: str) -> str:
-    """Temp view over one driver table; its schema is inferred once per session, its files are listed anew."""
+def _table(spark: SparkSession, sf_dir: str, table: str, by: tuple | None = None) -> str:
+    """Temp view over one driver table, its rows dealt by a column if ``by`` (column, partitions) is given; its schema is inferred once
+    per session, its files are listed anew."""
     path = f"{sf_dir}/{table}.parquet"
     key = (spark.sparkContext.applicationId, path)
     if key not in _schemas:
         _schemas[key] = spark.read.parquet(path).schema
     name = f"gm_{table}_{zlib.crc32(sf_dir.encode()):08x}"
-    spark.read.schema(_schemas[key]).parquet(path).createOrReplaceTempView(name)
+    rows = spark.read.schema(_schemas[key]).parquet(path)
+    if by:
+        name, rows = f"{name}_dealt", rows.repartition(by[1], by[0])
+    rows.createOrReplaceTempView(name)
     return name
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A view name or a query over views, as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, sql: str, by: dict[str, tuple] | None = None) -> DataFrame:
+    """A view name or a query over views, as a DataFrame.
+
+    Tables named in ``by`` are hash partitioned by a column as they are read, before anything is joined, exploded or grouped: what is
+    grouped or joined by that column afterwards stays where it is.
+    """
     if sql in VIEWS:
         sql = VIEWS[sql]
-    text = _expand(sql, lambda t: _table(spark, sf_dir, t))
+    text = _expand(sql, lambda t: _table(spark, sf_dir, t, (by or {}).get(t)))
     return spark.sql(_MACRO.sub(lambda m: MACROS[m[1]][0].format(m[2]), text))
 
 
+def by_order(spark: SparkSession, sf_dir: str, rows: int = 100_000) -> dict[str, tuple]:
+    """``by`` of a view: orders and line items dealt by order, one partition per ``rows`` line items if those are more than the session's."""
+    n = partitions_for(view(spark, sf_dir, "SELECT l_orderkey FROM @lineitem"), rows) or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return {"orders": ("o_orderkey", n), "lineitem": ("l_orderkey", n)}
+
+
 def registry():
     """A ``query(sql)`` decorator with its dictionaries of queries and DuckDB texts."""
     queries: dict = {}

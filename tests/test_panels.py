@@ -103,3 +103,28 @@ def test_baselines(spark):
         g, h = lists[r.i]
         assert [tuple(p) for p in r.d] == slow_dedup(g, 1.0, 2)
         assert [tuple(p) for p in r.f] == slow_fuse(g, h, 0.6, 3)
+
+
+def test_2d_runs_shuffle_line_items_once(spark):
+    """Manifest and answers cross the network once each, dealt by order; the three modes of a run share that pass."""
+    import __spark_entry__ as entry
+
+    for name in ("evaluate_2d", "greedy_match", "point_distance"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "ENSURE_REQUIREMENTS" not in plan.replace("BroadcastExchange", ""), name
+        assert plan.count("REPARTITION_BY_NUM") <= 3, name
+
+
+def test_modes_together_equal_modes_alone(spark):
+    manifest = [("s", k, i, f"r{k % 3 + i % 2}", f"P{i % 2 + 1}", 0.1 * i, 0.2, 1280, 720, True, True, i != 1) for k in range(6) for i in range(4)]
+    m = spark.createDataFrame(manifest, "scene string, row_index bigint, manifest_seq bigint, referent string, panel_id string, gt_u double, gt_v double, image_width int, "
+                                        "image_height int, projection_valid boolean, evidence_acceptable boolean, frame_extracted boolean")
+    answers = [("s", k, i, "r1", f"p{i % 3}", 0.1 * i, 0.21, 0.05 * i if i % 2 else None, 0.1) for k in range(5) for i in range(5)]
+    answers += [("t", 0, 0, "r1", "P1", 0.1, 0.2, None, None)]  # the same row_index in another scene
+    p = spark.createDataFrame(answers, "scene string, row_index bigint, pred_seq bigint, mention string, pred_panel string, x_norm double, y_norm double, sheet_x_norm double, sheet_y_norm double")
+    modes = ("panel", "sheet", "auto")
+    together = pn.evaluate_2d(m, p, modes)
+    for mode in modes:
+        alone = pn.evaluate_2d(m, p, mode)
+        assert alone.count() == 6
+        assert sorted(map(str, alone.collect())) == sorted(map(str, together.filter(F.col("mode") == mode).drop("mode").collect()))
