@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from groundmetrics.operators.scale import global_rank, small_side
 from groundmetrics.operators.sets import prf, ratio
+from groundmetrics.session import checkpointed
 
 
 
@@ -202,8 +203,11 @@ def counter_map(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
 
 
 def error_extremes(df: DataFrame, error: str, k: int = 6, tie: Sequence[str] = ("scene", "row_index")) -> DataFrame:
-    """``k`` lowest and ``k`` highest finite errors; both sides are top-k, no global sort."""
-    finite = df.filter(F.col(error).isNotNull() & ~F.isnan(error))
+    """``k`` lowest and ``k`` highest finite errors; both sides are top-k, no global sort.
+
+    The errors are written once: each side would otherwise compute all that lies behind them.
+    """
+    finite = checkpointed(df.filter(F.col(error).isNotNull() & ~F.isnan(error)))
     low = finite.orderBy(F.asc(error), *tie).limit(k).withColumn("side", F.lit("lowest"))
     high = finite.orderBy(F.desc(error), *tie).limit(k).withColumn("side", F.lit("highest"))
     return low.unionByName(high)

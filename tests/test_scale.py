@@ -162,3 +162,12 @@ def test_assignment_work_is_not_repeated(spark):
     out = pt.point_summary(detail, ["scene"])
     assert "ArrowEvalPython" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.first().median_margin == 1.5
+
+
+def test_error_extremes_computes_errors_once(spark):
+    from groundmetrics.operators import aggregate as ag
+
+    df = spark.range(40).select(F.lit("s").alias("scene"), F.col("id").alias("row_index"), (F.col("id") * 7 % 40).cast("double").alias("e"))
+    out = ag.error_extremes(df.repartition(3), "e", 2)
+    assert sorted((r.side, r.e) for r in out.collect()) == [("highest", 38.0), ("highest", 39.0), ("lowest", 0.0), ("lowest", 1.0)]
+    assert "Range" not in out._jdf.queryExecution().executedPlan().toString()
