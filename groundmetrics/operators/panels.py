@@ -497,10 +497,11 @@ def panel_manifest(panels: DataFrame, referents: DataFrame, anchors: DataFrame,
     named targets of an interaction.
     """
     a = small_side(anchors.select("scene", F.col("anchor_id").alias("referent"), F.struct("x", "y", "z").alias("anchor")))
-    rows = panels.join(referents, KEY, "left").join(a, ["scene", "referent"], "left")
     cam = ("cameraPosition", "cameraRotation", "cameraFOV")
-    rows = rows.withColumn("_gt", geo.project_point(*cam, F.col("anchor"), width, height))
-    rows = rows.withColumn("_gaze", F.when(F.col("gaze").isNotNull(), geo.project_point(*cam, F.col("gaze"), width, height)))
+    # the gaze belongs to the panel: projected before the panel meets its referents
+    panels = geo.with_projection(panels, "_gaze", *cam, F.col("gaze"), width, height)
+    rows = panels.join(shuffled(referents), KEY, "left").join(a, ["scene", "referent"], "left")
+    rows = geo.with_projection(rows, "_gt", *cam, F.col("anchor"), width, height)
     dist = F.hypot((F.col("_gt.u") - F.col("_gaze.u")) * width, (F.col("_gt.v") - F.col("_gaze.v")) * height)
     digits = (6, 2) if csv_compatible else (15, 15)
     rows = rows.select(

@@ -68,6 +68,12 @@ def dealt(df: DataFrame, cols: Sequence[Column | str], source: DataFrame, rows:
     return df.repartition(n, *cols) if n else df
 
 
+def by_keys(df: DataFrame, keys: Sequence[str], source: DataFrame) -> DataFrame:
+    """Hash partitions by ``keys``, as ``merged_nearest`` leaves its rows for samples ``source``."""
+    n = partitions_for(source)
+    return df.repartition(n, *keys) if n else df.repartition(*keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rebalance a scan that has fewer splits than cores before costly per-row work; large scans pass through."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -151,15 +157,75 @@ def nearest_sample(
     seq: str,
     payload: Sequence[str],
     width: int,
+    target_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Two-sided as-of join: the sample closest in time to each target, the earlier one on a tie.
 
-    Samples that share a stamp are first reduced to the lowest ``seq``. Both sides are then merged and
-    sorted per (key, time slice); the last/first sample of each slice is carried across empty slices, so
-    neither a cross product nor one task per key is needed. Targets of a key without samples get NULLs.
+    Of samples that share a stamp the one of the lowest ``seq`` counts. The samples and targets of a key are merged in one sort, unless
+    there are more than ``TASK_ROWS`` of them: such keys are cut into slices of ``width`` (``sliced_nearest``), so that no task gets
+    a whole long series. Neither form makes a cross product. Targets of a key without samples get NULLs. ``target_counts`` (``keys, n``,
+    any number of rows a key) spares the counting of targets.
     """
     keys = list(keys)
     cols = [sample_time, *[p for p in payload if p != sample_time]]
+    samples, targets = samples.dropna(subset=[sample_time, seq]), targets.dropna(subset=[*keys, target_time])
+    counts = targets.select(*keys, F.lit(1).alias("n")) if target_counts is None else target_counts
+    long = crowded(samples, counts, keys)
+    if long is None:
+        return merged_nearest(targets, samples, keys, target_time, sample_time, seq, cols)
+    long = F.broadcast(long)
+    few, many = ([side.join(long, keys, how) for side in (targets, samples)] for how in ("left_anti", "left_semi"))
+    near = merged_nearest(*few, keys, target_time, sample_time, seq, cols)
+    return near.unionByName(sliced_nearest(*many, keys, target_time, sample_time, seq, cols, width))
+
+
+def crowded(samples: DataFrame, counts: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame | None:
+    """Keys whose samples and ``n`` of ``counts`` are more than ``limit``, None without any. They are at most as many as there are ``limit`` rows."""
+    limit = limit or TASK_ROWS
+    rows = samples.select(*keys, F.lit(1).cast("bigint").alias("n")).unionByName(counts.select(*keys, F.col("n").cast("bigint")))
+    many = rows.groupBy(*keys).agg(F.sum("n").alias("_n")).filter(F.col("_n") > limit).select(*keys)
+    key = (samples.sparkSession.sparkContext.applicationId, many.semanticHash(), limit, "crowded")
+    if key not in _size_checks:
+        _size_checks[key] = bool(many.head(1))
+    return many if _size_checks[key] else None
+
+
+def merged_nearest(targets: DataFrame, samples: DataFrame, keys: list[str], target_time: str, sample_time: str, seq: str, cols: list[str]) -> DataFrame:
+    """``nearest_sample`` in one shuffle and one sort, a key in one task; the rows come out hash partitioned by ``keys``."""
+    rest = [c for c in targets.columns if c not in keys and c != target_time]
+    t = targets.select(*keys, F.col(target_time).alias("_t"), F.struct(F.lit(1).alias("_one"), *rest).alias("_target"))
+    s = samples.select(*keys, F.col(sample_time).alias("_t"), F.col(seq).alias("_seq"), F.struct(*cols).alias("_s"))
+    both = dealt(t.unionByName(s, allowMissingColumns=True).withColumn("_late", F.col("_target").isNotNull()), keys, samples)
+
+    # at equal times samples come first, the lowest seq before the others, which do not count
+    order = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY _t, _late, _seq)"
+    both = both.withColumn("_same", F.expr(f"lag(_t) {order}").eqNullSafe(F.col("_t")))
+    both = both.withColumn("_s", F.when(~F.col("_same"), F.col("_s")))
+    near = both.select(
+        *keys, "_t", "_target",
+        F.expr(f"lag(_s) IGNORE NULLS {order}").alias("_prev"),
+        F.expr(f"lead(_s) IGNORE NULLS {order}").alias("_next"),
+    ).filter("_target IS NOT NULL")
+    return _nearer(near, keys, target_time, sample_time, rest, cols)
+
+
+def _nearer(near: DataFrame, keys: list[str], target_time: str, sample_time: str, rest: list[str], cols: list[str]) -> DataFrame:
+    prev, nxt = F.col("_prev"), F.col("_next")
+    first = nxt.isNull() | (F.col("_t") - prev[sample_time] <= nxt[sample_time] - F.col("_t"))
+    found = near.select(*keys, "_t", "_target", F.when(first, prev).otherwise(nxt).alias("_pick"))
+    return found.select(
+        *keys, F.col("_t").alias(target_time), *[F.col("_target")[c].alias(c) for c in rest],
+        *[F.col("_pick")[c].alias(c) for c in cols],
+    )
+
+
+def sliced_nearest(targets: DataFrame, samples: DataFrame, keys: list[str], target_time: str, sample_time: str, seq: str, cols: list[str],
+                   width: int) -> DataFrame:
+    """``nearest_sample`` of long series.
+
+    Samples that share a stamp are first reduced to the lowest ``seq``. Both sides are then merged and
+    sorted per (key, time slice); the last/first sample of each slice is carried across empty slices.
+    """
     stamped = dealt(samples.withColumn("_t", F.col(sample_time)), [*keys, "_t"], samples)
     s = stamped.groupBy(*keys, "_t").agg(F.min_by(F.struct(*cols), seq).alias("_s"))
     rest = [c for c in targets.columns if c not in keys and c != target_time]
@@ -184,15 +250,8 @@ def nearest_sample(
         F.expr(f"lead(_first) IGNORE NULLS {chain}").alias("_after"),
     )
     near = local.join(shuffled(dealt(carry, [*keys, "_b"], samples)), [*keys, "_b"])
-    prev, nxt = F.coalesce("_prev", "_before"), F.coalesce("_next", "_after")
-    gap_prev = F.col("_t") - prev[sample_time]
-    gap_next = nxt[sample_time] - F.col("_t")
-    pick = F.when(nxt.isNull() | (gap_prev <= gap_next), prev).otherwise(nxt)
-    found = near.select(*keys, "_t", "_target", pick.alias("_pick"))
-    return found.select(
-        *keys, F.col("_t").alias(target_time), *[F.col("_target")[c].alias(c) for c in rest],
-        *[F.col("_pick")[c].alias(c) for c in cols],
-    )
+    near = near.select(*keys, "_t", "_target", F.coalesce("_prev", "_before").alias("_prev"), F.coalesce("_next", "_after").alias("_next"))
+    return _nearer(near, keys, target_time, sample_time, rest, cols)
 
 
 GROUP_ROWS = 1_000_000

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from groundmetrics.operators import panels as pn
 from groundmetrics.operators import timeline as tl
-from groundmetrics.operators.scale import nearest_sample
+from groundmetrics.operators.scale import by_keys, nearest_sample
 from groundmetrics.operators.sets import KEY
 from groundmetrics.plans import timeline as tq
 from groundmetrics.plans.closed_set import rounded
@@ -309,8 +309,10 @@ def panel_manifest(spark, sf):
     at = at.withColumn("target_us", F.col("t_start") + F.round(F.col("offset") * tl.US).cast("bigint"))
     s = tl.cue_columns(tq.samples(spark, sf))
     near = nearest_sample(at.select(*tq.EVENT, "panel_index", "target_us"), s, KEY, "target_us", "t_us", "file_seq",
-                          ["file_seq", "gaze", "cameraPosition", "cameraRotation", "cameraFOV"], tq.SLICE)
-    refs = view(spark, sf, "v_gt").select(*KEY, F.col("label").alias("referent")).distinct()
+                          ["file_seq", "gaze", "cameraPosition", "cameraRotation", "cameraFOV"], tq.SLICE,
+                          ev.select(*KEY, F.lit(3).alias("n")))
+    # dealt by interaction as the panels are, so that neither the distinct referents nor the join and the ranks move them again
+    refs = by_keys(view(spark, sf, "v_gt").select(*KEY, F.col("label").alias("referent")), KEY, s).distinct()
     out = pn.panel_manifest(near, refs, view(spark, sf, "v_anchors"), tq.EVENT, tq.W, tq.H)
     return out.select(*tq.EVENT, "panel_index", "referent", "t_us", "status", "projection_valid", "evidence_rank")
 
