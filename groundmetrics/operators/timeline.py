@@ -170,17 +170,9 @@ def pixel_score(projected: Column, move_px: Column, camera_move: Column) -> Colu
 
 def projected_samples(samples: DataFrame, width_px: int, height_px: int) -> DataFrame:
     """Adds ``gaze_uv`` (the gaze point on the image of its own camera, NULL off it), ``gaze_source`` and ``camera``."""
-    view = F.struct(cues.gaze_world_point().alias("gaze"), cues.whole(F.col("cameraPosition")).alias("at"),
-                    F.col("cameraRotation").alias("turn"), F.col("cameraFOV").alias("fov"))
-
-    def seen(v: Column) -> Column:
-        return F.struct(geo.project_point(v["at"], v["turn"], v["fov"], v["gaze"]["point"], width_px, height_px).alias("uv"),
-                        v["gaze"]["source"].alias("source"), v["at"].alias("at"))
-
-    # bound once: written out, the projection repeats the gaze rules in every use of the point
-    s = samples.withColumn("_seen", tx.let(view, seen))
-    return s.select(*samples.columns, F.col("_seen.uv").alias("gaze_uv"), F.col("_seen.at").alias("camera"),
-                    F.when(F.col("_seen.uv").isNotNull(), F.col("_seen.source")).alias("gaze_source"))
+    s = samples.withColumn("_view", cues.gaze_world_point()).withColumn("camera", cues.whole(F.col("cameraPosition")))
+    s = geo.with_projection(s, "gaze_uv", F.col("camera"), F.col("cameraRotation"), "cameraFOV", F.col("_view.point"), width_px, height_px)
+    return s.withColumn("gaze_source", F.when(F.col("gaze_uv").isNotNull(), F.col("_view.source"))).drop("_view")
 
 
 def pixel_stats(candidates: DataFrame, samples: DataFrame, keys: Sequence[str], window: int, width_px: int, height_px: int) -> DataFrame:
@@ -195,7 +187,8 @@ def pixel_stats(candidates: DataFrame, samples: DataFrame, keys: Sequence[str],
     c = candidates.groupBy(*keys, F.col("t_us").alias("_t")).agg(F.any_value("gaze_uv").alias("_uv"), F.any_value("camera").alias("_camera"))
     home = F.floor(F.col("_t") / window)
     c = c.withColumn("_b", F.explode(F.array(home - 1, home, home + 1)))
-    s = samples.select(*keys, "t_us", "gaze_uv", "camera", b.alias("_b")).filter("gaze_uv IS NOT NULL OR camera IS NOT NULL")
+    # no filter on the cues: pushed below the steps of the projection, it would write them out again
+    s = samples.select(*keys, "t_us", "gaze_uv", "camera", b.alias("_b"))
     gap = F.abs(F.col("t_us") - F.col("_t"))
     pairs = c.join(shuffled(s), [*keys, "_b"]).filter((gap > 1) & (gap <= window))
     du, dv = ((F.col("gaze_uv")[a] - F.col("_uv")[a]) * float(n) for a, n in (("u", width_px), ("v", height_px)))
@@ -259,18 +252,20 @@ def select_panels(events: DataFrame, samples: DataFrame, keys: Sequence[str], ev
     columns = [*event_keys, "panel_index", "video_us", "t_us", "score", "reason"]
     if strategy == "uniform":
         return uniform(events, "uniform").select(*columns)
-    # written once: three passes read these few columns instead of projecting the nested samples again
-    s = checkpointed(projected_samples(samples, *size).select(*keys, "file_seq", "t_us", "gaze_uv", "gaze_source", "camera"))
+    s = projected_samples(samples, *size).select(*keys, "file_seq", "t_us", "gaze_uv", "gaze_source", "camera")
     ends = s.groupBy(*keys).agg(F.min("t_us").alias("_first"), F.max("t_us").alias("_last"))
     ev = events.select(*event_keys, "t_start", "t_end", "offset_us").join(ends, keys)
     low = F.greatest(F.col("_first"), F.col("t_start") - F.col("offset_us"))
     high = F.least(F.col("_last"), F.col("t_end") - F.col("offset_us"))
+    # no grid has more points than its steps, both ends and the middle
+    counts = ev.select(*keys, (F.floor(F.greatest(high - low, F.lit(0)) / US / step) + 2).alias("n"))
     ev = ev.withColumn("_low", low).withColumn("_grid", dense_grid(F.lit(0.0), (high - low) / US, step))
     targets = ev.select(*event_keys, "t_start", "t_end", "offset_us", "_low", F.explode("_grid").alias("_off"))
     targets = targets.select(*event_keys, "t_start", "t_end", "offset_us", (F.col("_low") + F.round(F.col("_off") * US).cast("bigint")).alias("target_us"))
-    near = nearest_sample(targets, s, keys, "target_us", "t_us", "file_seq", ["gaze_uv", "gaze_source", "camera"], width)
+    near = nearest_sample(targets, s, keys, "target_us", "t_us", "file_seq", ["gaze_uv", "gaze_source", "camera"], width, counts)
     near = near.withColumn("video_us", F.col("t_us") + F.col("offset_us")).filter(F.col("video_us").between(F.col("t_start") - 1, F.col("t_end") + 1))
     cands = near.select(*event_keys, *[k for k in keys if k not in event_keys], "t_us", "video_us", "gaze_uv", "gaze_source", "camera").distinct()
+    cands = checkpointed(cands)  # read for the motion around each sample and for the scores
     picked = spaced_picks(panel_score(cands, s, keys, window, *size).select(*event_keys, "t_us", "video_us", "score", "reason"), event_keys, panels, gap)
     by_time = Window.partitionBy(*event_keys).orderBy("video_us")
     chosen = picked.withColumn("panel_index", F.row_number().over(by_time)).select(*columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundmetrics.functions import geometry as geo
 from groundmetrics.operators import scale as sc
+from groundmetrics.operators import timeline as tl
 
 KEY = ["scene", "row_index"]
 POINT = "struct<x:double,y:double,z:double>"
@@ -75,3 +76,8 @@ def test_steps_of_a_projection_are_not_repeated(spark):
     df = views(spark)
     plan = df.select(geo.project_point(*cam, F.col("p"), 200, 100).alias("uv")).select("uv.u", "uv.v")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("TAN(") == 1
+    eye = F.struct(F.lit(True).alias("isEyeOpen"), F.col("p").alias("gazePoint"), F.col("p").alias("cameraHitPoint"))
+    seen = tl.projected_samples(df.withColumn("t_us", F.col("k") * 1000).withColumn("eyeGaze", eye), 200, 100)
+    cands = seen.select("k", "t_us", "gaze_uv", "camera").localCheckpoint()
+    moved = tl.pixel_stats(cands, seen, ["k"], 5000, 200, 100)
+    assert moved._jdf.queryExecution().optimizedPlan().toString().count("TAN(") == 1
