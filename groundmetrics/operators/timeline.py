@@ -110,29 +110,58 @@ def window_samples(events: DataFrame, samples: DataFrame, keys: Sequence[str], w
     return full.unionByName(near.select(*full.columns))
 
 
+def _beside(candidates: DataFrame, samples: DataFrame, keys: Sequence[str], window: int, how: str) -> DataFrame:
+    """Candidates (``_t``) with the samples (``_u``) within ``window``; stamps within a microsecond are the candidate itself.
+
+    Both sides are bucketed by ``window``, samples also into the two adjacent buckets, so all neighbours of a candidate meet it in the
+    bucket of its own time (``_b``) and what is grouped by key and bucket afterwards stays where it is.
+    """
+    home = F.floor(F.col("_u") / window)
+    c = candidates.withColumn("_b", F.floor(F.col("_t") / window))
+    s = samples.withColumn("_b", F.explode(F.array(home - 1, home, home + 1))).withColumnsRenamed({k: f"_of_{k}" for k in (*keys, "_b")})
+    c = dealt(c, [*keys, "_b"], samples)
+    s = dealt(s, [f"_of_{k}" for k in (*keys, "_b")], samples)
+    gap = F.abs(F.col("_u") - F.col("_t"))
+    same = (gap > 1) & (gap <= window)
+    for k in (*keys, "_b"):
+        same = same & (F.col(k) == F.col(f"_of_{k}"))
+    return c.join(shuffled(s), same, how)
+
+
+def ordered_means(pairs: DataFrame, keys: Sequence[str], values: dict[str, Column], order: Sequence[Column]) -> DataFrame:
+    """``keys``, the mean of each of ``values`` as ``<name>_move`` and its count as ``<name>_neighbours``.
+
+    A sum of doubles depends on its order in the last bits, and with it which of two candidates of equal score comes first. The values
+    are therefore added in the given ``order``, as running sums whose last one counts; partial sums would be added as tasks end.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = pairs.withColumns({f"_d_{n}": d for n, d in values.items()})
+    out = out.withColumns({**{f"_sum_{n}": F.sum(f"_d_{n}").over(upto) for n in values}, **{f"{n}_neighbours": F.count(f"_d_{n}").over(upto) for n in values},
+                           "_more": F.lead(F.lit(True)).over(w)}).filter("_more IS NULL")
+    means = [(F.col(f"_sum_{n}") / F.nullif(F.col(f"{n}_neighbours"), F.lit(0))).alias(f"{n}_move") for n in values]
+    return out.select(*keys, *means, *[f"{n}_neighbours" for n in values])
+
+
+def _last_first(samples: DataFrame) -> list[str]:
+    """Names of the columns that order samples, those recorded last first; ``file_seq`` may be absent."""
+    return [c for c in ("file_seq", "t_us") if c in samples.columns]
+
+
 def neighbour_stats(candidates: DataFrame, samples: DataFrame, keys: Sequence[str], window: int, cues_: Sequence[str]) -> DataFrame:
     """Candidates plus mean distance and count of the neighbours within ``window``, per cue column.
 
-    Both sides are bucketed by ``window``; a candidate looks into its own and the two adjacent buckets,
-    so a sample meets at most the candidates of three buckets.
+    A sample meets at most the candidates of three buckets of ``window`` width. Neighbours are added from the last recorded to the first.
     """
-    keys = list(keys)
-    b = F.floor(F.col("t_us") / window)
+    keys, order = list(keys), _last_first(samples)
     rest = [c for c in candidates.columns if c not in keys and c not in ("t_us", *cues_)]
     c = candidates.withColumn("_row", F.struct(*candidates.columns)).select(
-        *keys, F.col("t_us").alias("_t"), *[F.col(p).alias(f"_c_{p}") for p in cues_], "_row", F.explode(F.array(b - 1, b, b + 1)).alias("_b")
+        *keys, F.col("t_us").alias("_t"), *[F.col(p).alias(f"_c_{p}") for p in cues_], "_row"
     )
-    s = samples.select(*keys, F.col("t_us").alias("_u"), *[F.col(p).alias(f"_s_{p}") for p in cues_])
-    s = s.withColumn("_b", F.floor(F.col("_u") / window))
-    # stamps within a microsecond of the candidate are the candidate itself
-    gap = F.abs(F.col("_u") - F.col("_t"))
-    c, s = (dealt(side, [*keys, "_b"], samples) for side in (c, s))
-    pairs = c.join(shuffled(s), [*keys, "_b"], "left").withColumn("_near", (gap > 1) & (gap <= window))
-    aggs = []
-    for p in cues_:
-        d = F.when(F.col("_near"), geo.distance(F.col(f"_c_{p}"), F.col(f"_s_{p}")))
-        aggs += [F.avg(d).alias(f"{p}_move"), F.count(d).alias(f"{p}_neighbours")]
-    per = pairs.groupBy(*keys, "_t", "_row").agg(*aggs)
+    s = samples.select(*keys, F.col("t_us").alias("_u"), *[F.col(o).alias(f"_o_{o}") for o in order], *[F.col(p).alias(f"_s_{p}") for p in cues_])
+    pairs = _beside(c, s, keys, window, "left")
+    moves = {p: geo.distance(F.col(f"_c_{p}"), F.col(f"_s_{p}")) for p in cues_}
+    per = ordered_means(pairs, [*keys, "_b", "_t", "_row"], moves, [F.desc(f"_o_{o}") for o in order])
     stats = [c for p in cues_ for c in (f"{p}_move", f"{p}_neighbours")]
     return per.select(*keys, F.col("_t").alias("t_us"), *[F.col("_row")[c].alias(c) for c in (*cues_, *rest)], *stats)
 
@@ -180,21 +209,17 @@ def pixel_stats(candidates: DataFrame, samples: DataFrame, keys: Sequence[str],
 
     Both are means over the samples within ``window`` that carry the cue, NULL without any. A sample that
     serves several events is aggregated once, and only its two cues travel; (key, slice) joins keep a long
-    series spread over tasks.
+    series spread over tasks. Samples are added from the last recorded to the first.
     """
-    keys = list(keys)
-    b = F.floor(F.col("t_us") / window)
+    keys, order = list(keys), _last_first(samples)
     c = candidates.groupBy(*keys, F.col("t_us").alias("_t")).agg(F.any_value("gaze_uv").alias("_uv"), F.any_value("camera").alias("_camera"))
-    home = F.floor(F.col("_t") / window)
-    c = c.withColumn("_b", F.explode(F.array(home - 1, home, home + 1)))
     # no filter on the cues: pushed below the steps of the projection, it would write them out again
-    s = samples.select(*keys, "t_us", "gaze_uv", "camera", b.alias("_b"))
-    gap = F.abs(F.col("t_us") - F.col("_t"))
-    pairs = c.join(shuffled(s), [*keys, "_b"]).filter((gap > 1) & (gap <= window))
+    s = samples.select(*keys, F.col("t_us").alias("_u"), *[F.col(o).alias(f"_o_{o}") for o in order], "gaze_uv", "camera")
+    pairs = _beside(c, s, keys, window, "inner")
     du, dv = ((F.col("gaze_uv")[a] - F.col("_uv")[a]) * float(n) for a, n in (("u", width_px), ("v", height_px)))
-    moved = pairs.groupBy(*keys, "_t").agg(F.avg(F.sqrt(du * du + dv * dv)).alias("gaze_move"),
-                                           F.avg(geo.distance(F.col("camera"), F.col("_camera"))).alias("camera_move"))
-    return moved.withColumnRenamed("_t", "t_us")
+    moves = {"gaze": F.sqrt(du * du + dv * dv), "camera": geo.distance(F.col("camera"), F.col("_camera"))}
+    moved = ordered_means(pairs, [*keys, "_b", "_t"], moves, [F.desc(f"_o_{o}") for o in order])
+    return moved.select(*keys, F.col("_t").alias("t_us"), "gaze_move", "camera_move")
 
 
 def panel_score(candidates: DataFrame, samples: DataFrame, keys: Sequence[str], window: int, width_px: int, height_px: int) -> DataFrame:
