@@ -406,18 +406,37 @@ def min_distance(preds: DataFrame, gt: DataFrame, mode: str = "panel") -> DataFr
     return left.join(gt, on).groupBy(*KEY).agg(F.min(d).alias("min_distance_px"))
 
 
+STRATEGIES = ("first", "middle", "highest_score")
+
+
+def choose_panels(panels: DataFrame, strategies: Sequence[str] = STRATEGIES, payload: Sequence[str] = ("panel_id",)) -> DataFrame:
+    """``KEY, strategy, payload``: one panel per event and strategy (ties: panel index, then time), all from one pass.
+
+    Only what the choice and ``payload`` read travels. If ``panels`` are dealt by event, nothing is shuffled. An event has at most one
+    row per panel name in the window.
+    """
+    payload = list(payload)
+    need = dict.fromkeys([*KEY, "panel_id", "panel_index", "video_time", "panel_score", *payload])
+    one = first_by(panels.select(*need), [*KEY, "panel_id"], ["panel_index", "video_time"])
+    # the id last, so that panels of equal index and time come in one order everywhere
+    order = [F.col("panel_index"), F.col("video_time"), F.col("panel_id")]
+    per = Window.partitionBy(*KEY)
+    one = one.withColumn("_i", F.row_number().over(per.orderBy(*order))).withColumn("_n", F.count("*").over(per))
+    row, score = F.struct(*payload), F.coalesce("panel_score", F.lit(0.0))
+    picks = {
+        "first": F.min_by(row, F.col("_i")),
+        "middle": F.any_value(F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, row), F.lit(True)),
+        "highest_score": F.min_by(row, F.struct(-score, F.col("_i"))),
+    }
+    wanted = F.array(*[F.struct(F.lit(s).alias("strategy"), picks[s].alias("_row")) for s in strategies])
+    out = one.groupBy(*KEY).agg(wanted.alias("_picks")).select(*KEY, F.inline("_picks"))
+    return out.select(*KEY, "strategy", *[F.col("_row")[c].alias(c) for c in payload])
+
+
 def choose_panel(panels: DataFrame, strategy: str = "highest_score") -> DataFrame:
-    """One panel per event: ``first``, ``middle`` or ``highest_score`` (ties: panel index, then time)."""
-    one = first_by(panels, [*KEY, "panel_id"], ["panel_index", "video_time"])
-    if strategy == "highest_score":
-        score = (-F.coalesce("panel_score", F.lit(0.0))).alias("_neg")
-        return first_by(one.withColumn("_neg", score), KEY, ["_neg", "panel_index", "video_time"]).drop("_neg")
-    if strategy == "first":
-        return first_by(one, KEY, ["panel_index", "video_time"])
-    per = Window.partitionBy(*KEY)  # at most one row per panel name
-    at = F.row_number().over(per.orderBy("panel_index", "video_time")) - 1
-    mid = one.withColumn("_i", at).withColumn("_n", F.count("*").over(per))
-    return mid.filter(F.col("_i") == F.floor(F.col("_n") / 2)).drop("_i", "_n")
+    """One panel per event, with all its columns: ``first``, ``middle`` or ``highest_score`` (ties: panel index, then time)."""
+    rest = [c for c in panels.columns if c not in KEY]
+    return choose_panels(panels, (strategy,), rest).select(*panels.columns)
 
 
 def panel_vote(items: DataFrame, policy: str = "majority") -> DataFrame:

@@ -242,11 +242,9 @@ def evaluate_2d_summary(spark, sf):
     SELECT scene, row_index, 'highest_score', arg_min(panel_id, panel_index) FROM (
         SELECT *, max(panel_score) OVER (PARTITION BY scene, row_index) AS top FROM one) WHERE panel_score = top GROUP BY 1, 2""")
 def choose_panel(spark, sf):
-    m = view(spark, sf, "v_manifest").filter("frame_extracted")
+    m = view(spark, sf, "v_manifest", by_order(spark, sf)).filter("frame_extracted")
     # the reference order of equal (panel, time) rows is the manifest order
-    m = m.withColumn("video_time", F.struct("video_time", "manifest_seq"))
-    parts = [pn.choose_panel(m, s).select(*KEY, F.lit(s).alias("strategy"), "panel_id") for s in ("first", "middle", "highest_score")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return pn.choose_panels(m.withColumn("video_time", F.struct("video_time", "manifest_seq")))
 
 
 @query("""WITH v AS (SELECT scene, row_index, pred_panel, count(*) AS votes, min(pred_seq) AS first_seq, arg_min(mention, pred_seq) AS first_mention

@@ -2,6 +2,8 @@
 
 import math
 
+import __spark_entry__ as entry
+from groundmetrics.operators import panels as pn
 from groundmetrics.operators import timeline as tl
 
 
@@ -33,3 +35,23 @@ def test_pixel_means_are_added_from_the_last_to_the_first(spark):
         s = spark.createDataFrame(given, "k string, file_seq bigint, t_us bigint, gaze_uv struct<u:double,v:double>, camera struct<x:double,y:double,z:double>").coalesce(1)
         got = tl.pixel_stats(s.filter("file_seq = 0"), s, ["k"], 1000, 1, 1).collect()
         assert [(r.gaze_move, r.camera_move) for r in got] == [(want, want)]
+
+
+PANELS = "scene string, row_index bigint, panel_id string, panel_index int, video_time double, panel_score double"
+
+
+def test_panels_of_all_strategies_come_from_one_shuffle(spark):
+    rows = [("s", 1, "P1", 1, 0.0, 0.2), ("s", 1, "P2", 2, 1.0, 0.9), ("s", 1, "P3", 3, 2.0, 0.9), ("s", 1, "P3", 3, 1.5, 0.1), ("s", 1, "P4", 4, 3.0, None),
+            ("s", 2, "P5", 5, 0.0, None), ("t", 1, "P1", 1, 0.0, 0.5), ("t", 1, "P2", 2, 0.0, 0.5)]
+    m = spark.createDataFrame(rows, PANELS)
+    out = pn.choose_panels(m)
+    want = {("s", 1, "first", "P1"), ("s", 1, "middle", "P3"), ("s", 1, "highest_score", "P2"), ("s", 2, "first", "P5"), ("s", 2, "middle", "P5"),
+            ("s", 2, "highest_score", "P5"), ("t", 1, "first", "P1"), ("t", 1, "middle", "P2"), ("t", 1, "highest_score", "P1")}
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+    assert tuple(pn.choose_panel(m, "middle").filter("scene = 's' AND row_index = 1").first()) == ("s", 1, "P3", 3, 1.5, 0.1)
+
+
+def test_choose_panel_moves_line_items_once(spark):
+    query = entry.queries()["choose_panel"]
+    plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("/lineitem.parquet") == 1
