@@ -2,7 +2,10 @@
 
 import math
 
+import numpy as np
+
 import __spark_entry__ as entry
+from groundmetrics.llm import decontaminate
 from groundmetrics.operators import panels as pn
 from groundmetrics.operators import timeline as tl
 
@@ -55,3 +58,34 @@ def test_choose_panel_moves_line_items_once(spark):
     query = entry.queries()["choose_panel"]
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("/lineitem.parquet") == 1
+
+
+def test_latent_basis_is_fitted_on_every_document(spark):
+    # a sample by a hash of the text leaves a text out with all its copies, however many there are
+    texts = [f"word{i} " * 20 for i in range(60)]
+    docs = spark.createDataFrame([(i, texts[i % 60]) for i in range(12600)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "item_id long, text string")
+    index = decontaminate.build(docs, items)
+    size = np.linalg.norm(index.basis[[decontaminate.features_of(x.split()[0].encode())[0] for x in texts]], axis=1)
+    assert size.min() > 0.1 * size.max()
+
+
+def test_gram_of_all_passages_equals_the_plain_one(spark):
+    rng = np.random.default_rng(3)
+    lengths = [0, 1, 15, 16, 17, 32, 33, 500, 70_000]
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 300, n)) for n in lengths] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    feats = decontaminate.feature_table(docs)
+    df, n = decontaminate.document_frequency(feats)
+    assert n == len(texts) and df[decontaminate.features_of(b"w7")[0]] >= 2
+    x, idf = rng.standard_normal((decontaminate.FEATURES, 3)).astype(np.float32), rng.random(decontaminate.FEATURES).astype(np.float32)
+    want = np.zeros((decontaminate.FEATURES, 3))
+    for text in texts:
+        f = decontaminate.features_of(decontaminate.words_of(text or ""))
+        step, span = decontaminate.STRIDE, decontaminate.SPAN * decontaminate.STRIDE
+        for at in range(0, max(len(f) - step, 1) if len(f) else 0, step):
+            part = f[at : at + span]
+            np.add.at(want, part, (idf[part, None] * x[part]).sum(0, dtype=np.float64))
+    want *= idf[:, None]
+    got = decontaminate.gram_times(feats, idf, x)
+    assert np.abs(got - want).max() <= 1e-5 * np.abs(want).max()
